@@ -165,7 +165,7 @@ def block_facts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     and/or `` Mobile`` appended, and the whole trimmed.
     """
     blocks = block_elements(elements, cfg)
-    need = blocks.where(F.col("chain") == "").select(
+    need = blocks.select(
         "url", F.col("pre").alias("bid"), F.col("parent_pre").alias("lo"),
         F.col("parent_end").alias("hi"))
     terms = section_terms(elements, cfg)
