@@ -18,85 +18,100 @@ from .store import parsed_elements
 
 
 # P1 -------------------------------------------------------------------------
-def report_block_matrix(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+def _elements(pages, listing, cfg, elements):
+    """The element table for ``listing``: parsed now, or the given store (a
+    table of already-parsed pages; every consumer joins it to the listing)."""
+    return elements if elements is not None else parsed_elements(pages, listing, cfg)
+
+
+def report_block_matrix(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT,
+                        elements: DataFrame | None = None) -> DataFrame:
     """Page x vocabulary count matrix for the workbook urls.
     O1 > O8 > O9 > O16 > O11 > O17 > O13 > O25 > O24."""
     listing = src.cells_to_urls(cells)
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return blocks.block_matrix(listing, els, cfg.vocab)
 
 
 # P2 / P3 / P4 ---------------------------------------------------------------
 def report_blocks_from_cells(spark: SparkSession, cells: DataFrame, index_docs: DataFrame,
-                             pages: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+                             pages: DataFrame, cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """block/variant/layout counts for workbook urls, dates from the
     query indexes. A url listed twice counts twice."""
     listing = src.cells_to_urls(cells)
     dates = src.index_dates(src.query_index_listing(spark, index_docs, cfg))
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return blocks.block_variant_layout_report(listing, els, dates, cfg)
 
 
 def report_blocks_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
-                             cfg: AuditConfig = DEFAULT) -> DataFrame:
+                             cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """As P2 for the query-index urls (each url once)."""
     qi = src.query_index_listing(spark, index_docs, cfg)
     dates = src.index_dates(qi)
     listing = dates.select("url")
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return blocks.block_variant_layout_report(listing, els, dates, cfg)
 
 
 def report_blocks_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
-                               cfg: AuditConfig = DEFAULT) -> DataFrame:
+                               cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """As P2 for the sitemap urls; the date is the lastmod text."""
     sm = src.sitemap_pages(index_urls, sitemap_docs, mode="map")
     dates = sm.select("url", F.col("lastmod").alias("last_modified"))
     listing = sm.select("url")
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return blocks.block_variant_layout_report(listing, els, dates, cfg)
 
 
 # P5 / P6 --------------------------------------------------------------------
-def report_brand_links_all(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+def report_brand_links_all(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """P5: brand links per workbook page, repeats kept."""
     listing = src.cells_to_urls(cells)
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return links.brand_links_report(listing, els, cfg, dedupe=False)
 
 
 def report_brand_links(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
-                       cfg: AuditConfig = DEFAULT) -> DataFrame:
+                       cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """Brand links per query-index page, substring-deduplicated."""
     listing = src.query_index_listing(spark, index_docs, cfg).select("url")
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return links.brand_links_report(listing, els, cfg, dedupe=True)
 
 
 # P7 -------------------------------------------------------------------------
 def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
-                 cfg: AuditConfig = DEFAULT) -> DataFrame:
+                 cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """One row per (listed page, link) for the sitemap pages, a page
     listed twice giving its rows twice."""
     listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return links.link_rows(listing, els)
 
 
 # P8 / P9 --------------------------------------------------------------------
 def report_domains_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
-                              cfg: AuditConfig = DEFAULT) -> DataFrame:
+                              cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """Links and brand / non-brand origins per query-index page."""
     listing = src.query_index_listing(spark, index_docs, cfg)
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return links.page_domain_report(listing, els, cfg)
 
 
 def report_domains_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
-                                cfg: AuditConfig = DEFAULT) -> DataFrame:
+                                cfg: AuditConfig = DEFAULT,
+        elements: DataFrame | None = None) -> DataFrame:
     """As P8 for the sitemap pages."""
     listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
-    els = parsed_elements(pages, listing, cfg)
+    els = _elements(pages, listing, cfg, elements)
     return links.page_domain_report(listing, els, cfg)
 
 

@@ -28,6 +28,7 @@ def build_session(master: str = "local[8]", app: str = "sitelens",
     conf.update({
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
     })
     conf.update(extra or {})
