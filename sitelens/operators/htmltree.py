@@ -16,7 +16,7 @@ across blocks (an unclosed ``<b>`` ends with its block).
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 HEAD_TAGS = frozenset("base basefont bgsound link meta noscript script style template title".split())
@@ -38,6 +38,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _WS = re.compile(r"[ \t\n\f\r\xa0]+")
 
+# One pass over the markup: comments, doctype / processing instructions,
+# end tags (group 1), start tags (group 2 name, group 3 attribute text; quoted
+# values may hold '>'), text runs, and a lone '<' kept as text.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<[!?][^>]*>?"
+    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|[^<]+"
+    r"|<",
+    re.S)
+_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+# Elements whose content is text up to their own end tag.
+RAW_TEXT = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
+RCDATA = frozenset(("title", "textarea"))
+
 
 class Node:
     __slots__ = ("tag", "attrs", "parent", "children", "text", "depth")
@@ -51,9 +67,8 @@ class Node:
         self.depth = depth
 
 
-class _Builder(HTMLParser):
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.nodes: list[Node] = []
         self.stack: list[int] = []
         self.html = self.head = self.body = None
@@ -156,11 +171,6 @@ class _Builder(HTMLParser):
         elif tag == "br":
             self.nodes[self.stack[-1]].text.append(None)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.nodes[self.stack[-1]].tag == tag:
-            self.stack.pop()
-
     def _close_item(self, tags, list_stop):
         for i in reversed(self.stack):
             t = self.nodes[i].tag
@@ -199,6 +209,51 @@ class _Builder(HTMLParser):
             if t in SPECIAL:
                 return
 
+    # -- tokenizer ----------------------------------------------------------
+    def run(self, html: str) -> None:
+        pos, n = 0, len(html)
+        match = _TOKEN.match
+        while pos < n:
+            m = match(html, pos)
+            end = m.end()
+            tok = m.group(0)
+            c0 = tok[0]
+            if c0 != "<" or len(tok) == 1:
+                self.handle_data(unescape(tok) if "&" in tok else tok)
+            elif m.group(2) is not None:
+                tag = m.group(2).lower()
+                raw = m.group(3) or ""
+                attrs = []
+                for a in _ATTR.finditer(raw):
+                    v = a.group(2)
+                    if v is None:
+                        v = a.group(3)
+                    if v is None:
+                        v = a.group(4)
+                    if v is not None and "&" in v:
+                        v = unescape(v)
+                    attrs.append((a.group(1).lower(), v))
+                self.handle_starttag(tag, attrs)
+                if tag in RAW_TEXT or tag in RCDATA:
+                    close = re.compile(r"</" + tag + r"[\s/>]", re.I).search(html, end)
+                    stop = close.start() if close else n
+                    text = html[end:stop]
+                    if text:
+                        self.handle_data(unescape(text) if tag in RCDATA and "&" in text else text)
+                    if close:
+                        gt = html.find(">", close.start())
+                        end = n if gt < 0 else gt + 1
+                    else:
+                        end = n
+                    self.handle_endtag(tag)
+                elif raw.endswith("/") and tag not in VOID and self.stack \
+                        and self.nodes[self.stack[-1]].tag == tag:
+                    pass  # a self-closing non-void start tag opens an element (HTML rules)
+            elif m.group(1) is not None:
+                self.handle_endtag(m.group(1).lower())
+            # comments, doctype and processing instructions are dropped
+            pos = end
+
     def handle_data(self, data):
         if not data:
             return
@@ -212,7 +267,7 @@ class _Builder(HTMLParser):
                     return
                 self._ensure_body()
         t = self.nodes[self.stack[-1]].tag
-        if t in ("script", "style"):
+        if t in RAW_TEXT:
             return  # data of script/style is not own text
         self.nodes[self.stack[-1]].text.append(data)
 
@@ -243,8 +298,7 @@ def parse_elements(html: str, labels=("Desktop", "Mobile")):
     """
     b = _Builder()
     try:
-        b.feed(html or "")
-        b.close()
+        b.run(html or "")
     except Exception:  # malformed markup: keep what was built
         pass
     b._ensure_body()  # html, head and body always exist

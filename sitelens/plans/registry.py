@@ -20,35 +20,54 @@ from ..session import apply_session_conf
 from ..sources import fixture as fx
 from ..sources import listing as src
 from . import reports as R
-from .store import parsed_elements
+from .store import parsed_elements, write_table
 
 cfg = DEFAULT
 
 
+_INPUTS: dict[tuple[str, str, str], str] = {}
+
+
 class Fixture:
-    """The fixture tables of one scale factor, built lazily."""
+    """The fixture input tables of one scale factor.
+
+    The inputs (site pages, workbook cells, index and sitemap documents) are
+    derived from the driver's ``pages`` table and written once per Spark
+    application and scale factor under the checkpoint folder, as a crawl
+    stores its fetched tables; every query then reads them like any table.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         apply_session_conf(spark)
         self.spark = spark
         self.sf = sf_dir
-        self.pages = fx.site_pages(spark, sf_dir)
+
+    def _input(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf, name)
+        path = _INPUTS.get(key)
+        if path is None:
+            path = _INPUTS[key] = write_table(build(), f"input-{name}")
+        return self.spark.read.parquet(path)
+
+    @property
+    def pages(self) -> DataFrame:
+        return self._input("pages", lambda: fx.site_pages(self.spark, self.sf))
 
     @property
     def cells(self) -> DataFrame:
-        return fx.sheet_cells(self.spark, self.sf)
+        return self._input("cells", lambda: fx.sheet_cells(self.spark, self.sf))
 
     @property
     def index_docs(self) -> DataFrame:
-        return fx.index_documents(self.spark, self.sf, cfg)
+        return self._input("index_docs", lambda: fx.index_documents(self.spark, self.sf, cfg))
 
     @property
     def sitemap_docs(self) -> DataFrame:
-        return fx.sitemap_documents(self.spark, self.sf, cfg)
+        return self._input("sitemap_docs", lambda: fx.sitemap_documents(self.spark, self.sf, cfg))
 
     @property
     def sitemap_index(self) -> DataFrame:
-        return fx.sitemap_index_urls(self.spark, self.sf, cfg)
+        return self._input("sitemap_index", lambda: fx.sitemap_index_urls(self.spark, self.sf, cfg))
 
     def qi_listing(self) -> DataFrame:
         return src.query_index_listing(self.spark, self.index_docs, cfg)

@@ -19,11 +19,15 @@ from ..operators.elements import extract_elements, page_bodies
 from ..session import checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet under the shared checkpoint folder; return the path."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.read.parquet(write_table(df, name))
 
 
 def listed_pages(pages: DataFrame, listing: DataFrame, partitions: int | None = None) -> DataFrame:
