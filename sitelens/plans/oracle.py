@@ -165,6 +165,10 @@ ORACLES: dict[str, str] = {
     "admit_index_docs": with_("qi") + f"""select distinct index_url, part::BIGINT as part from qi
         where not (page_id % 3 = 2 and part = 1)
         union all select distinct index_url, -2::BIGINT as part from qi where part = 0""",
+    "index_doc_rejects": with_("qi") + """select distinct index_url, part::BIGINT as part, 500 as status,
+        'http_status' as reason from qi where page_id % 3 = 2 and part = 1
+        union all select distinct index_url, -1::BIGINT, 200, 'blank' from qi where part = 0
+        union all select distinct index_url, -2::BIGINT, 200, 'no_data' from qi where part = 0""",
     "read_query_index": with_("qi_read") + "select index_url, url, last_modified from qi_read",
     "format_epoch": with_("qi_read") + """select url, cast(1700000000 + page_id as varchar) as last_modified_raw,
         last_modified from qi_read""",

@@ -107,6 +107,11 @@ def q_admit_index_docs(spark, sf):
             .select("index_url", _long("part")))
 
 
+def q_index_doc_rejects(spark, sf):
+    return src.index_doc_rejects(spark, Fixture(spark, sf).index_docs, cfg).select(
+        "index_url", _long("part"), "status", "reason")
+
+
 def q_read_query_index(spark, sf):
     return Fixture(spark, sf).qi_listing().select(
         "index_url", "url", fn.format_epoch("last_modified_raw").alias("last_modified"))

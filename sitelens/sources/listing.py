@@ -59,6 +59,20 @@ def admit_index_docs(docs: DataFrame, status: str = "status", body: str = "body"
     return docs.where(cond)
 
 
+def index_doc_rejects(spark: SparkSession, docs: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """O45 for index documents: (index_url, part, status, reason) of each
+    configured index document that yields no entries: a status other than
+    200, a blank body, or JSON without a ``data`` array."""
+    urls = expand_index_urls(spark, cfg).select("index_url")
+    j = F.from_json("body", QUERY_INDEX_SCHEMA, {"mode": "PERMISSIVE"})
+    reason = (F.when(F.col("status") != INDEX_OK_STATUS, F.lit("http_status"))
+              .when(~F.col("body").rlike(r"\S"), F.lit("blank"))
+              .when(j.isNull() | j["data"].isNull(), F.lit("no_data")))
+    return (docs.join(F.broadcast(urls), "index_url")
+            .select("index_url", "part", "status", reason.alias("reason"))
+            .where(F.col("reason").isNotNull()))
+
+
 def read_query_index(docs: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """O3: parse each admitted document and explode ``data``:
     (index_url, part, pos, url, last_modified_raw). A document without
