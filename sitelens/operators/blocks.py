@@ -23,7 +23,7 @@ from .. import functions as fn
 from ..config import (DEFAULT, DEFAULT_LAYOUT, SECTION_DESKTOP_FRAGMENT,
                       SECTION_DESKTOP_TERMS, SECTION_MOBILE_FRAGMENT,
                       SECTION_MOBILE_TERMS, AuditConfig)
-from .elements import class_elements
+from .elements import class_elements, one_copy
 
 
 def _terms_pattern(terms: Sequence[str]) -> str:
@@ -38,14 +38,14 @@ def known_block_tokens(elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
     """
     va = fn.vocab_array(vocab)
     return (class_elements(elements)
-            .select("url", "pre", F.posexplode("classes").alias("pos", "block"))
+            .select("page_key", "url", "pre", F.posexplode("classes").alias("pos", "block"))
             .where(F.array_contains(va, F.col("block"))))
 
 
 def block_counts(elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
     """(url, block, n) over elements; every known token of an element
     counts (unlike the primary block)."""
-    return (known_block_tokens(elements, vocab)
+    return (one_copy(known_block_tokens(elements, vocab), elements)
             .groupBy("url", "block").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -72,7 +72,7 @@ def block_elements(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame
     """
     ce = class_elements(elements)
     return (ce.select(
-        "url", "pre", "parent_pre", "parent_end",
+        "page_key", "url", "pre", "parent_pre", "parent_end",
         fn.primary_block("classes", cfg.vocab).alias("block"),
         fn.variant_name("classes", cfg.vocab).alias("variant"),
         F.array_join("chain_labels", "").alias("chain"))
@@ -84,11 +84,11 @@ def section_elements(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFra
     sc = cfg.section_class.lower()
     return (class_elements(elements)
             .where(F.exists("classes", lambda t: F.lower(t) == F.lit(sc)))
-            .select("url", "pre", "end"))
+            .select("page_key", "pre", "end"))
 
 
 def section_terms(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """Per section element (url, pre, end): has_desktop / has_mobile.
+    """Per section element (page_key, pre, end): has_desktop / has_mobile.
 
     A section has desktop when some element of its subtree, itself included,
     has own text where ``desktop`` or ``Desktop`` is found (case-sensitive);
@@ -97,28 +97,28 @@ def section_terms(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     d_pat = _terms_pattern(SECTION_DESKTOP_TERMS)
     m_pat = _terms_pattern(SECTION_MOBILE_TERMS)
     hits = (elements
-            .select("url", "pre",
+            .select("page_key", "pre",
                     F.col("own_text").rlike(d_pat).cast("int").alias("d"),
                     F.col("own_text").rlike(m_pat).cast("int").alias("m"))
             .where("d + m > 0"))
     sections = section_elements(elements, cfg)
     # kind 0: section start (read before hits at that pre), 1: term hit,
     # 2: section end (read after hits at that pre)
-    events = (hits.select("url", F.col("pre").alias("at"), F.lit(1).alias("kind"),
+    events = (hits.select("page_key", F.col("pre").alias("at"), F.lit(1).alias("kind"),
                           F.lit(None).cast("int").alias("sid"), "d", "m")
-              .unionByName(sections.select("url", F.col("pre").alias("at"), F.lit(0).alias("kind"),
+              .unionByName(sections.select("page_key", F.col("pre").alias("at"), F.lit(0).alias("kind"),
                                            F.col("pre").alias("sid"), F.lit(0).alias("d"),
                                            F.lit(0).alias("m")))
-              .unionByName(sections.select("url", F.col("end").alias("at"), F.lit(2).alias("kind"),
+              .unionByName(sections.select("page_key", F.col("end").alias("at"), F.lit(2).alias("kind"),
                                            F.col("pre").alias("sid"), F.lit(0).alias("d"),
                                            F.lit(0).alias("m"))))
-    w = (Window.partitionBy("url").orderBy("at", "kind", "sid")
+    w = (Window.partitionBy("page_key").orderBy("at", "kind", "sid")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = (events.select("url", "kind", "sid", "at",
+    run = (events.select("page_key", "kind", "sid", "at",
                          F.sum("d").over(w).alias("cd"), F.sum("m").over(w).alias("cm"))
            .where("kind <> 1"))
     sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
-    return (run.groupBy("url", "sid")
+    return (run.groupBy("page_key", "sid")
             .agg(F.max(F.when(F.col("kind") == 2, F.col("at"))).alias("end"),
                  (F.sum(sign * F.col("cd")) > 0).alias("has_desktop"),
                  (F.sum(sign * F.col("cm")) > 0).alias("has_mobile"))
@@ -126,37 +126,37 @@ def section_terms(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
 
 
 def section_scope(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """O21 + O23 (section part): for each scope (url, bid, lo, hi), the
+    """O21 + O23 (section part): for each scope (page_key, bid, lo, hi), the
     number of sections with ``lo <= pre <= hi`` and the concatenation of
     their fragments in document order.
 
-    ``sections`` has (url, pre, frag). Prefix count and prefix text over the
+    ``sections`` has (page_key, pre, frag). Prefix count and prefix text over the
     page's event stream; a scope's text is the end prefix minus the start
     prefix (prefix texts only grow, so a substring does it).
     """
-    events = (sections.select("url", F.col("pre").alias("at"), F.lit(1).alias("kind"),
+    events = (sections.select("page_key", F.col("pre").alias("at"), F.lit(1).alias("kind"),
                               F.lit(None).cast("int").alias("bid"), "frag")
-              .unionByName(blocks.select("url", F.col("lo").alias("at"), F.lit(0).alias("kind"),
+              .unionByName(blocks.select("page_key", F.col("lo").alias("at"), F.lit(0).alias("kind"),
                                          "bid", F.lit(None).cast("string").alias("frag")))
-              .unionByName(blocks.select("url", F.col("hi").alias("at"), F.lit(2).alias("kind"),
+              .unionByName(blocks.select("page_key", F.col("hi").alias("at"), F.lit(2).alias("kind"),
                                          "bid", F.lit(None).cast("string").alias("frag"))))
-    w = (Window.partitionBy("url").orderBy("at", "kind", "bid")
+    w = (Window.partitionBy("page_key").orderBy("at", "kind", "bid")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = (events.select("url", "kind", "bid",
+    run = (events.select("page_key", "kind", "bid",
                          F.count("frag").over(w).alias("cnt"),
                          F.array_join(F.collect_list("frag").over(w), "").alias("txt"))
            .where("kind <> 1"))
-    agg = (run.groupBy("url", "bid")
+    agg = (run.groupBy("page_key", "bid")
            .agg(F.max(F.when(F.col("kind") == 0, F.col("cnt"))).alias("c0"),
                 F.max(F.when(F.col("kind") == 2, F.col("cnt"))).alias("c2"),
                 F.max(F.when(F.col("kind") == 0, F.col("txt"))).alias("t0"),
                 F.max(F.when(F.col("kind") == 2, F.col("txt"))).alias("t2")))
-    return agg.select("url", "bid", (F.col("c2") - F.col("c0")).alias("n_sections"),
+    return agg.select("page_key", "bid", (F.col("c2") - F.col("c0")).alias("n_sections"),
                       F.expr("substr(t2, length(t0) + 1)").alias("section_text"))
 
 
 def block_facts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    """One row per block element: url, pre, block, variant, chain,
+    """One row per block element: page_key, url, pre, block, variant, chain,
     n_sections, layout.
 
     Layout: the chain labels when the descent found any; otherwise the
@@ -166,24 +166,24 @@ def block_facts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """
     blocks = block_elements(elements, cfg)
     need = blocks.select(
-        "url", F.col("pre").alias("bid"), F.col("parent_pre").alias("lo"),
+        "page_key", F.col("pre").alias("bid"), F.col("parent_pre").alias("lo"),
         F.col("parent_end").alias("hi"))
     terms = section_terms(elements, cfg)
     frag = F.concat(F.when(F.col("has_desktop"), F.lit(SECTION_DESKTOP_FRAGMENT)).otherwise(F.lit("")),
                     F.when(F.col("has_mobile"), F.lit(SECTION_MOBILE_FRAGMENT)).otherwise(F.lit("")))
-    scoped = section_scope(need, terms.select("url", "pre", frag.alias("frag")))
-    joined = blocks.join(scoped.withColumnRenamed("bid", "pre"), ["url", "pre"], "left")
+    scoped = section_scope(need, terms.select("page_key", "pre", frag.alias("frag")))
+    joined = blocks.join(scoped.withColumnRenamed("bid", "pre"), ["page_key", "pre"], "left")
     layout = (F.when(F.col("chain") != "", F.col("chain"))
               .when(F.coalesce(F.col("n_sections"), F.lit(0)) == 0, F.lit(DEFAULT_LAYOUT))
               .otherwise(F.trim(F.col("section_text"))))
-    return joined.select("url", "pre", "block", "variant", "chain",
+    return joined.select("page_key", "url", "pre", "block", "variant", "chain",
                          F.coalesce(F.col("n_sections"), F.lit(0)).alias("n_sections"),
                          layout.alias("layout"))
 
 
 def block_variant_layout_counts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Per page: (url, block, variant, layout, n) where n counts elements."""
-    return (block_facts(elements, cfg)
+    return (one_copy(block_facts(elements, cfg), elements)
             .groupBy("url", "block", "variant", "layout")
             .agg(F.count(F.lit(1)).alias("n")))
 

@@ -23,6 +23,7 @@ from ..session import ship_package
 from .htmltree import parse_elements
 
 ELEMENT_SCHEMA = T.StructType([
+    T.StructField("page_key", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("pre", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
@@ -37,7 +38,7 @@ ELEMENT_SCHEMA = T.StructType([
 ])
 
 _ARROW_SCHEMA = pa.schema([
-    ("url", pa.string()), ("pre", pa.int32()), ("end", pa.int32()),
+    ("page_key", pa.int64()), ("url", pa.string()), ("pre", pa.int32()), ("end", pa.int32()),
     ("parent_pre", pa.int32()), ("parent_end", pa.int32()), ("depth", pa.int32()),
     ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
     ("own_text", pa.string()), ("n_children", pa.int32()),
@@ -68,22 +69,24 @@ def _extract_batches(labels):
 
     def run(batches):
         for rb in batches:
-            urls = rb.column(0).to_pylist()
-            htmls = rb.column(1).to_pylist()
-            cols = [[] for _ in range(11)]
-            for url, html in zip(urls, htmls):
+            keys = rb.column(0).to_pylist()
+            urls = rb.column(1).to_pylist()
+            htmls = rb.column(2).to_pylist()
+            cols = [[] for _ in range(12)]
+            for key, url, html in zip(keys, urls, htmls):
                 for e in parse_elements(html or "", labels):
-                    cols[0].append(url)
+                    cols[0].append(key)
+                    cols[1].append(url)
                     for k in range(10):
                         v = e[k]
                         if k == 6:
                             v = list(v.items())
-                        cols[k + 1].append(v)
+                        cols[k + 2].append(v)
                 if len(cols[0]) >= 50000:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=f.type) for c, f in zip(cols, _ARROW_SCHEMA)],
                         schema=_ARROW_SCHEMA)
-                    cols = [[] for _ in range(11)]
+                    cols = [[] for _ in range(12)]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(cols, _ARROW_SCHEMA)],
@@ -96,18 +99,45 @@ def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
     """One row per element of each page (url, html).
 
     Callers pass admitted pages (O8) with joined lines (O9): filters do not
-    push through the Python step, so they must come first. Pages are
-    hash-partitioned by url first so that the parse, the only CPU-heavy
-    Python step, is spread over ``partitions`` tasks (default: the session's
-    shuffle partitions) whatever the input file layout.
+    push through the Python step, so they must come first. The parse runs
+    where the pages are: each page is one row, so no shuffle of markup is
+    needed. Only an input with fewer partitions than ``partitions`` (default:
+    the session's default parallelism) is spread round-robin first, so a
+    small input still uses every core.
+
+    Every page row gets a ``page_key`` before the parse, taken from its place
+    in the input (deterministic for a re-run task); per-page windows and
+    groups use it, so several fetched copies of one url never mix and a url
+    with many copies is not one hot group.
     """
     spark = pages.sparkSession
     ship_package(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = pages.select("url", "html").repartition(n, "url")
+    want = partitions or spark.sparkContext.defaultParallelism
+    src = pages.select("url", "html")
+    if pages.isStreaming:
+        # micro-batches: a content key (copies with equal markup share it)
+        key = F.xxhash64("url", "html")
+    else:
+        if src.rdd.getNumPartitions() < want:
+            src = src.repartition(want)
+        key = F.monotonically_increasing_id()
+    src = src.select(key.alias("page_key"), "url", "html")
     return src.mapInArrow(_extract_batches(cfg.labels), ELEMENT_SCHEMA)
 
 
+def chosen_pages(elements: DataFrame) -> DataFrame:
+    """One parsed copy per url, (url, page_key): the url keyed reports read
+    one copy, as a map keyed by url keeps one value. A partial aggregate, so
+    a url with very many copies is combined map-side."""
+    return (elements.where(F.col("pre") == 0)
+            .groupBy("url").agg(F.max("page_key").alias("page_key")))
+
+
+def one_copy(df: DataFrame, elements: DataFrame) -> DataFrame:
+    """Rows of ``df`` (keyed by page_key) that belong to the chosen copy."""
+    return df.join(chosen_pages(elements).select("page_key"), "page_key", "left_semi")
+
+
 def page_bodies(pages: DataFrame) -> DataFrame:
     """Admitted pages with joined lines: (url, html)."""
     return admit_pages(pages).select("url", fn.join_lines("html").alias("html"))
@@ -124,4 +154,4 @@ def href_elements(elements: DataFrame) -> DataFrame:
     """Elements of any tag with an attribute named ``href...``; the
     value is the raw ``href`` ('' when only e.g. ``hreflang`` is present)."""
     return (elements.where(fn.has_attr_prefix("attrs", "href"))
-            .select("url", "pre", F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href")))
+            .select("page_key", "url", "pre", F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href")))

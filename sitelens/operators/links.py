@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..config import DEFAULT, AuditConfig
-from .elements import href_elements
+from .elements import chosen_pages, href_elements, one_copy
 
 
 def page_links(elements: DataFrame) -> DataFrame:
     """(url, hrefs array<string>) in document order, for pages with links."""
-    return (href_elements(elements)
-            .groupBy("url")
+    return (one_copy(href_elements(elements), elements)
+            .groupBy("page_key", "url")
             .agg(F.array_sort(F.collect_list(F.struct("pre", "href"))).alias("_l"))
             .select("url", F.transform("_l", lambda s: s["href"]).alias("hrefs")))
 
@@ -40,7 +40,7 @@ def brand_links_report(listing: DataFrame, elements: DataFrame, cfg: AuditConfig
     reduced to distinct urls first (the programs key their map by url)."""
     pages = listing.select("url").distinct()
     bl = brand_links(page_links(elements), cfg, dedupe)
-    read = elements.where("pre = 0").select("url")  # pages that were parsed
+    read = chosen_pages(elements).select("url")  # pages that were read
     return (pages.join(read, "url").join(bl, "url", "left")
             .select("url", fn.join_links(F.coalesce(F.col("links"), F.array().cast("array<string>")))
                     .alias("href_links")))
@@ -80,7 +80,7 @@ def page_domain_report(listing: DataFrame, elements: DataFrame, cfg: AuditConfig
     """O38 (+ O10 by page, O31): (url, href_links, brand_domains,
     non_brand_domains) for each distinct listed page that was read."""
     pages = listing.select("url").distinct()
-    read = elements.where("pre = 0").select("url")
+    read = chosen_pages(elements).select("url")
     dl = domain_links(page_links(elements), cfg)
     empty = F.array().cast("array<string>")
     return (pages.join(read, "url").join(dl, "url", "left")

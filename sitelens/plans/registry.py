@@ -74,7 +74,7 @@ class Fixture:
 
     def elements(self) -> DataFrame:
         """Elements of every admitted page of the site."""
-        return parsed_elements(self.pages, self.pages.select("url"), cfg)
+        return parsed_elements(self.pages, None, cfg)
 
 
 def _long(c: str) -> F.Column:
@@ -199,8 +199,9 @@ def q_section_scope(spark, sf):
 
 
 def q_section_terms(spark, sf):
-    st = blocks.section_terms(Fixture(spark, sf).elements(), cfg)
-    w = Window.partitionBy("url").orderBy("pre")
+    els = Fixture(spark, sf).elements()
+    st = blocks.section_terms(els, cfg).join(el.chosen_pages(els), "page_key")
+    w = Window.partitionBy("page_key").orderBy("pre")
     return st.select("url", F.row_number().over(w).cast("long").alias("section_no"),
                      "has_desktop", "has_mobile")
 

@@ -30,26 +30,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(write_table(df, name))
 
 
-def listed_pages(pages: DataFrame, listing: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Admitted pages (url, html, joined lines) whose url is listed.
+# Largest url list (bytes of distinct urls) sent to every task as a filter.
+BROADCAST_BUDGET = 64 * 1024 * 1024
 
-    Pages are hash-partitioned by url once; the semi join then reuses that
-    partitioning (only the url list moves), and the parse runs over
-    ``partitions`` tasks.
+
+def listing_size(listing: DataFrame) -> tuple[int, int]:
+    """Measured (distinct urls, their total bytes): one aggregate job over
+    the url list (partial aggregation, no markup read)."""
+    r = (listing.select("url").distinct()
+         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("url")), F.lit(0)).alias("b"))
+         .first())
+    return int(r["n"]), int(r["b"])
+
+
+def listed_pages(pages: DataFrame, listing: DataFrame | None,
+                 budget: int = BROADCAST_BUDGET) -> DataFrame:
+    """Admitted pages (url, html with joined lines) to parse for ``listing``.
+
+    The pages table is the large side and is never shuffled. When the url
+    list is measured to fit ``budget`` (bytes of url text plus a per-row
+    allowance), it is broadcast and the pages are filtered where they lie.
+    Beyond that no filter is applied: every admitted page is parsed in place
+    and each report joins its small per-page facts to the listing, which is
+    cheaper than moving the markup through a shuffle.
     """
-    spark = pages.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bodies = page_bodies(pages).repartition(n, "url")
-    wanted = listing.select("url").distinct()
-    return bodies.join(wanted, "url", "left_semi")
+    bodies = page_bodies(pages)
+    if listing is None:  # the whole crawl
+        return bodies
+    n, b = listing_size(listing)
+    if b + 64 * n <= budget:
+        wanted = F.broadcast(listing.select("url").distinct())
+        return bodies.join(wanted, "url", "left_semi")
+    return bodies
 
 
-def parsed_elements(pages: DataFrame, listing: DataFrame, cfg: AuditConfig = DEFAULT,
+def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfig = DEFAULT,
                     persist: bool = True) -> DataFrame:
-    """O8 > O9 > O16 for the listed pages, written once when ``persist``."""
-    src = listed_pages(pages, listing)
-    n = src.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    els = extract_elements(src, cfg, partitions=int(n))
+    """O8 > O9 > O16 for the listed pages (all admitted pages when
+    ``listing`` is None), written once when ``persist``."""
+    els = extract_elements(listed_pages(pages, listing), cfg)
     return materialize(els, "elements") if persist else els
 
 

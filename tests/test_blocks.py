@@ -109,3 +109,18 @@ def test_admission_307_read_303_skipped(spark, make_pages):
     assert sorted(r["url"] for r in el.admit_pages(pages).collect()) == ["a", "d"]
     rej = {r["url"]: r["reason"] for r in el.rejects(pages).collect()}
     assert rej == {"b": "redirect", "c": "http_error"}
+
+
+def test_copies_of_one_url_do_not_mix(spark, make_pages):
+    # three fetched copies of one url; each copy alone gives Desktop Mobile
+    # for the banner; mixed pre-orders would pull in the other copies' sections
+    url = "https://www.example.com/express/dup"
+    a = '<div class="banner"><p>x</p></div>'
+    b = '<p>y</p><div class="banner"><p>x</p></div><i>z</i>'
+    pages = make_pages([(url, 200, a), (url, 200, b), (url, 200, a)])
+    els = parsed_elements(pages, None, CFG, persist=False)
+    assert els.where("pre = 0").count() == 3
+    rows = blocks.block_variant_layout_counts(els, CFG).collect()
+    assert [(r["block"], r["layout"], r["n"]) for r in rows] == [("banner", "Desktop Mobile", 1)]
+    counts = blocks.block_counts(els, CFG.vocab).collect()
+    assert [(r["block"], r["n"]) for r in counts] == [("banner", 1)]
