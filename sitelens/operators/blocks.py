@@ -26,8 +26,13 @@ from ..config import (DEFAULT, DEFAULT_LAYOUT, SECTION_DESKTOP_FRAGMENT,
 from .elements import class_elements, one_copy
 
 
-def _terms_pattern(terms: Sequence[str]) -> str:
-    return "|".join(fn.regex_quote(t) for t in terms)
+def _has_any(col: str, terms: Sequence[str]):
+    """Case-sensitive find of any literal term (plain substring tests)."""
+    c = F.col(col)
+    out = c.contains(terms[0])
+    for t in terms[1:]:
+        out = out | c.contains(t)
+    return out
 
 
 def known_block_tokens(elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
@@ -94,12 +99,10 @@ def section_terms(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     has own text where ``desktop`` or ``Desktop`` is found (case-sensitive);
     likewise mobile. Computed as prefix counts of term hits in pre-order.
     """
-    d_pat = _terms_pattern(SECTION_DESKTOP_TERMS)
-    m_pat = _terms_pattern(SECTION_MOBILE_TERMS)
     hits = (elements
             .select("page_key", "pre",
-                    F.col("own_text").rlike(d_pat).cast("int").alias("d"),
-                    F.col("own_text").rlike(m_pat).cast("int").alias("m"))
+                    _has_any("own_text", SECTION_DESKTOP_TERMS).cast("int").alias("d"),
+                    _has_any("own_text", SECTION_MOBILE_TERMS).cast("int").alias("m"))
             .where("d + m > 0"))
     sections = section_elements(elements, cfg)
     # kind 0: section start (read before hits at that pre), 1: term hit,

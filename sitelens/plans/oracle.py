@@ -219,6 +219,42 @@ ORACLES: dict[str, str] = {
         from qi_read q join site_pages s on s.url = q.url group by index_url""",
     "unique_domains": with_("dom", "qi_read") + """select distinct q.family, o as origin
         from (select url, unnest(origins) as o from dom) d join qi_read q on q.url = d.url""",
+    # operator forms (listing = every page of the site)
+    "known_block_filter": with_("cls_d") + f"""select url, token as block
+        from (select url, unnest(toks) as token from cls_d) where list_contains({VOCAB}, token)""",
+    "brand_link_filter": with_("hrefs") + f"""select url, h as href
+        from (select url, unnest(hs) as h from hrefs) where {_brand('h')}""",
+    "extract_elements": with_("admitted") + """select url,
+        len(regexp_extract_all(html, '<[a-zA-Z]', 0))::BIGINT as n_elements from admitted""",
+    "variant_name": with_("blk") + "select url, variant from blk",
+    "join_links": with_("hrefs") + f"select url, {_join_links('hs')} as href_links from hrefs where len(hs) > 0",
+    "split_star": with_("hrefs") + """select url, unnest(list_filter(regexp_split_to_array(h, '[*]+'),
+        lambda x: x <> '')) as part from (select url, unnest(hs) as h from hrefs)""",
+    "block_matrix": with_("cls_d", "site_pages") + f"""select l.url,
+       {VOCAB_COLS}
+from (select url from site_pages) l
+left join (select url, tok, count(*) as n from (select url, unnest(toks) as tok from cls_d) group by all) c
+  on c.url = l.url
+group by l.url""",
+    "block_variant_layout_report": block_report("site_pages", "select url from site_pages", None),
+    "brand_links_report": with_("hrefs") + f"""select h.url,
+        {_join_links(_dedupe(f"list_filter(hs, lambda x: {_brand('x')})"))} as href_links from hrefs h""",
+    "link_rows": with_("hrefs") + f"""select p.url, (p.i - 1)::BIGINT as i, (p.j - 1)::BIGINT as j,
+        p.parts[p.j] as link
+        from (select url, i, parts, generate_subscripts(parts, 1) as j
+              from (select url, i, list_filter(regexp_split_to_array(kept[i], '[*]+'), lambda x: x <> '') as parts
+                    from (select url, kept, generate_subscripts(kept, 1) as i
+                          from (select url, {_dedupe('hs')} as kept from hrefs)))) p""",
+    "page_domain_report": with_("dom") + f"""select url, {_join_links('kept')} as href_links,
+        {_join_links('brand')} as brand_domains, {_join_links('non_brand')} as non_brand_domains from dom""",
+    "media_report": with_("media") + """select 'site' as sheet, url,
+        '[' || array_to_string(ids, ', ') || ']' as template_ids from media where len(ids) > 0""",
+    "write_report": with_("hrefs", "cell_urls") + f"""select h.url as "URL",
+        {_join_links(f"list_filter(hs, lambda x: {_brand('x')})")} as "HREF LINKS"
+        from hrefs h where h.url in (select url from cell_urls)""",
+    "write_report_by_sheet": with_("media", "cell_urls") + """select distinct c.sheet, m.url as "Url",
+        '[' || array_to_string(m.ids, ', ') || ']' as "Template Ids"
+        from media m join cell_urls c on c.url = m.url where len(m.ids) > 0""",
     # whole reports
     "report_block_matrix": with_("cls_d", "cell_urls") + f"""select l.url,
        {VOCAB_COLS}

@@ -262,6 +262,86 @@ def q_crawl_tally(spark, sf):
     return pg.crawl_tally(f.qi_listing(), f.pages)
 
 
+# -- operator forms (listing = every page of the site) --------------------------
+def q_known_block_filter(spark, sf):
+    return blocks.known_block_tokens(Fixture(spark, sf).elements(), cfg.vocab).select("url", "block")
+
+
+def q_brand_link_filter(spark, sf):
+    h = el.href_elements(Fixture(spark, sf).elements())
+    return h.where(fn.is_brand("href", cfg.brand)).select("url", "href")
+
+
+def q_extract_elements(spark, sf):
+    return (Fixture(spark, sf).elements().groupBy("url")
+            .agg(F.count(F.lit(1)).alias("n_elements")))
+
+
+def q_variant_name(spark, sf):
+    return blocks.block_elements(Fixture(spark, sf).elements(), cfg).select("url", "variant")
+
+
+def q_join_links(spark, sf):
+    return links.page_links(Fixture(spark, sf).elements()).select(
+        "url", fn.join_links("hrefs").alias("href_links"))
+
+
+def q_split_star(spark, sf):
+    return (el.href_elements(Fixture(spark, sf).elements())
+            .select("url", F.explode(fn.split_star("href")).alias("part")))
+
+
+def q_block_matrix(spark, sf):
+    f = Fixture(spark, sf)
+    return blocks.block_matrix(f.pages.select("url"), f.elements(), cfg.vocab)
+
+
+def q_block_variant_layout_report(spark, sf):
+    f = Fixture(spark, sf)
+    return blocks.block_variant_layout_report(f.pages.select("url"), f.elements(), None, cfg)
+
+
+def q_brand_links_report(spark, sf):
+    f = Fixture(spark, sf)
+    return links.brand_links_report(f.pages.select("url"), f.elements(), cfg, dedupe=True)
+
+
+def q_link_rows(spark, sf):
+    f = Fixture(spark, sf)
+    listing = f.pages.select("url", F.col("page_id").alias("page_seq"))
+    return links.link_rows(listing, f.elements()).select("url", _long("i"), _long("j"), "link")
+
+
+def q_page_domain_report(spark, sf):
+    f = Fixture(spark, sf)
+    return links.page_domain_report(f.pages.select("url"), f.elements(), cfg)
+
+
+def q_media_report(spark, sf):
+    f = Fixture(spark, sf)
+    return pg.media_report(f.pages.select(F.lit("site").alias("sheet"), "url"), f.pages, cfg)
+
+
+def q_write_report(spark, sf):
+    """O43 round trip: the P5 report written as CSV with its headers, read back."""
+    from ..session import checkpoint_dir
+    from ..sinks import read_report, write_report
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-links-{uuid.uuid4().hex}"
+    write_report(q_report_brand_links_all(spark, sf), path, "links")
+    return read_report(spark, path, "`URL` string, `HREF LINKS` string")
+
+
+def q_write_report_by_sheet(spark, sf):
+    """O44 round trip: the P10 report written one folder per sheet, read back."""
+    from ..session import checkpoint_dir
+    from ..sinks import read_report, write_report_by_sheet
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-media-{uuid.uuid4().hex}"
+    write_report_by_sheet(q_report_media(spark, sf), path, "media")
+    return read_report(spark, path, "`Url` string, `Template Ids` string, sheet string")
+
+
 # -- whole reports --------------------------------------------------------------
 def q_report_block_matrix(spark, sf):
     f = Fixture(spark, sf)

@@ -24,10 +24,21 @@ LAYOUTS: dict[str, list[tuple[str, str]]] = {
 }
 
 
+# Null marker in CSV output: keeps '' (a page without links) apart from null
+# (no last-modified date) when a report is read back.
+CSV_NULL = "\\N"
+
+
 def _csv(writer):
     # values are written as they are: the joined lists start with a newline
     return (writer.option("header", "true").option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false"))
+            .option("ignoreTrailingWhiteSpace", "false").option("nullValue", CSV_NULL))
+
+
+def read_report(spark, path: str, schema: str):
+    """Read a CSV report written by ``write_report``/``write_report_by_sheet``."""
+    return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
+            .option("nullValue", CSV_NULL).csv(path))
 
 
 def with_headers(df: DataFrame, kind: str) -> DataFrame:

@@ -56,7 +56,8 @@ def test_sinks_write_headers(spark):
     out = tempfile.mkdtemp(prefix="sitelens-sink-")
     df = spark.createDataFrame([("u", "\na\nb")], "url string, href_links string")
     write_report(df, f"{out}/links", "links")
-    back = spark.read.option("header", "true").option("multiLine", "true").csv(f"{out}/links")
+    from sitelens.sinks import read_report
+    back = read_report(spark, f"{out}/links", "`URL` string, `HREF LINKS` string")
     assert back.columns == ["URL", "HREF LINKS"]
     assert back.first()["HREF LINKS"] == "\na\nb"
     media = spark.createDataFrame([("s1", "u", "[x]"), ("s2", "v", "[y]")], "sheet string, url string, template_ids string")
