@@ -115,3 +115,20 @@ def test_last_wins(spark):
     df = spark.createDataFrame([("u", 1, "a"), ("u", 3, "c"), ("u", 2, "b"), ("v", 1, "x")], "k string, o int, v string")
     got = {r["k"]: r["v"] for r in pg.last_wins(df, ["k"], ["o"], ["v"]).collect()}
     assert got == {"u": "c", "v": "x"}
+
+
+def test_sitemap_element_quirks(spark):
+    docs = spark.createDataFrame([
+        ("d1", 200, "<urlset><url><LOC>https://p/A</LOC></url><url><a:loc>https://p/B</a:loc></url>"
+                    "<url><loc> https://p/C </loc><lastmod> 2024 </lastmod></url>"
+                    "<url><loc>x</loc><loc>y</loc></url></urlset>"),
+        ("d2", 200, '<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+                    "  <url>\n    <loc>https://p/D</loc>\n  </url>\n</urlset>"),
+        ("d3", 404, "<urlset><url><loc>https://p/E</loc></url></urlset>"),
+    ], "doc_url string, status int, body string")
+    m = sorted((r["loc"], r["lastmod"]) for r in src.read_sitemap_urls(docs, "map").collect())
+    # <LOC> matches ignoring case, <a:loc> does not, text is not trimmed,
+    # the last loc of an element wins, a non-200 document is not read
+    assert m == [(" https://p/C ", " 2024 "), ("https://p/A", ""), ("https://p/D", ""), ("y", "")]
+    lst = sorted(r["loc"] for r in src.read_sitemap_urls(docs, "list").collect())
+    assert lst == [" https://p/C ", "https://p/A", "https://p/D", "x", "y"]
