@@ -149,10 +149,11 @@ def sitemap_pages(index_urls: DataFrame, docs: DataFrame, mode: str = "map") ->
     idx_docs = docs.join(index_urls.withColumnRenamed("index_url", "doc_url"), "doc_url") \
         .withColumnRenamed("doc_url", "index_url")
     children = read_sitemap_index(idx_docs).join(index_urls, "index_url")
-    child_docs = docs.join(children.select(F.col("sitemap_url").alias("doc_url"), "index_seq",
-                                           "child_pos"), "doc_url")
+    order = children.select(F.col("sitemap_url").alias("doc_url"), "index_seq", "child_pos")
+    # each child document is parsed once, however often the indexes list it;
+    # its pages are then repeated once per listing (list mode keeps repeats)
+    child_docs = docs.join(order.select("doc_url").distinct(), "doc_url", "left_semi")
     urls = read_sitemap_urls(child_docs.select("doc_url", "status", "body"), mode)
-    order = child_docs.select("doc_url", "index_seq", "child_pos")
     listed = urls.join(order, "doc_url").select(
         F.col("loc").alias("url"), "lastmod", "index_seq", "child_pos", "pos", "doc_url")
     if mode == "map":

@@ -132,3 +132,15 @@ def test_sitemap_element_quirks(spark):
     assert m == [(" https://p/C ", " 2024 "), ("https://p/A", ""), ("https://p/D", ""), ("y", "")]
     lst = sorted(r["loc"] for r in src.read_sitemap_urls(docs, "list").collect())
     assert lst == [" https://p/C ", "https://p/A", "https://p/D", "x", "y"]
+
+
+def test_child_sitemap_listed_twice_is_read_once_per_listing(spark):
+    idx = "https://s/index.xml"
+    docs = spark.createDataFrame([
+        (idx, 200, "<sitemapindex><sitemap><loc>https://s/a.xml</loc></sitemap>"
+                   "<sitemap><loc>https://s/a.xml</loc></sitemap></sitemapindex>"),
+        ("https://s/a.xml", 200, "<urlset><url><loc>https://p/1</loc></url></urlset>"),
+    ], "doc_url string, status int, body string")
+    index_urls = spark.createDataFrame([(idx, 0)], "index_url string, index_seq long")
+    assert src.sitemap_pages(index_urls, docs, "list").count() == 2
+    assert src.sitemap_pages(index_urls, docs, "map").count() == 1
