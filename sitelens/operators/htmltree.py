@@ -99,9 +99,6 @@ class _Builder:
             self.body = self._new("body", {})
             self.stack.append(self.body)
 
-    def _open(self):
-        return [self.nodes[i].tag for i in self.stack]
-
     def _in_scope(self, tag, extra_stop=frozenset()):
         for i in reversed(self.stack):
             t = self.nodes[i].tag
@@ -246,9 +243,6 @@ class _Builder:
                     else:
                         end = n
                     self.handle_endtag(tag)
-                elif raw.endswith("/") and tag not in VOID and self.stack \
-                        and self.nodes[self.stack[-1]].tag == tag:
-                    pass  # a self-closing non-void start tag opens an element (HTML rules)
             elif m.group(1) is not None:
                 self.handle_endtag(m.group(1).lower())
             # comments, doctype and processing instructions are dropped

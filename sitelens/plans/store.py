@@ -70,7 +70,3 @@ def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfi
     ``listing`` is None), written once when ``persist``."""
     els = extract_elements(listed_pages(pages, listing), cfg)
     return materialize(els, "elements") if persist else els
-
-
-def page_urls(pages: DataFrame) -> DataFrame:
-    return pages.select("url", F.col("status"))

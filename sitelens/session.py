@@ -16,8 +16,10 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # One page row can be large; keep Arrow batches to the element pass small.
+    # One page row can be large; keep Arrow batches to the element pass small,
+    # by count and by bytes (a batch of very large pages stays bounded).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 

@@ -69,10 +69,25 @@ def main(argv):
         p = plan_text(df)
         print(f"{name}: {time.time() - t:.2f}s broadcast_joins={p.count('BroadcastHashJoin')} "
               f"smj={p.count('SortMergeJoin')} exchanges={p.count('Exchange')}", flush=True)
-    # the parse input: no markup exchange between the scan and the Python step
+    # the parse input: between the pages scan and the Python step there must be
+    # no hash exchange (the listing side sits under a BroadcastExchange)
     src_plan = plan_text(parsed_elements(pages, listing, cfg, persist=False))
-    print("parse plan has a hash exchange of pages:", "hashpartitioning(url" in src_plan)
-    print("parse plan broadcasts the listing:", "BroadcastExchange" in src_plan)
+    pages_side = []
+    skip_indent = None
+    for line in src_plan.splitlines():
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if skip_indent is not None and indent > skip_indent:
+            continue
+        skip_indent = None
+        if "BroadcastExchange" in line:
+            skip_indent = indent
+            continue
+        pages_side.append(line.strip())
+    print("pages side of the parse plan:")
+    for line in pages_side:
+        print("   ", line[:150])
+    print("hash exchange on the pages side:", any("hashpartitioning" in x for x in pages_side))
+    print("listing filter broadcast:", "BroadcastExchange" in src_plan)
     spark.stop()
 
 
