@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as fn
-from ..config import DEFAULT, REDIRECT_STATUSES, AuditConfig
+from ..config import (DEFAULT, REDIRECT_STATUSES, SECTION_DESKTOP_TERMS, SECTION_MOBILE_TERMS,
+                      AuditConfig)
 from ..session import ship_package
 from .htmltree import parse_elements
 
@@ -64,7 +65,7 @@ def rejects(pages: DataFrame) -> DataFrame:
                     .otherwise(F.lit("http_error")).alias("reason")))
 
 
-def _extract_batches(labels):
+def _extract_batches(labels, keep_terms=None):
     labels = tuple(labels)
 
     def run(batches):
@@ -74,7 +75,7 @@ def _extract_batches(labels):
             htmls = rb.column(2).to_pylist()
             cols = [[] for _ in range(12)]
             for key, url, html in zip(keys, urls, htmls):
-                for e in parse_elements(html or "", labels):
+                for e in parse_elements(html or "", labels, keep_terms):
                     cols[0].append(key)
                     cols[1].append(url)
                     for k in range(10):
@@ -95,9 +96,15 @@ def _extract_batches(labels):
 
 
 def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, keep: str = "all") -> DataFrame:
     """One row per element of each page (url, html).
 
+    keep='all' emits every element. keep='facts' emits only the rows the
+    reports read (the root, elements with ``class...``/``href...``
+    attributes, and elements whose own text holds a section term); numbering
+    and intervals are the same, and the store shrinks to a fraction of the
+    markup (paragraph text is not carried).
+
     Callers pass admitted pages (O8) with joined lines (O9): filters do not
     push through the Python step, so they must come first. The parse runs
     where the pages are: each page is one row, so no shuffle of markup is
@@ -122,7 +129,8 @@ def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
             src = src.repartition(want)
         key = F.monotonically_increasing_id()
     src = src.select(key.alias("page_key"), "url", "html")
-    return src.mapInArrow(_extract_batches(cfg.labels), ELEMENT_SCHEMA)
+    terms = None if keep == "all" else tuple(SECTION_DESKTOP_TERMS + SECTION_MOBILE_TERMS)
+    return src.mapInArrow(_extract_batches(cfg.labels, terms), ELEMENT_SCHEMA)
 
 
 def chosen_pages(elements: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def _own_text(pieces) -> str:
     return "".join(out).strip(" ")
 
 
-def parse_elements(html: str, labels=("Desktop", "Mobile")):
+def parse_elements(html: str, labels=("Desktop", "Mobile"), keep_terms=None):
     """Return one tuple per element, in pre-order.
 
     Tuple: (pre, end, parent_pre, parent_end, depth, tag, attrs, own_text,
@@ -289,6 +289,11 @@ def parse_elements(html: str, labels=("Desktop", "Mobile")):
     child whose own text equals the label ignoring case is a hit; otherwise
     the first child that has children is descended into and its answer is
     final.
+
+    ``keep_terms`` (a tuple of strings) selects the rows the reports read:
+    the root, elements with an attribute named ``class...`` or ``href...``,
+    and elements whose own text contains one of the terms. Every element is
+    still numbered, so intervals and parents stay exact. None keeps all.
     """
     b = _Builder()
     try:
@@ -324,6 +329,10 @@ def parse_elements(html: str, labels=("Desktop", "Mobile")):
         hit[i] = row
     out = []
     for i, x in enumerate(nodes):
+        if keep_terms is not None and i > 0 \
+                and not any(k.startswith(("class", "href")) for k in x.attrs) \
+                and not any(t in own[i] for t in keep_terms):
+            continue
         p = x.parent
         out.append((
             i, end[i], p, end[p] if p >= 0 else -1, x.depth, x.tag, x.attrs, own[i],

@@ -73,8 +73,8 @@ class Fixture:
         return src.query_index_listing(self.spark, self.index_docs, cfg)
 
     def elements(self) -> DataFrame:
-        """Elements of every admitted page of the site."""
-        return parsed_elements(self.pages, None, cfg)
+        """The whole element table (O16) of every admitted page."""
+        return parsed_elements(self.pages, None, cfg, keep="all")
 
 
 def _long(c: str) -> F.Column:

@@ -65,8 +65,9 @@ def listed_pages(pages: DataFrame, listing: DataFrame | None,
 
 
 def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfig = DEFAULT,
-                    persist: bool = True) -> DataFrame:
+                    persist: bool = True, keep: str = "facts") -> DataFrame:
     """O8 > O9 > O16 for the listed pages (all admitted pages when
-    ``listing`` is None), written once when ``persist``."""
-    els = extract_elements(listed_pages(pages, listing), cfg)
+    ``listing`` is None), written once when ``persist``. The reports need
+    only the fact rows (keep='facts'); keep='all' gives the whole table."""
+    els = extract_elements(listed_pages(pages, listing), cfg, keep=keep)
     return materialize(els, "elements") if persist else els
