@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .. import functions as fn
 from ..config import (DEFAULT, REDIRECT_STATUSES, SECTION_DESKTOP_TERMS, SECTION_MOBILE_TERMS,
                       AuditConfig)
-from ..session import ship_package
+from ..session import default_parallelism, ship_package
 from .htmltree import parse_elements
 
 ELEMENT_SCHEMA = T.StructType([
@@ -119,13 +119,13 @@ def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
     """
     spark = pages.sparkSession
     ship_package(spark)
-    want = partitions or spark.sparkContext.defaultParallelism
+    want = partitions or default_parallelism(spark)
     src = pages.select("url", "html")
     if pages.isStreaming:
         # micro-batches: a content key (copies with equal markup share it)
         key = F.xxhash64("url", "html")
     else:
-        if src.rdd.getNumPartitions() < want:
+        if _num_partitions(src) < want:
             src = src.repartition(want)
         key = F.monotonically_increasing_id()
     src = src.select(key.alias("page_key"), "url", "html")
@@ -133,6 +133,14 @@ def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
     return src.mapInArrow(_extract_batches(cfg.labels, terms), ELEMENT_SCHEMA)
 
 
+def _num_partitions(df: DataFrame) -> int:
+    """Input partitions of a plan (planning only, no job); unknown -> large."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Connect session has no RDD view
+        return 1 << 30
+
+
 def chosen_pages(elements: DataFrame) -> DataFrame:
     """One parsed copy per url, (url, page_key): the url keyed reports read
     one copy, as a map keyed by url keeps one value. A partial aggregate, so

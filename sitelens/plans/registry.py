@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..config import DEFAULT
 from ..operators import blocks, elements as el, links, pages as pg
-from ..session import apply_session_conf
+from ..session import app_id, apply_session_conf
 from ..sources import fixture as fx
 from ..sources import listing as src
 from . import reports as R
@@ -43,7 +43,7 @@ class Fixture:
         self.sf = sf_dir
 
     def _input(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf, name)
+        key = (app_id(self.spark), self.sf, name)
         path = _INPUTS.get(key)
         if path is None:
             path = _INPUTS[key] = write_table(build(), f"input-{name}")

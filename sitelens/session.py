@@ -56,7 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the operator and is read as is. Only when it
     is unset (local tests) a scratch folder is made and registered.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:  # a remote (Connect) session: the setting is all there is
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        return d or tempfile.mkdtemp(prefix="sitelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="sitelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -65,6 +68,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session, None for a Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -74,8 +97,8 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped from its installed location and added with
     ``addPyFile``, the standard way code reaches executors.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = _context(spark)
+    app = app_id(spark)
     if app in _SHIPPED:
         return
     import zipfile
@@ -91,5 +114,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:  # Spark Connect: ship as a Python artifact
+        spark.addArtifacts(zpath, pyfile=True)
     _SHIPPED.add(app)
