@@ -4,6 +4,9 @@ O13 known_block_filter, O18 primary_block, O19 variant_name, O20 chain_label,
 O21 section_scope, O22 section_terms, O23 layout_label, O24 block_matrix,
 O25 block_counts, O35 block_variant_layout_report.
 
+Element tables hold one parsed copy per url (``plans.store`` guarantees
+it); per-page windows and groups still key on ``page_key``.
+
 Subtree questions (is a term under this section? which sections lie under
 this parent?) are answered without pairing elements: each page becomes an
 ordered stream of events (term hits, sections, scope starts and ends), a
@@ -23,7 +26,7 @@ from .. import functions as fn
 from ..config import (DEFAULT, DEFAULT_LAYOUT, SECTION_DESKTOP_FRAGMENT,
                       SECTION_DESKTOP_TERMS, SECTION_MOBILE_FRAGMENT,
                       SECTION_MOBILE_TERMS, AuditConfig)
-from .elements import class_elements, one_copy
+from .elements import class_elements
 
 
 def _has_any(col: str, terms: Sequence[str]):
@@ -50,7 +53,7 @@ def known_block_tokens(elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
 def block_counts(elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
     """(url, block, n) over elements; every known token of an element
     counts (unlike the primary block)."""
-    return (one_copy(known_block_tokens(elements, vocab), elements)
+    return (known_block_tokens(elements, vocab)
             .groupBy("url", "block").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -186,7 +189,7 @@ def block_facts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
 
 def block_variant_layout_counts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Per page: (url, block, variant, layout, n) where n counts elements."""
-    return (one_copy(block_facts(elements, cfg), elements)
+    return (block_facts(elements, cfg)
             .groupBy("url", "block", "variant", "layout")
             .agg(F.count(F.lit(1)).alias("n")))
 

@@ -2,6 +2,7 @@
 O36 brand_links_report, O37 link_rows, O38 page_domain_report,
 O39 unique_domains.
 
+Element tables hold one parsed copy per url (``plans.store``).
 A page's links are gathered once into an array ordered by element position
 (one group per page, bounded by that page's markup); everything after that
 is higher-order array functions on the row, with no further shuffle.
@@ -14,12 +15,17 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..config import DEFAULT, AuditConfig
-from .elements import chosen_pages, href_elements, one_copy
+from .elements import href_elements
+
+
+def _read_pages(elements: DataFrame) -> DataFrame:
+    """Urls of the pages that were read (the root row of each parsed page)."""
+    return elements.where(F.col("pre") == 0).select("url")
 
 
 def page_links(elements: DataFrame) -> DataFrame:
     """(url, hrefs array<string>) in document order, for pages with links."""
-    return (one_copy(href_elements(elements), elements)
+    return (href_elements(elements)
             .groupBy("page_key", "url")
             .agg(F.array_sort(F.collect_list(F.struct("pre", "href"))).alias("_l"))
             .select("url", F.transform("_l", lambda s: s["href"]).alias("hrefs")))
@@ -40,7 +46,7 @@ def brand_links_report(listing: DataFrame, elements: DataFrame, cfg: AuditConfig
     reduced to distinct urls first (the programs key their map by url)."""
     pages = listing.select("url").distinct()
     bl = brand_links(page_links(elements), cfg, dedupe)
-    read = chosen_pages(elements).select("url")  # pages that were read
+    read = _read_pages(elements)
     return (pages.join(read, "url").join(bl, "url", "left")
             .select("url", fn.join_links(F.coalesce(F.col("links"), F.array().cast("array<string>")))
                     .alias("href_links")))
@@ -80,7 +86,7 @@ def page_domain_report(listing: DataFrame, elements: DataFrame, cfg: AuditConfig
     """O38 (+ O10 by page, O31): (url, href_links, brand_domains,
     non_brand_domains) for each distinct listed page that was read."""
     pages = listing.select("url").distinct()
-    read = chosen_pages(elements).select("url")
+    read = _read_pages(elements)
     dl = domain_links(page_links(elements), cfg)
     empty = F.array().cast("array<string>")
     return (pages.join(read, "url").join(dl, "url", "left")

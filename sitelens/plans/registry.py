@@ -200,7 +200,7 @@ def q_section_scope(spark, sf):
 
 def q_section_terms(spark, sf):
     els = Fixture(spark, sf).elements()
-    st = blocks.section_terms(els, cfg).join(el.chosen_pages(els), "page_key")
+    st = blocks.section_terms(els, cfg).join(els.where("pre = 0").select("page_key", "url"), "page_key")
     w = Window.partitionBy("page_key").orderBy("pre")
     return st.select("url", F.row_number().over(w).cast("long").alias("section_no"),
                      "has_desktop", "has_mobile")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, AuditConfig
-from ..operators.elements import extract_elements, page_bodies
+from ..operators.elements import extract_elements, one_copy, page_bodies
 from ..session import checkpoint_dir
 
 
@@ -68,6 +68,20 @@ def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfi
                     persist: bool = True, keep: str = "facts") -> DataFrame:
     """O8 > O9 > O16 for the listed pages (all admitted pages when
     ``listing`` is None), written once when ``persist``. The reports need
-    only the fact rows (keep='facts'); keep='all' gives the whole table."""
+    only the fact rows (keep='facts'); keep='all' gives the whole table.
+
+    The result holds one parsed copy per url, as the url-keyed programs read
+    one page per url: when the pages table has several fetched copies of a
+    url, one is kept (``chosen_pages``). For a written store this is checked
+    once on the root rows and the store is rewritten only if copies exist,
+    so the reports never carry the copy filter.
+    """
     els = extract_elements(listed_pages(pages, listing), cfg, keep=keep)
-    return materialize(els, "elements") if persist else els
+    if not persist:
+        return one_copy(els, els)
+    stored = materialize(els, "elements")
+    roots = stored.where(F.col("pre") == 0)
+    r = roots.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("u")).first()
+    if r["n"] == r["u"]:
+        return stored
+    return materialize(one_copy(stored, stored), "elements-one-copy")

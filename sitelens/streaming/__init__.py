@@ -54,10 +54,9 @@ def start_block_audit(pages: DataFrame, out_path: str, checkpoint: str,
     pages, written to ``out_path/batch_id=<id>``."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        els = extract_elements(page_bodies(batch), cfg)
         # the batch's element table is read by several sub-plans: write it once
-        from ..plans.store import materialize
-        els = materialize(els, f"stream-elements-{batch_id}")
+        from ..plans.store import parsed_elements
+        els = parsed_elements(batch, None, cfg)
         (blocks.block_variant_layout_counts(els, cfg)
          .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
 

@@ -118,9 +118,12 @@ def test_copies_of_one_url_do_not_mix(spark, make_pages):
     a = '<div class="banner"><p>x</p></div>'
     b = '<p>y</p><div class="banner"><p>x</p></div><i>z</i>'
     pages = make_pages([(url, 200, a), (url, 200, b), (url, 200, a)])
-    els = parsed_elements(pages, None, CFG, persist=False)
-    assert els.where("pre = 0").count() == 3
-    rows = blocks.block_variant_layout_counts(els, CFG).collect()
-    assert [(r["block"], r["layout"], r["n"]) for r in rows] == [("banner", "Desktop Mobile", 1)]
-    counts = blocks.block_counts(els, CFG.vocab).collect()
-    assert [(r["block"], r["n"]) for r in counts] == [("banner", 1)]
+    raw = el.extract_elements(el.page_bodies(pages), CFG)
+    assert raw.where("pre = 0").select("page_key").distinct().count() == 3  # three keyed copies
+    for persist in (False, True):  # lazy table and written store: one copy per url
+        els = parsed_elements(pages, None, CFG, persist=persist)
+        assert els.where("pre = 0").count() == 1
+        rows = blocks.block_variant_layout_counts(els, CFG).collect()
+        assert [(r["block"], r["layout"], r["n"]) for r in rows] == [("banner", "Desktop Mobile", 1)]
+        counts = blocks.block_counts(els, CFG.vocab).collect()
+        assert [(r["block"], r["n"]) for r in counts] == [("banner", 1)]
