@@ -57,14 +57,16 @@ def block_counts(elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
             .groupBy("url", "block").agg(F.count(F.lit(1)).alias("n")))
 
 
-def block_matrix(urls: DataFrame, elements: DataFrame, vocab: Sequence[str]) -> DataFrame:
+def block_matrix(urls: DataFrame, elements: DataFrame | None, vocab: Sequence[str],
+                 counts: DataFrame | None = None) -> DataFrame:
     """One row per distinct listed url, one zero-filled count column per
     vocabulary name. Pages that redirect or fail keep a row of zeros; a url
     listed twice is one row (the counts are reset, not summed).
 
     ``pivot`` is given the value list, so no extra job finds the values.
+    ``counts`` is a precomputed ``block_counts`` table (a fact store).
     """
-    counts = block_counts(elements, vocab)
+    counts = counts if counts is not None else block_counts(elements, vocab)
     wide = counts.groupBy("url").pivot("block", list(vocab)).agg(F.first("n"))
     listed = urls.select("url").distinct()
     out = listed.join(wide, "url", "left").na.fill(0, subset=list(vocab))
@@ -194,8 +196,9 @@ def block_variant_layout_counts(elements: DataFrame, cfg: AuditConfig = DEFAULT)
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def block_variant_layout_report(listing: DataFrame, elements: DataFrame,
-                                dates: DataFrame | None, cfg: AuditConfig = DEFAULT) -> DataFrame:
+def block_variant_layout_report(listing: DataFrame, elements: DataFrame | None,
+                                dates: DataFrame | None, cfg: AuditConfig = DEFAULT,
+                                counts: DataFrame | None = None) -> DataFrame:
     """O35 (+ O26, O34): count per (block, variant, layout, page) with the
     page language and last-modified date.
 
@@ -203,9 +206,10 @@ def block_variant_layout_report(listing: DataFrame, elements: DataFrame,
     counts twice); it is pre-aggregated to (url, times) before any join, so
     a url that is a large share of the listing never forms a hot join key.
     ``dates`` is (url, last_modified), one row per url (after O10), or None.
+    ``counts`` is a precomputed ``block_variant_layout_counts`` table.
     """
     times = listing.groupBy("url").agg(F.count(F.lit(1)).alias("times"))
-    facts = block_variant_layout_counts(elements, cfg)
+    facts = counts if counts is not None else block_variant_layout_counts(elements, cfg)
     rep = facts.join(times, "url")
     if dates is not None:
         rep = rep.join(dates.select("url", "last_modified"), "url", "left")

@@ -18,9 +18,16 @@ from ..config import DEFAULT, AuditConfig
 from .elements import href_elements
 
 
-def _read_pages(elements: DataFrame) -> DataFrame:
-    """Urls of the pages that were read (the root row of each parsed page)."""
-    return elements.where(F.col("pre") == 0).select("url")
+def read_page_links(elements: DataFrame) -> DataFrame:
+    """(url, hrefs) for every page that was read, in document order; a page
+    without links has an empty array. The per-page input of every link
+    report (a fact store keeps it written)."""
+    roots = elements.where(F.col("pre") == 0).select("page_key", "url")
+    grouped = (href_elements(elements).groupBy("page_key")
+               .agg(F.array_sort(F.collect_list(F.struct("pre", "href"))).alias("_l")))
+    return (roots.join(grouped, "page_key", "left")
+            .select("url", F.coalesce(F.transform("_l", lambda s: s["href"]),
+                                      F.array().cast("array<string>")).alias("hrefs")))
 
 
 def page_links(elements: DataFrame) -> DataFrame:
@@ -39,20 +46,19 @@ def brand_links(links: DataFrame, cfg: AuditConfig = DEFAULT, dedupe: bool = Fal
     return links.select("url", kept.alias("links"))
 
 
-def brand_links_report(listing: DataFrame, elements: DataFrame, cfg: AuditConfig = DEFAULT,
-                       dedupe: bool = False) -> DataFrame:
+def brand_links_report(listing: DataFrame, elements: DataFrame | None, cfg: AuditConfig = DEFAULT,
+                       dedupe: bool = False, links: DataFrame | None = None) -> DataFrame:
     """O36 (+ O10 by page, O31): one row per listed page that was read:
     (url, href_links); '' when the page has no brand link. ``listing`` is
     reduced to distinct urls first (the programs key their map by url)."""
     pages = listing.select("url").distinct()
-    bl = brand_links(page_links(elements), cfg, dedupe)
-    read = _read_pages(elements)
-    return (pages.join(read, "url").join(bl, "url", "left")
-            .select("url", fn.join_links(F.coalesce(F.col("links"), F.array().cast("array<string>")))
-                    .alias("href_links")))
+    pl = links if links is not None else read_page_links(elements)
+    bl = brand_links(pl, cfg, dedupe)
+    return pages.join(bl, "url").select("url", fn.join_links("links").alias("href_links"))
 
 
-def link_rows(listing: DataFrame, elements: DataFrame) -> DataFrame:
+def link_rows(listing: DataFrame, elements: DataFrame | None,
+              links: DataFrame | None = None) -> DataFrame:
     """O37 (+ O28, O32): one row per (listed page, link) after substring
     dedupe and the split on ``*`` runs. ``listing`` has (url, page_seq): a
     url listed twice gives its rows twice; pages without links are absent.
@@ -61,7 +67,8 @@ def link_rows(listing: DataFrame, elements: DataFrame) -> DataFrame:
     listing is split across tasks by AQE's skew-join handling, and when the
     link side is small it is broadcast.
     """
-    rows = (page_links(elements)
+    pl = links if links is not None else page_links(elements)
+    rows = (pl
             .select("url", F.posexplode(fn.substring_dedupe("hrefs")).alias("i", "raw"))
             .select("url", "i", F.posexplode(fn.split_star("raw")).alias("j", "link")))
     return (listing.select("url", "page_seq").join(rows, "url")
@@ -82,25 +89,24 @@ def domain_links(links: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     )
 
 
-def page_domain_report(listing: DataFrame, elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+def page_domain_report(listing: DataFrame, elements: DataFrame | None, cfg: AuditConfig = DEFAULT,
+                       links: DataFrame | None = None) -> DataFrame:
     """O38 (+ O10 by page, O31): (url, href_links, brand_domains,
     non_brand_domains) for each distinct listed page that was read."""
     pages = listing.select("url").distinct()
-    read = _read_pages(elements)
-    dl = domain_links(page_links(elements), cfg)
-    empty = F.array().cast("array<string>")
-    return (pages.join(read, "url").join(dl, "url", "left")
+    dl = domain_links(links if links is not None else read_page_links(elements), cfg)
+    return (pages.join(dl, "url")
             .select("url",
-                    fn.join_links(F.coalesce("kept", empty)).alias("href_links"),
-                    fn.join_links(F.coalesce("brand", empty)).alias("brand_domains"),
-                    fn.join_links(F.coalesce("non_brand", empty)).alias("non_brand_domains")))
+                    fn.join_links("kept").alias("href_links"),
+                    fn.join_links("brand").alias("brand_domains"),
+                    fn.join_links("non_brand").alias("non_brand_domains")))
 
 
-def unique_domains(listing: DataFrame, elements: DataFrame, cfg: AuditConfig = DEFAULT,
-                   by: str | None = "family") -> DataFrame:
+def unique_domains(listing: DataFrame, elements: DataFrame | None, cfg: AuditConfig = DEFAULT,
+                   by: str | None = "family", links: DataFrame | None = None) -> DataFrame:
     """Distinct origins of kept links, per ``by`` column of the listing
     (index family in the query-index run) or over the whole run (by=None)."""
-    dl = domain_links(page_links(elements), cfg)
+    dl = domain_links(links if links is not None else page_links(elements), cfg)
     origins = dl.select("url", F.explode("origins").alias("origin"))
     if by is None:
         return origins.select("origin").distinct()

@@ -14,105 +14,111 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, AuditConfig
 from ..operators import blocks, links, pages as pg
 from ..sources import listing as src
-from .store import parsed_elements
+from .store import FactStore, parsed_elements
 
 
 # P1 -------------------------------------------------------------------------
-def _elements(pages, listing, cfg, elements):
-    """The element table for ``listing``: parsed now, or the given store (a
-    table of already-parsed pages; every consumer joins it to the listing)."""
-    return elements if elements is not None else parsed_elements(pages, listing, cfg)
+def _elements(pages, listing, cfg, elements) -> FactStore:
+    """The page facts for ``listing``: a given ``FactStore`` (or element
+    table) of already-parsed pages, or the listed pages parsed now. Every
+    report joins the per-page facts to its listing, so a store covering more
+    pages than the listing is fine."""
+    if isinstance(elements, FactStore):
+        return elements
+    if elements is None:
+        elements = parsed_elements(pages, listing, cfg)
+    return FactStore(elements, cfg)
 
 
 def report_block_matrix(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT,
-                        elements: DataFrame | None = None) -> DataFrame:
+                        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """Page x vocabulary count matrix for the workbook urls.
     O1 > O8 > O9 > O16 > O11 > O17 > O13 > O25 > O24."""
     listing = src.cells_to_urls(cells)
     els = _elements(pages, listing, cfg, elements)
-    return blocks.block_matrix(listing, els, cfg.vocab)
+    return blocks.block_matrix(listing, None, cfg.vocab, counts=els.block_counts)
 
 
 # P2 / P3 / P4 ---------------------------------------------------------------
 def report_blocks_from_cells(spark: SparkSession, cells: DataFrame, index_docs: DataFrame,
                              pages: DataFrame, cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """block/variant/layout counts for workbook urls, dates from the
     query indexes. A url listed twice counts twice."""
     listing = src.cells_to_urls(cells)
     dates = src.index_dates(src.query_index_listing(spark, index_docs, cfg))
     els = _elements(pages, listing, cfg, elements)
-    return blocks.block_variant_layout_report(listing, els, dates, cfg)
+    return blocks.block_variant_layout_report(listing, None, dates, cfg, counts=els.layout_counts)
 
 
 def report_blocks_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
                              cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """As P2 for the query-index urls (each url once)."""
     qi = src.query_index_listing(spark, index_docs, cfg)
     dates = src.index_dates(qi)
     listing = dates.select("url")
     els = _elements(pages, listing, cfg, elements)
-    return blocks.block_variant_layout_report(listing, els, dates, cfg)
+    return blocks.block_variant_layout_report(listing, None, dates, cfg, counts=els.layout_counts)
 
 
 def report_blocks_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
                                cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """As P2 for the sitemap urls; the date is the lastmod text."""
     sm = src.sitemap_pages(index_urls, sitemap_docs, mode="map")
     dates = sm.select("url", F.col("lastmod").alias("last_modified"))
     listing = sm.select("url")
     els = _elements(pages, listing, cfg, elements)
-    return blocks.block_variant_layout_report(listing, els, dates, cfg)
+    return blocks.block_variant_layout_report(listing, None, dates, cfg, counts=els.layout_counts)
 
 
 # P5 / P6 --------------------------------------------------------------------
 def report_brand_links_all(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """P5: brand links per workbook page, repeats kept."""
     listing = src.cells_to_urls(cells)
     els = _elements(pages, listing, cfg, elements)
-    return links.brand_links_report(listing, els, cfg, dedupe=False)
+    return links.brand_links_report(listing, None, cfg, dedupe=False, links=els.links)
 
 
 def report_brand_links(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
                        cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """Brand links per query-index page, substring-deduplicated."""
     listing = src.query_index_listing(spark, index_docs, cfg).select("url")
     els = _elements(pages, listing, cfg, elements)
-    return links.brand_links_report(listing, els, cfg, dedupe=True)
+    return links.brand_links_report(listing, None, cfg, dedupe=True, links=els.links)
 
 
 # P7 -------------------------------------------------------------------------
 def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
                  cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """One row per (listed page, link) for the sitemap pages, a page
     listed twice giving its rows twice."""
     listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
     els = _elements(pages, listing, cfg, elements)
-    return links.link_rows(listing, els)
+    return links.link_rows(listing, None, links=els.links)
 
 
 # P8 / P9 --------------------------------------------------------------------
 def report_domains_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
                               cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """Links and brand / non-brand origins per query-index page."""
     listing = src.query_index_listing(spark, index_docs, cfg)
     els = _elements(pages, listing, cfg, elements)
-    return links.page_domain_report(listing, els, cfg)
+    return links.page_domain_report(listing, None, cfg, links=els.links)
 
 
 def report_domains_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
                                 cfg: AuditConfig = DEFAULT,
-        elements: DataFrame | None = None) -> DataFrame:
+        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
     """As P8 for the sitemap pages."""
     listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
     els = _elements(pages, listing, cfg, elements)
-    return links.page_domain_report(listing, els, cfg)
+    return links.page_domain_report(listing, None, cfg, links=els.links)
 
 
 # P10 ------------------------------------------------------------------------

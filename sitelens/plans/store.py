@@ -85,3 +85,56 @@ def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfi
     if r["n"] == r["u"]:
         return stored
     return materialize(one_copy(stored, stored), "elements-one-copy")
+
+
+class FactStore:
+    """Per-page fact tables of one crawl, the inputs of every report:
+
+    * ``elements``: the element table (one parsed copy per url);
+    * ``layout_counts``: (url, block, variant, layout, n) (O18-O23);
+    * ``block_counts``: (url, block, n) (O13, O25);
+    * ``links``: (url, hrefs) for every page read, in document order.
+
+    Each table depends on one page only, so all reports over a crawl are
+    joins of these tables with their listings. Tables not written are
+    derived from ``elements`` when first used.
+    """
+
+    def __init__(self, elements: DataFrame, cfg: AuditConfig = DEFAULT, layout_counts=None,
+                 block_counts=None, links=None):
+        self.elements = elements
+        self.cfg = cfg
+        self._layout_counts = layout_counts
+        self._block_counts = block_counts
+        self._links = links
+
+    @property
+    def layout_counts(self) -> DataFrame:
+        if self._layout_counts is None:
+            from ..operators.blocks import block_variant_layout_counts
+            self._layout_counts = block_variant_layout_counts(self.elements, self.cfg)
+        return self._layout_counts
+
+    @property
+    def block_counts(self) -> DataFrame:
+        if self._block_counts is None:
+            from ..operators.blocks import block_counts
+            self._block_counts = block_counts(self.elements, self.cfg.vocab)
+        return self._block_counts
+
+    @property
+    def links(self) -> DataFrame:
+        if self._links is None:
+            from ..operators.links import read_page_links
+            self._links = read_page_links(self.elements)
+        return self._links
+
+    @classmethod
+    def build(cls, pages: DataFrame, listing: DataFrame | None = None,
+              cfg: AuditConfig = DEFAULT) -> "FactStore":
+        """Parse once and write every fact table once (shared checkpoint dir)."""
+        lazy = cls(parsed_elements(pages, listing, cfg), cfg)
+        return cls(lazy.elements, cfg,
+                   layout_counts=materialize(lazy.layout_counts, "layout-counts"),
+                   block_counts=materialize(lazy.block_counts, "block-counts"),
+                   links=materialize(lazy.links, "page-links"))
