@@ -2,7 +2,9 @@
 
 Each takes the fetched pages table ``pages(url, status, html)`` plus its
 url source (workbook cells, query-index documents, or sitemap documents)
-and returns the report DataFrame; nothing is collected. Column names are
+and returns the report DataFrame; nothing is collected. ``elements`` may be
+a ``FactStore`` built once for a crawl; otherwise the listed pages are
+parsed for this report. Column names are
 snake_case; ``sinks.write_report`` renames them to the report headers.
 """
 
@@ -17,7 +19,9 @@ from ..sources import listing as src
 from .store import FactStore, parsed_elements
 
 
-# P1 -------------------------------------------------------------------------
+Facts = "DataFrame | FactStore | None"
+
+
 def _elements(pages, listing, cfg, elements) -> FactStore:
     """The page facts for ``listing``: a given ``FactStore`` (or element
     table) of already-parsed pages, or the listed pages parsed now. Every
@@ -30,8 +34,9 @@ def _elements(pages, listing, cfg, elements) -> FactStore:
     return FactStore(elements, cfg)
 
 
+# P1 -------------------------------------------------------------------------
 def report_block_matrix(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT,
-                        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                        elements: Facts = None) -> DataFrame:
     """Page x vocabulary count matrix for the workbook urls.
     O1 > O8 > O9 > O16 > O11 > O17 > O13 > O25 > O24."""
     listing = src.cells_to_urls(cells)
@@ -41,8 +46,7 @@ def report_block_matrix(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = D
 
 # P2 / P3 / P4 ---------------------------------------------------------------
 def report_blocks_from_cells(spark: SparkSession, cells: DataFrame, index_docs: DataFrame,
-                             pages: DataFrame, cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                             pages: DataFrame, cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """block/variant/layout counts for workbook urls, dates from the
     query indexes. A url listed twice counts twice."""
     listing = src.cells_to_urls(cells)
@@ -52,8 +56,7 @@ def report_blocks_from_cells(spark: SparkSession, cells: DataFrame, index_docs:
 
 
 def report_blocks_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
-                             cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                             cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """As P2 for the query-index urls (each url once)."""
     qi = src.query_index_listing(spark, index_docs, cfg)
     dates = src.index_dates(qi)
@@ -63,8 +66,7 @@ def report_blocks_from_index(spark: SparkSession, index_docs: DataFrame, pages:
 
 
 def report_blocks_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
-                               cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                               cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """As P2 for the sitemap urls; the date is the lastmod text."""
     sm = src.sitemap_pages(index_urls, sitemap_docs, mode="map")
     dates = sm.select("url", F.col("lastmod").alias("last_modified"))
@@ -75,7 +77,7 @@ def report_blocks_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, p
 
 # P5 / P6 --------------------------------------------------------------------
 def report_brand_links_all(cells: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                           elements: Facts = None) -> DataFrame:
     """P5: brand links per workbook page, repeats kept."""
     listing = src.cells_to_urls(cells)
     els = _elements(pages, listing, cfg, elements)
@@ -83,8 +85,7 @@ def report_brand_links_all(cells: DataFrame, pages: DataFrame, cfg: AuditConfig
 
 
 def report_brand_links(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
-                       cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                       cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """Brand links per query-index page, substring-deduplicated."""
     listing = src.query_index_listing(spark, index_docs, cfg).select("url")
     els = _elements(pages, listing, cfg, elements)
@@ -93,8 +94,7 @@ def report_brand_links(spark: SparkSession, index_docs: DataFrame, pages: DataFr
 
 # P7 -------------------------------------------------------------------------
 def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
-                 cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                 cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """One row per (listed page, link) for the sitemap pages, a page
     listed twice giving its rows twice."""
     listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
@@ -104,8 +104,7 @@ def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFram
 
 # P8 / P9 --------------------------------------------------------------------
 def report_domains_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
-                              cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                              cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """Links and brand / non-brand origins per query-index page."""
     listing = src.query_index_listing(spark, index_docs, cfg)
     els = _elements(pages, listing, cfg, elements)
@@ -113,8 +112,7 @@ def report_domains_from_index(spark: SparkSession, index_docs: DataFrame, pages:
 
 
 def report_domains_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
-                                cfg: AuditConfig = DEFAULT,
-        elements: "DataFrame | FactStore | None" = None) -> DataFrame:
+                                cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """As P8 for the sitemap pages."""
     listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
     els = _elements(pages, listing, cfg, elements)
