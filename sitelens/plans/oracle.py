@@ -175,7 +175,13 @@ ORACLES: dict[str, str] = {
     "last_wins": with_("qi_read") + "select url, last_modified from qi_read",
     "read_sitemap_index": with_("sm_items") + f"""select '{ROOT}/sitemap-index-' || cast(part as varchar) || '.xml' as index_url,
         (row_number() over (partition by part order by rank, doc_url) - 1)::BIGINT as child_pos, doc_url as sitemap_url
-        from (select distinct part, rank, doc_url from sm_items)""",
+        from (select distinct part, rank, doc_url from sm_items
+              union all select distinct part, 2, '{ROOT}/sitemap-broken-' || cast(part as varchar) || '.xml' from sm_items
+              union all select distinct part, 3, '{ROOT}/sitemap-gone-' || cast(part as varchar) || '.xml' from sm_items)""",
+    "sitemap_doc_rejects": with_("sm_items") + f"""select distinct '{ROOT}/sitemap-broken-' || cast(part as varchar) || '.xml'
+        as doc_url, 'child' as level, 200 as status, 'no_entries' as reason from sm_items
+        union all select distinct '{ROOT}/sitemap-gone-' || cast(part as varchar) || '.xml', 'child', 404,
+        'http_status' from sm_items""",
     "read_sitemap_urls": with_("sm_items") + """select doc_url,
         (row_number() over (partition by doc_url order by page_id) - 1)::BIGINT as pos, url as loc, lastmod from sm_items""",
     "sitemap_pages": with_("sm_map") + "select url, lastmod from sm_map",

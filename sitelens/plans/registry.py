@@ -141,6 +141,11 @@ def q_read_sitemap_urls(spark, sf):
         "doc_url", _long("pos"), "loc", "lastmod")
 
 
+def q_sitemap_doc_rejects(spark, sf):
+    f = Fixture(spark, sf)
+    return src.sitemap_doc_rejects(f.sitemap_index, f.sitemap_docs)
+
+
 def q_sitemap_pages(spark, sf):
     f = Fixture(spark, sf)
     return src.sitemap_pages(f.sitemap_index, f.sitemap_docs, mode="map")

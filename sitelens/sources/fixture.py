@@ -141,7 +141,9 @@ def sitemap_documents(spark: SparkSession, sf_dir: str, cfg: AuditConfig = DEFAU
     ``<lastmod>`` on even page ids; ``&`` is escaped. Pages with
     ``page_id % 7 = 0`` are listed again in ``/sitemap-extra-<p>.xml`` with a
     later date. The sitemap index ``/sitemap-index-<p>.xml`` lists the
-    children of part p, the extra one last (so map mode keeps its date).
+    children of part p, the extra one after the family ones (so map mode
+    keeps its date), then ``/sitemap-broken-<p>.xml`` (not parseable) and
+    ``/sitemap-gone-<p>.xml`` (404).
     """
     sp = site_pages(spark, sf_dir).select("page_id", "url")
     root = cfg.site_root
@@ -169,6 +171,18 @@ def sitemap_documents(spark: SparkSession, sf_dir: str, cfg: AuditConfig = DEFAU
                 .select("part", "rank", "doc_url", F.concat(
                     F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset>'), F.col("items"),
                     F.lit("</urlset>")).alias("body")))
+    # per part, a child that does not parse and a child that answers 404,
+    # listed last: reading skips them, the rejects report lists them
+    parts = items.select("part").distinct()
+    bad = (parts.select("part", F.lit(2).alias("rank"),
+                        F.concat(F.lit(root + "/sitemap-broken-"), F.col("part").cast("string"),
+                                 F.lit(".xml")).alias("doc_url"),
+                        F.lit("<urlset><url><loc>").alias("body"))
+           .unionByName(parts.select("part", F.lit(3).alias("rank"),
+                                     F.concat(F.lit(root + "/sitemap-gone-"), F.col("part").cast("string"),
+                                              F.lit(".xml")).alias("doc_url"),
+                                     F.lit("<urlset></urlset>").alias("body"))))
+    children = children.unionByName(bad)
     index = (children.groupBy("part")
              .agg(F.array_join(F.transform(
                  F.array_sort(F.collect_list(F.struct("rank", "doc_url"))),
@@ -178,7 +192,8 @@ def sitemap_documents(spark: SparkSession, sf_dir: str, cfg: AuditConfig = DEFAU
                               F.lit(".xml")).alias("doc_url"),
                      F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><sitemapindex>'),
                               F.col("items"), F.lit("</sitemapindex>")).alias("body")))
-    return (children.select("doc_url", F.lit(200).alias("status"), "body")
+    status = F.when(F.col("rank") == 3, F.lit(404)).otherwise(F.lit(200))
+    return (children.select("doc_url", status.alias("status"), "body")
             .unionByName(index.select("doc_url", F.lit(200).alias("status"), "body")))
 
 

@@ -138,6 +138,26 @@ def read_sitemap_urls(docs: DataFrame, mode: str = "map") -> DataFrame:
                     F.lit(None).cast("string").alias("lastmod")))
 
 
+def sitemap_doc_rejects(index_urls: DataFrame, docs: DataFrame) -> DataFrame:
+    """O45 for sitemaps: (doc_url, level, status, reason) of each listed
+    sitemap-index or child document that yields no entries: not fetched, a
+    status other than 200, or no ``sitemap``/``url`` element (malformed XML
+    included)."""
+    def rejects(listed: DataFrame, schema: str, field: str, level: str) -> DataFrame:
+        j = listed.join(docs, "doc_url", "left")
+        x = F.from_xml("body", schema, _XML_OPTS)[field]
+        reason = (F.when(F.col("status").isNull(), F.lit("not_fetched"))
+                  .when(F.col("status") != INDEX_OK_STATUS, F.lit("http_status"))
+                  .when(x.isNull(), F.lit("no_entries")))
+        return (j.select("doc_url", F.lit(level).alias("level"), "status", reason.alias("reason"))
+                .where(F.col("reason").isNotNull()))
+    idx = index_urls.select(F.col("index_url").alias("doc_url")).distinct()
+    idx_docs = docs.join(idx, "doc_url", "left_semi").withColumnRenamed("doc_url", "index_url")
+    children = read_sitemap_index(idx_docs).select(F.col("sitemap_url").alias("doc_url")).distinct()
+    return (rejects(idx, SITEMAP_INDEX_SCHEMA, "sitemap", "index")
+            .unionByName(rejects(children, URLSET_SCHEMA, "url", "child")))
+
+
 def sitemap_pages(index_urls: DataFrame, docs: DataFrame, mode: str = "map") -> DataFrame:
     """Sitemap index -> child sitemaps -> pages.
 
