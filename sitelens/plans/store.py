@@ -35,10 +35,11 @@ BROADCAST_BUDGET = 64 * 1024 * 1024
 
 
 def listing_size(listing: DataFrame) -> tuple[int, int]:
-    """Measured (distinct urls, their total bytes): one aggregate job over
-    the url list (partial aggregation, no markup read)."""
-    r = (listing.select("url").distinct()
-         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("url")), F.lit(0)).alias("b"))
+    """Upper bound of the url list: (rows, bytes of url text) over the
+    listing as it is. One global aggregate (partial sums per task, no
+    shuffle of urls); repeats only make the bound larger, never smaller."""
+    r = (listing.agg(F.count(F.lit(1)).alias("n"),
+                     F.coalesce(F.sum(F.length("url")), F.lit(0)).alias("b"))
          .first())
     return int(r["n"]), int(r["b"])
 
@@ -47,9 +48,10 @@ def listed_pages(pages: DataFrame, listing: DataFrame | None,
                  budget: int = BROADCAST_BUDGET) -> DataFrame:
     """Admitted pages (url, html with joined lines) to parse for ``listing``.
 
-    The pages table is the large side and is never shuffled. When the url
-    list is measured to fit ``budget`` (bytes of url text plus a per-row
-    allowance), it is broadcast and the pages are filtered where they lie.
+    The pages table is the large side and is never shuffled. When an upper
+    bound of the url list (bytes of url text plus a per-row allowance, over
+    all listing rows) fits ``budget``, the distinct urls are broadcast and
+    the pages are filtered where they lie.
     Beyond that no filter is applied: every admitted page is parsed in place
     and each report joins its small per-page facts to the listing, which is
     cheaper than moving the markup through a shuffle.
