@@ -1,9 +1,9 @@
 """Scalar column functions (native Spark expressions, no Python at run time).
 
 Each function takes and returns ``Column``s, so it composes inside
-``select``/``where`` and stays in whole-stage codegen. The matching DuckDB
-text for the oracles is kept next to each function where the dialects
-differ.
+``select``/``where`` and stays in whole-stage codegen. Patterns use no
+look-around, so the same text runs in Java regex and in RE2 (the DuckDB
+oracles in ``plans/oracle.py`` reuse them).
 """
 
 from __future__ import annotations

@@ -3,11 +3,12 @@ element extraction (O16) with its two element filters (O11, O12).
 
 The element table is the one intermediate every report reads:
 
-    url, pre, end, parent_pre, parent_end, depth, tag,
+    page_key, url, pre, end, parent_pre, parent_end, depth, tag,
     attrs map<string,string>, own_text, n_children, chain_labels array<string>
 
-``pre..end`` is the pre-order interval of the element's subtree, so subtree
-and scope questions become interval arithmetic on native columns.
+``page_key`` identifies one fetched page row; ``pre..end`` is the pre-order
+interval of the element's subtree, so subtree and scope questions become
+interval arithmetic on native columns.
 """
 
 from __future__ import annotations
