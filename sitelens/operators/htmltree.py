@@ -35,6 +35,7 @@ SPECIAL = frozenset((
 ).split())
 SCOPE_STOP = frozenset("applet caption html table td th marquee object template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BUTTON = frozenset(["button"])
 
 _WS = re.compile(r"[ \t\n\f\r\xa0]+")
 
@@ -115,7 +116,7 @@ class _Builder:
                 return
 
     def _close_p(self):
-        if self._in_scope("p", frozenset(["button"])):
+        if self._in_scope("p", _BUTTON):
             self._pop_until({"p"})
 
     # -- parser callbacks --------------------------------------------------
