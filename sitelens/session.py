@@ -94,17 +94,29 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (once per application).
 
-    The package is zipped from its installed location and added with
-    ``addPyFile``, the standard way code reaches executors.
+    The package is zipped from its installed location into the checkpoint
+    folder and added with ``addPyFile``, the standard way code reaches
+    executors. (The zip is written with local file calls, so the folder must
+    be mounted on the driver; otherwise install the package on the cluster.)
     """
     sc = _context(spark)
     app = app_id(spark)
     if app in _SHIPPED:
         return
+    import uuid
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="sitelens-pyfiles-")
+    # the archive goes to the shared checkpoint folder (a local path when the
+    # session is local), from where addPyFile serves it to the executors
+    ck = checkpoint_dir(spark)
+    if "://" in ck and not ck.startswith("file:"):
+        # a remote store is not writable with local file calls: stage the
+        # archive on the driver, addPyFile serves it to the executors
+        out_dir = tempfile.mkdtemp(prefix="sitelens-pyfiles-")
+    else:
+        out_dir = os.path.join(ck.replace("file://", "").replace("file:", ""), f"pyfiles-{uuid.uuid4().hex}")
+        os.makedirs(out_dir, exist_ok=True)
     zpath = os.path.join(out_dir, "sitelens.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _dirs, files in os.walk(pkg_dir):
