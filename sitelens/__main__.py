@@ -30,7 +30,7 @@ KINDS = {
 }
 
 
-def main(argv=None) -> None:
+def _parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="sitelens")
     ap.add_argument("report", choices=sorted(KINDS))
     for a in ("--pages", "--cells", "--index-docs", "--sitemap-docs", "--sitemap-index"):
@@ -41,7 +41,12 @@ def main(argv=None) -> None:
     ap.add_argument("--site-root")
     ap.add_argument("--brand")
     ap.add_argument("--vocab")
-    a = ap.parse_args(argv)
+    return ap
+
+
+def run(argv, spark) -> None:
+    """Run the report named in ``argv`` on ``spark`` and write it."""
+    a = _parser().parse_args(argv)
     cfg = DEFAULT
     if a.site_root:
         cfg = dataclasses.replace(cfg, site_root=a.site_root)
@@ -49,7 +54,6 @@ def main(argv=None) -> None:
         cfg = dataclasses.replace(cfg, brand=a.brand)
     if a.vocab:
         cfg = dataclasses.replace(cfg, vocab=tuple(v for v in a.vocab.split(",") if v))
-    spark = build_session(master=a.master) if a.master else build_session(master="local[*]")
     read = spark.read.parquet
     pages = read(a.pages)
     r = a.report
@@ -77,7 +81,15 @@ def main(argv=None) -> None:
         write_report_by_sheet(df, a.out, "media", a.format)
     else:
         write_report(df, a.out, KINDS[r], a.format)
-    spark.stop()
+
+
+def main(argv=None) -> None:
+    a, _ = _parser().parse_known_args(argv)
+    spark = build_session(master=a.master or "local[*]")
+    try:
+        run(argv, spark)
+    finally:
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -63,3 +63,17 @@ def test_parse_input_has_no_hash_exchange_of_pages(spark):
     assert "BroadcastExchange" in plan  # the measured url list is broadcast
     # no hash-partitioned exchange carries the markup to the Python step
     assert "hashpartitioning(url" not in plan.split("BroadcastExchange")[0]
+
+
+def test_command_line_report(spark, tmp_path):
+    from sitelens.__main__ import run
+    from sitelens.sinks import read_report
+    pages = fx.site_pages(spark, SF)
+    pages.write.mode("overwrite").parquet(str(tmp_path / "pages"))
+    fx.index_documents(spark, SF, cfg).write.mode("overwrite").parquet(str(tmp_path / "docs"))
+    run(["report_domains_from_index", "--pages", str(tmp_path / "pages"), "--index-docs",
+         str(tmp_path / "docs"), "--out", str(tmp_path / "out")], spark)
+    back = read_report(spark, str(tmp_path / "out"),
+                       "`URL` string, `HREF LINKS` string, `BRAND DOMAINS` string, `NON-BRAND DOMAINS` string")
+    want = R.report_domains_from_index(spark, fx.index_documents(spark, SF, cfg), pages, cfg)
+    assert rows(back) == rows(want)
