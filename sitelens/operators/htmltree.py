@@ -214,23 +214,24 @@ class _Builder:
         while pos < n:
             m = match(html, pos)
             end = m.end()
-            tok = m.group(0)
-            c0 = tok[0]
-            if c0 != "<" or len(tok) == 1:
-                self.handle_data(unescape(tok) if "&" in tok else tok)
-            elif m.group(2) is not None:
+            li = m.lastindex
+            if li is None:  # text, a lone '<', or a comment / doctype (dropped)
+                tok = m.group(0)
+                if tok[0] != "<" or len(tok) == 1:
+                    self.handle_data(unescape(tok) if "&" in tok else tok)
+            elif li == 1:
+                self.handle_endtag(m.group(1).lower())
+            else:
                 tag = m.group(2).lower()
-                raw = m.group(3) or ""
+                raw = m.group(3)
                 attrs = []
-                for a in _ATTR.finditer(raw):
-                    v = a.group(2)
-                    if v is None:
-                        v = a.group(3)
-                    if v is None:
-                        v = a.group(4)
-                    if v is not None and "&" in v:
-                        v = unescape(v)
-                    attrs.append((a.group(1).lower(), v))
+                if raw:
+                    for a in _ATTR.finditer(raw):
+                        name, v2, v3, v4 = a.groups()
+                        v = v2 if v2 is not None else (v3 if v3 is not None else v4)
+                        if v is not None and "&" in v:
+                            v = unescape(v)
+                        attrs.append((name.lower(), v))
                 self.handle_starttag(tag, attrs)
                 if tag in RAW_TEXT or tag in RCDATA:
                     close = re.compile(r"</" + tag + r"[\s/>]", re.I).search(html, end)
@@ -244,9 +245,6 @@ class _Builder:
                     else:
                         end = n
                     self.handle_endtag(tag)
-            elif m.group(1) is not None:
-                self.handle_endtag(m.group(1).lower())
-            # comments, doctype and processing instructions are dropped
             pos = end
 
     def handle_data(self, data):
@@ -309,8 +307,7 @@ def parse_elements(html: str, labels=("Desktop", "Mobile"), keep_terms=None):
         p = nodes[i].parent
         if p >= 0 and end[i] > end[p]:
             end[p] = end[i]
-    own = [_own_text(x.text) for x in nodes]
-    own_l = [t.lower() for t in own]
+    own = [_own_text(x.text) if x.text else "" for x in nodes]
     lab_l = [lb.lower() for lb in labels]
     # hit[i][k]: the descent from i finds label k; children have larger pre,
     # so one reverse sweep computes it bottom-up.
@@ -320,7 +317,8 @@ def parse_elements(html: str, labels=("Desktop", "Mobile"), keep_terms=None):
         for k, lb in enumerate(lab_l):
             res = False
             for c in nodes[i].children:
-                if own_l[c] == lb:
+                o = own[c]
+                if len(o) == len(lb) and o.lower() == lb:
                     res = True
                     break
                 if nodes[c].children:
