@@ -127,3 +127,14 @@ def test_copies_of_one_url_do_not_mix(spark, make_pages):
         assert [(r["block"], r["layout"], r["n"]) for r in rows] == [("banner", "Desktop Mobile", 1)]
         counts = blocks.block_counts(els, CFG.vocab).collect()
         assert [(r["block"], r["n"]) for r in counts] == [("banner", 1)]
+
+
+def test_group_key_is_a_tuple_no_concatenation_collision(spark, make_pages):
+    # joined without a separator these two keys would be equal; as a tuple
+    # they are two facts
+    cfg = AuditConfig(vocab=("quick-action-card", "quick-action-cards"))
+    html = '<div class="quick-action-card s"><p>x</p></div><div class="quick-action-cards"><p>y</p></div>'
+    pages = make_pages([("https://www.example.com/express/q", 200, html)])
+    els = parsed_elements(pages, None, cfg, persist=False)
+    rows = sorted((r["block"], r["variant"], r["n"]) for r in blocks.block_variant_layout_counts(els, cfg).collect())
+    assert rows == [("quick-action-card", "s", 1), ("quick-action-cards", "", 1)]
