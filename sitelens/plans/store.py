@@ -136,7 +136,13 @@ class FactStore:
               cfg: AuditConfig = DEFAULT) -> "FactStore":
         """Parse once and write every fact table once (shared checkpoint dir)."""
         lazy = cls(parsed_elements(pages, listing, cfg), cfg)
-        return cls(lazy.elements, cfg,
-                   layout_counts=materialize(lazy.layout_counts, "layout-counts"),
-                   block_counts=materialize(lazy.block_counts, "block-counts"),
-                   links=materialize(lazy.links, "page-links"))
+        # the three tables depend on the element table only: write them as
+        # concurrent jobs so their stages share the executors
+        from concurrent.futures import ThreadPoolExecutor
+        jobs = {"layout_counts": (lazy.layout_counts, "layout-counts"),
+                "block_counts": (lazy.block_counts, "block-counts"),
+                "links": (lazy.links, "page-links")}
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            done = {k: pool.submit(materialize, df, name) for k, (df, name) in jobs.items()}
+            tables = {k: f.result() for k, f in done.items()}
+        return cls(lazy.elements, cfg, **tables)
