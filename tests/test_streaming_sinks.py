@@ -63,3 +63,19 @@ def test_sinks_write_headers(spark):
     media = spark.createDataFrame([("s1", "u", "[x]"), ("s2", "v", "[y]")], "sheet string, url string, template_ids string")
     write_report_by_sheet(media, f"{out}/media")
     assert sorted(os.listdir(f"{out}/media"))[-2:] == ["sheet=s1", "sheet=s2"]
+
+
+def test_element_stream_equals_batch(spark):
+    d = _pages_dir(spark)
+    s = stm.page_stream(spark, f"{d}/*")
+    q = (stm.element_stream(s, CFG).select("url", "pre", "tag", "chain_labels")
+         .writeStream.format("memory").queryName("elements_out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    got = sorted((r["url"], r["pre"], r["tag"], tuple(r["chain_labels"]))
+                 for r in spark.sql("select * from elements_out").collect())
+    pages = spark.createDataFrame(ROWS, stm.PAGES_SCHEMA)
+    from sitelens.operators.elements import extract_elements, page_bodies
+    want = sorted((r["url"], r["pre"], r["tag"], tuple(r["chain_labels"]))
+                  for r in extract_elements(page_bodies(pages), CFG).collect())
+    assert got == want and len(want) > 10
