@@ -4,6 +4,7 @@ matter at scale are pinned by reading the physical plans."""
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens.config import DEFAULT as cfg
 from sitelens.operators.elements import extract_elements, page_bodies
@@ -77,3 +78,20 @@ def test_command_line_report(spark, tmp_path):
                        "`URL` string, `HREF LINKS` string, `BRAND DOMAINS` string, `NON-BRAND DOMAINS` string")
     want = R.report_domains_from_index(spark, fx.index_documents(spark, SF, cfg), pages, cfg)
     assert rows(back) == rows(want)
+
+
+def test_listing_over_budget_parses_all_pages_with_same_report(spark):
+    from sitelens.operators import blocks
+    from sitelens.plans.store import materialize
+    pages = fx.site_pages(spark, SF)
+    listing = fx.sheet_cells(spark, SF).where("row_num <> 0 and value rlike '\\\\S'").select(
+        F.col("value").alias("url"))
+    small = listed_pages(pages, listing)                 # under budget: broadcast filter
+    big = listed_pages(pages, listing, budget=0)         # over budget: no filter
+    assert "BroadcastExchange" in _plan(small) and "BroadcastExchange" not in _plan(big)
+    assert big.count() >= small.count()
+    reps = []
+    for src in (small, big):
+        els = materialize(extract_elements(src, cfg, keep="facts"), "els-budget")
+        reps.append(rows(blocks.block_variant_layout_report(listing, els, None, cfg)))
+    assert reps[0] == reps[1] and len(reps[0]) > 0
