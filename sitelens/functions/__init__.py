@@ -18,8 +18,9 @@ from ..config import (DATE_FORMAT, ENGLISH_LANGUAGE, ENGLISH_SEGMENT, MEDIA_PATT
 
 # ASCII whitespace as split by class-name parsing.
 _CLASS_WS = r"[ \t\n\x0B\f\r]+"
-# scheme, then optional //authority with user-info dropped and the host kept.
-_ORIGIN_RE = r"^\s*([A-Za-z][A-Za-z0-9+.-]*):(//(?:[^/?#@]*@)?([^/:?#]*)(:([^/?#]*))?)?"
+# scheme, then optional //authority with user-info dropped and the host kept
+# (a bracketed IPv6 literal is one host).
+_ORIGIN_RE = r"^\s*([A-Za-z][A-Za-z0-9+.-]*):(//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)(:([^/?#]*))?)?"
 
 
 def _col(c) -> Column:

@@ -43,7 +43,8 @@ def test_url_origin_and_absolute(spark):
             ("http://x.example.com/a b", True, "http://x.example.com"),
             ("tel:123", False, None), ("/relative", False, None), ("//host/x", False, None),
             ("#frag", False, None), ("javascript:void(0)", False, None),
-            ("http://h:abc/", False, None), ("ftp://files.org", True, "ftp://files.org")]
+            ("http://h:abc/", False, None), ("ftp://files.org", True, "ftp://files.org"),
+            ("http://[::1]:8080/x", True, "http://[::1]")]
     df = spark.createDataFrame([(r[0],) for r in rows], "h string")
     got = {r["h"]: (r["ok"], r["o"]) for r in df.select(
         "h", fn.is_absolute_url("h").alias("ok"), fn.url_origin("h").alias("o")).collect()}
