@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from sitelens.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from sitelens.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from sitelens.llm.sharding import op7_sharding
 from sitelens.llm.simhash import op10_simhash_near_dedup
 
 QUERIES = {
+    "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
