@@ -57,9 +57,10 @@ def shingle(ws: str, at: str, size: int) -> Column:
 
 def places(rows: DataFrame, size: int) -> DataFrame:
     """Every place of every document with the shingle that begins there. The
-    array goes along by reference within the generated code."""
+    array goes along by reference within the generated code (it is never empty;
+    the outer form keeps Spark from testing that by building it twice)."""
     ws = rows.select("row_id", F.array_append(words(F.col("text")), F.lit(END)).alias("ws"))
-    return (ws.select("row_id", "ws", F.posexplode("ws").alias("pos", "word"))
+    return (ws.select("row_id", "ws", F.posexplode_outer("ws").alias("pos", "word"))
             .withColumn("key", shingle("ws", "pos", size)))
 
 
