@@ -1,0 +1,65 @@
+import html
+import re
+import time
+
+import pytest
+
+from sitelens.llm import html_text as H
+
+P1 = "One two three, four five six, seven eight nine ten eleven twelve thirteen fourteen."
+P2 = "Another paragraph that is long enough, with some commas, to be scored as text of the article."
+
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("just text", "just text"), ("a < b &amp; c", "a < b & c"), ("<p>cut <b", "cut"),
+    ("<p>a<!-- x <p>y --> b<br>c</p>", "a b c"), ("<script>if (a<b) '</p>'</script><p>x</p>", "x"),
+    (f"<nav><a href=/>Home</a></nav><article><h1>T</h1><p>{P1}<p>{P2}</article><footer>f</footer>", f"T\n{P1}\n{P2}"),
+    (f"<body><header><h1>Site</h1></header><div id=main><p>{P1}</p><ul><li>x<li>y</ul></div>"
+     f"<div class='sidebar'><p>{P2}</p></div></body>", f"{P1}\nx\ny"),
+    (f"<article><p>{P1}</p><div class=ad>Buy</div><form><p>{P2}</p></form><aside>n</aside><p>z</p>"
+     f"<section id=comments><p>{P2}</p></section></article>", f"{P1}\nz"),
+    (f"<article><p>a <span class='advert'>Buy</span>b</p><p>{P1}</p></article>", f"a b\n{P1}"),
+    (f"<article><p>x&nbsp;&eacute;&#233;&amp\n\t y</p>{P1}</article>", f"x éé& y\n{P1}"),
+    (f"<div class=banner data-t=Don't><p>{P1}</p></div><p>it's</p>", P1),
+    (f"<table><tr><td><p>{P1}</p><p>{P2}</p></td></tr></table>", f"{P1}\n{P2}"),
+    (f"<body><article><p>{P1}</p></article><article class='comment'><p>short</p></article></body>", P1),
+    (f"<div class='page with-sidebar'><article><p>{P1}</p></article><div id=comments><article><p>{P2}</p></article></div></div>", P1),
+    (f"<div class='page with-sidebar'><p>{P1}</p></div>", P1),
+    (f"<div><p>{P1}</p></div><div hidden><p>{P2}</p></div><div role=dialog><p>{P2}</p></div>", P1),
+])
+def test_cases(page, want):
+    assert H.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + P1, "<a x='" * 50_000, "<li><div>" * 50_000, "<p>a" * 50_000 + "</div>" * 50_000,
+                                  "<" * 100_000, "<!--" * 50_000, "<script>" * 30_000, "</b><i x=1>" * 50_000])
+def test_linear_on_broken_markup(page):
+    began = time.time()
+    H.main_text(page)
+    assert time.time() - began < 5
+
+
+def plain(page):
+    """Blocks of the generated pages' article, by their known layout."""
+    inside = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    inside = re.sub(r"</?b>|</?b\Z|<\Z", "", inside)
+    blocks = re.split(r"</?(?:p|h1)>|<br>|</?(?:p|h1)\Z", inside)
+    return "\n".join(t for b in blocks if (t := " ".join(html.unescape(b).split())))
+
+
+def test_query_equals_the_known_layout_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r for r in H.op1_html_text(spark, sf).collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        assert got[p.page_id].text == plain(p.html), p.page_id
+        assert got[p.page_id].n_chars == len(got[p.page_id].text) and got[p.page_id].url == p.url
+
+
+def test_extra_columns_nulls_and_empty_table(spark):
+    pages = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x", "t"), (1, "u", "<p>x", "t")],
+                                  "page_id long, url string, html string, text string")
+    assert sorted((r.page_id is None, r.text, r.n_chars) for r in H.extract(pages).collect()) == [
+        (False, "x", 1), (False, "x", 1), (True, "", 0)]
+    assert H.extract(pages.limit(0)).count() == 0
