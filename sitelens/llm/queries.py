@@ -9,8 +9,10 @@ from sitelens.llm.html_text import op1_html_text
 from sitelens.llm.pii import op4_personal_data
 from sitelens.llm.sharding import op7_sharding
 from sitelens.llm.simhash import op10_simhash_near_dedup
+from sitelens.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op1_html_text": op1_html_text,
     "op4_personal_data": op4_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
