@@ -206,16 +206,19 @@ def decode(rows: DataFrame, path: str | None = None, pattern: str | None = None)
     return add_columns(rows.select("doc_id", "ids"), make, "decoded binary", drop=("ids",))
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from
-    the ids, piece by piece in order."""
+    the ids, piece by piece in order. With ``ids`` also the array of ids."""
+    with_ids = ids
 
     def row(pieces):
         ids = ",".join([csv for csv, _ in pieces])
         decoded = hashlib.sha256(b"".join([back for _, back in pieces]))
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), decoded.hexdigest()
+        out = ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), decoded.hexdigest()
+        return (*out, np.array(ids.split(",") if ids else [], np.int32)) if with_ids else out
 
-    return mapped(docs, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row, path, pattern)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return mapped(docs, schema + ", ids array<int>" * with_ids, row, path, pattern)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
