@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sitelens.llm.common import add_columns, groups, python_ready, table, utf8
 
 LONG, SPAN = 512, 1 << 20  # SPAN: over any position within a piece
-MEMO = 200_000  # pieces whose ids a worker remembers
+MEMO = 500_000  # pieces whose ids a worker remembers, about 150 MB
 TOKENS = 1 << 20  # tokens decoded together
 
 ENCODE_SQL = f"""
