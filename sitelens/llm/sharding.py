@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import packed, stored, table
 
 SHARDS, SEED, BUCKET_BYTES, REPEATS = 8, 7, 16 << 20, 1_000
+SMALL = 1_000_000  # buckets whose offsets (24 bytes each) may be broadcast
 
 
-def scattered(rows: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
-    """Pass one: (bucket, ident, doc_id, text, doc), a partition for each bucket."""
+def scattered(rows: DataFrame, bucket_bytes: int, seed: int) -> tuple[DataFrame, int]:
+    """Pass one: (bucket, ident, doc_id, text, doc), a partition for each bucket,
+    and their number."""
     rows = rows.select(
         F.xxhash64(F.lit(seed), "doc_id", "text", "doc").alias("ident"),
-        F.when(F.col("doc_id").isNull(), 1).otherwise(0).alias("no_id"),
         F.monotonically_increasing_id().alias("place"), "doc_id", "text", "doc")
     by = stored(rows.groupBy("ident").agg(
         F.count("*").alias("n"),
@@ -47,14 +48,14 @@ def scattered(rows: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
         salt = F.lit(None).cast("long")
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "ident", salt), F.lit(buckets)).cast("int")
     return rows.select(bucket.alias("bucket"), "ident", "doc_id", "text", "doc").repartitionById(
-        buckets, F.col("bucket"))
+        buckets, F.col("bucket")), buckets
 
 
 def external_shuffle(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES,
                      seed: int = SEED) -> DataFrame:
     """(shard, slot, doc_id, text, doc): every record in its written place;
     ``doc`` is a struct of the other columns."""
-    one = scattered(packed(docs).drop("row_id"), bucket_bytes, seed)
+    one, buckets = scattered(packed(docs).drop("row_id"), bucket_bytes, seed)
     record = F.struct("ident", "doc_id", "text", "doc")
     two = (one.groupBy("bucket").agg(F.sort_array(F.collect_list(record)).alias("records"))
            .select("bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "r"))
@@ -65,6 +66,8 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int =
         "bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
                              F.lit(0)).alias("before"),
         F.sum("n").over(Window.partitionBy()).alias("total"))
+    if buckets <= SMALL:
+        before = F.broadcast(before)
     place, total = F.col("before") + F.col("place"), F.col("total")
     shard = F.expr(f"cast(({shards} * (before + place + 1) - 1) div total as int)")
     return (written.join(before, "bucket").withColumn("shard", shard)
