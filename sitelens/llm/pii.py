@@ -21,17 +21,18 @@ empty table gives no rows; other columns are not read. Offsets count code points
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import add_columns, packed, python_ready, stored, table
+from sitelens.llm.common import add_columns, packed, python_ready, stored, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, TRUST, ROUNDS = 3, 0.5, 3
-BLOCK = 200_000  # contexts broadcast together, about 10 MB
+BLOCK = 200_000  # contexts sent to the tasks together, about 10 MB
 WINDOW = 400  # characters in which the two words before an identifier must lie
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,6 +43,7 @@ NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 MARKED = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 PLAIN = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
+PLAIN_BYTES = bytes(PLAIN.get(i, i) for i in range(256))
 #: The form that a discovered identifier of each kind must have.
 FORM = {
     "email": r"^[^@]+@[^@]+$",
@@ -154,19 +156,39 @@ def read_rows(rows: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(context, n): how often any word follows the context, over all texts."""
-    plain = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789",
-                        "abcdefghijklmnopqrstuvwxyz000000000")
-    ws = docs.select(F.regexp_extract_all(plain, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("ws"))
-    at = ws.select("ws", F.posexplode_outer("ws").alias("pos", "word")).where("pos + 1 < size(ws)")
-    at = at.withColumn("key", F.xxhash64(F.expr("if(pos = 0, '', ws[pos - 1])"), "word"))
-    keyed = contexts.select("context", F.expr("xxhash64(split_part(context, ' ', 1), split_part(context, ' ', 2))")
-                            .alias("key"))
-    keyed = stored(keyed, "contexts")
-    parts = keyed.count() // BLOCK + 1
-    counted = [at.join(F.broadcast(keyed.where(F.pmod("key", F.lit(parts)) == p)), "key").groupBy("context").agg(
-        F.count("*").alias("n")) for p in range(parts)]
-    return reduce(DataFrame.unionByName, counted)
+    """(context, n): how often any word follows the context, over all texts. Each
+    task counts its own texts; the contexts go to the tasks in blocks."""
+    contexts = stored(contexts.select("context"), "contexts")
+    parts = contexts.count() // BLOCK + 1
+    counted = []
+    for p in range(parts):
+        block = contexts.where(F.pmod(F.xxhash64("context"), F.lit(parts)) == p).collect()
+        counted.append(docs.select("text").mapInArrow(counter([r.context for r in block]), "context string, n long"))
+    return reduce(DataFrame.unionByName, counted).groupBy("context").agg(F.sum("n").alias("n"))
+
+
+def counter(contexts: list[str]):
+    firsts: dict[bytes, dict[bytes, str]] = {}
+    for context in contexts:
+        first, last = context.encode().split(b" ")
+        firsts.setdefault(last, {})[first] = context
+
+    def run(batches):
+        n: Counter[str] = Counter()
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            data, at = data.tobytes(), offsets.tolist()
+            for a, b in zip(at, at[1:]):
+                words = data[a:b].translate(PLAIN_BYTES).split()
+                first = b""
+                for last in words[:-1]:
+                    if last in firsts and first in firsts[last]:
+                        n[firsts[last][first]] += 1
+                    first = last
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], ["context", "n"])
+
+    return run
 
 
 def trusted_patterns(found: DataFrame, docs: DataFrame, support: int, trust: float, rounds: int) -> DataFrame:
