@@ -6,12 +6,14 @@ from sitelens.llm.bpe import op6_byte_bpe
 from sitelens.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from sitelens.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from sitelens.llm.html_text import op1_html_text
+from sitelens.llm.licenses import op5_license_scan
 from sitelens.llm.pii import op4_personal_data
 from sitelens.llm.sharding import op7_sharding
 from sitelens.llm.simhash import op10_simhash_near_dedup
 from sitelens.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op5_license_scan": op5_license_scan,
     "op3_toxicity": op3_toxicity,
     "op1_html_text": op1_html_text,
     "op4_personal_data": op4_personal_data,
