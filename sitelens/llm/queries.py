@@ -10,9 +10,11 @@ from sitelens.llm.licenses import op5_license_scan
 from sitelens.llm.pii import op4_personal_data
 from sitelens.llm.sharding import op7_sharding
 from sitelens.llm.simhash import op10_simhash_near_dedup
+from sitelens.llm.tool_calls import OP2_SQL, op2_tool_call_linking
 from sitelens.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op2_tool_call_linking": op2_tool_call_linking,
     "op5_license_scan": op5_license_scan,
     "op3_toxicity": op3_toxicity,
     "op1_html_text": op1_html_text,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLES = {"op2_tool_call_linking": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
