@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import add_columns, packed, python_ready, stored, table, unpacked
 
-SAMPLE, NODES = 20_000, 400_000  # labelled rows learnt from, prefixes kept (the most frequent)
+SAMPLE, NODES = 20_000, 200_000  # labelled rows learnt from; prefixes kept, those of toxic texts and frequent ones first
 PRIOR, LEAST, BEST = 2.0, 2, 32
 DRIFTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 THRESHOLD, EXPECTED = 0.3, 0.05
@@ -256,8 +256,10 @@ def learnt(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     nodes = words.select(F.explode(F.concat(nodes, F.array(F.concat("word", F.lit(END))))).alias("node"), "toxic", "clean")
     n = F.col("toxic") + F.col("clean")
     nodes = (nodes.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-             .where(n >= LEAST).orderBy(n.desc(), "node").limit(NODES))
-    model = Model({r.node: (r.toxic, r.clean) for r in nodes.collect()}, total[0] or 0, total[1] or 0)
+             .where(n >= LEAST).orderBy(F.col("toxic") == 0, n.desc(), "node").limit(NODES)).toArrow()
+    pairs = zip(nodes["toxic"].to_pylist(), nodes["clean"].to_pylist(), strict=True)
+    model = Model(dict(zip(nodes["node"].to_pylist(), pairs, strict=True)), total[0] or 0, total[1] or 0)
+    del nodes
 
     def run(batches):
         for batch in batches:
