@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sitelens.llm.common import add_columns, groups, python_ready, table, utf8
 
 LONG, SPAN = 512, 1 << 20  # SPAN: over any position within a piece
-MEMO = 500_000  # pieces whose ids a worker remembers, about 150 MB
+PIECES = 50_000  # pieces encoded by one recursive query
+MEMO = 300_000  # pieces whose ids a worker remembers, about 90 MB
 TOKENS = 1 << 20  # tokens decoded together
 
 ENCODE_SQL = f"""
@@ -104,10 +105,10 @@ class Coder:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
         new = list(new.difference(self.memo))
-        if new:
-            ids = self.encode([p.encode() for p in new])
-            back = self.decode(ids)
-            self.memo.update(zip(new, zip([",".join(map(str, x)) for x in ids], back)))
+        for a in range(0, len(new), PIECES):
+            part = new[a:a + PIECES]
+            ids = self.encode([p.encode() for p in part])
+            self.memo.update(zip(part, zip([",".join(map(str, x)) for x in ids], self.decode(ids))))
         for pieces in split:
             yield [self.memo[p] for p in pieces]
 

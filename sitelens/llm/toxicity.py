@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import add_columns, packed, python_ready, stored, table, unpacked
 
-SAMPLE, NODES = 20_000, 200_000  # labelled rows learnt from; prefixes kept, those of toxic texts and frequent ones first
+SAMPLE, NODES = 20_000, 100_000  # labelled rows learnt from; prefixes kept, those of toxic texts and frequent ones first
 PRIOR, LEAST, BEST = 2.0, 2, 32
 DRIFTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 THRESHOLD, EXPECTED = 0.3, 0.05
