@@ -3,6 +3,8 @@
     python -m sitelens REPORT --pages P [--cells C] [--index-docs I]
         [--sitemap-docs S --sitemap-index X] --out DIR [--format csv|parquet|json]
         [--site-root URL] [--brand DOMAIN] [--vocab a,b,c]
+        [--families '[{"name": .., "template": "{root}{locale}/..", "locales": ["", ..]}, ..]']
+        [--set field=JSON ..]   (any other field of AuditConfig)
 
 Inputs are tables (Parquet): pages(url, status, html);
 sheet_cells(sheet, row_num, col_num, value); index documents (index_url,
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import json
 
-from .config import DEFAULT
+from .config import DEFAULT, IndexFamily
 from .plans import reports as R
+from .plans.store import temporary_tables
 from .session import build_session
 from .sinks import write_report, write_report_by_sheet
 
@@ -41,12 +45,12 @@ def _parser() -> argparse.ArgumentParser:
     ap.add_argument("--site-root")
     ap.add_argument("--brand")
     ap.add_argument("--vocab")
+    ap.add_argument("--families")
+    ap.add_argument("--set", action="append", default=[], metavar="FIELD=JSON")
     return ap
 
 
-def run(argv, spark) -> None:
-    """Run the report named in ``argv`` on ``spark`` and write it."""
-    a = _parser().parse_args(argv)
+def _config(a):
     cfg = DEFAULT
     if a.site_root:
         cfg = dataclasses.replace(cfg, site_root=a.site_root)
@@ -54,6 +58,25 @@ def run(argv, spark) -> None:
         cfg = dataclasses.replace(cfg, brand=a.brand)
     if a.vocab:
         cfg = dataclasses.replace(cfg, vocab=tuple(v for v in a.vocab.split(",") if v))
+    if a.families:
+        cfg = dataclasses.replace(cfg, families=tuple(
+            IndexFamily(f["name"], f["template"], tuple(f["locales"])) for f in json.loads(a.families)))
+    for pair in a.set:
+        name, _, value = pair.partition("=")
+        value = json.loads(value)
+        cfg = dataclasses.replace(cfg, **{name: tuple(value) if isinstance(value, list) else value})
+    return cfg
+
+
+def run(argv, spark) -> None:
+    """Run the report named in ``argv`` on ``spark``, write it, and delete the
+    tables it kept on the way."""
+    a = _parser().parse_args(argv)
+    with temporary_tables(spark):
+        _write(a, _config(a), spark)
+
+
+def _write(a, cfg, spark) -> None:
     read = spark.read.parquet
     pages = read(a.pages)
     r = a.report
@@ -85,7 +108,7 @@ def run(argv, spark) -> None:
 
 def main(argv=None) -> None:
     a, _ = _parser().parse_known_args(argv)
-    spark = build_session(master=a.master or "local[*]")
+    spark = build_session(master=a.master)
     try:
         run(argv, spark)
     finally:

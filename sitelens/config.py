@@ -82,6 +82,12 @@ class AuditConfig:
     families: tuple[IndexFamily, ...] = field(default_factory=_default_families)
     labels: tuple[str, ...] = LAYOUT_LABELS
     section_class: str = SECTION_CLASS
+    desktop_terms: tuple[str, ...] = SECTION_DESKTOP_TERMS
+    mobile_terms: tuple[str, ...] = SECTION_MOBILE_TERMS
+    desktop_fragment: str = SECTION_DESKTOP_FRAGMENT
+    mobile_fragment: str = SECTION_MOBILE_FRAGMENT
+    default_layout: str = DEFAULT_LAYOUT
+    english_segment: str = ENGLISH_SEGMENT
     media_pattern: str = MEDIA_PATTERN
     url_schemes: tuple[str, ...] = URL_SCHEMES
 

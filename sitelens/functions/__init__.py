@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..config import (DATE_FORMAT, ENGLISH_LANGUAGE, ENGLISH_SEGMENT, MEDIA_PATTERN,
                       URL_SCHEMES)
 
+# Stands between links that are searched together; a link that holds it itself
+# makes its page's links be compared pair by pair.
+SEPARATOR = "\uffff"
 # ASCII whitespace as split by class-name parsing.
 _CLASS_WS = r"[ \t\n\x0B\f\r]+"
 # scheme, then optional //authority with user-info dropped and the host kept
@@ -71,13 +74,13 @@ def language_pattern(site_prefix: str) -> str:
     return "^.*?" + regex_quote(site_prefix) + "([^/]*)/"
 
 
-def page_language(url, site_prefix: str) -> Column:
+def page_language(url, site_prefix: str, english: str = ENGLISH_SEGMENT) -> Column:
     """Text between ``site_root/`` and the next ``/``; null when either
     is missing; the English segment (any case) maps to ``en``."""
     u = _col(url)
     pat = language_pattern(site_prefix)
     seg = F.regexp_extract(u, pat, 1)
-    lang = F.when(F.lower(seg) == F.lit(ENGLISH_SEGMENT), F.lit(ENGLISH_LANGUAGE)).otherwise(seg)
+    lang = F.when(F.lower(seg) == F.lit(english.lower()), F.lit(ENGLISH_LANGUAGE)).otherwise(seg)
     # regexp_extract gives '' on a miss, so guard with rlike for the null
     return F.when(u.rlike(pat), lang)
 
@@ -94,10 +97,20 @@ def substring_dedupe(items) -> Column:
     Equal to appending kept items to a growing text and skipping any item the
     text already contains, because containment is transitive.
     """
-    # exact repeats are contained by their first copy: drop them first so
-    # the pairwise test only runs over distinct items
+    # exact repeats are contained by their first copy: drop them first. In the
+    # text of the distinct items, joined by a separator, an item is kept if its
+    # first place is its own: one search per item.
     a = F.array_distinct(_col(items))
-    return F.filter(a, lambda x, i: (x != "") & ~F.exists(F.slice(a, 1, i), lambda y: y.contains(x)))
+    starts = F.aggregate(
+        a, F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next")),
+        lambda acc, x: F.struct(F.array_append(acc["at"], acc["next"]).alias("at"),
+                                (acc["next"] + F.char_length(x) + 1).alias("next")))["at"]
+    parts = F.array(F.struct(F.arrays_zip(a.alias("x"), starts.alias("at")).alias("items"),
+                             F.array_join(a, SEPARATOR).alias("text")))
+    by_place = F.element_at(F.transform(parts, lambda s: F.transform(
+        F.filter(s["items"], lambda i: (i["x"] != "") & (F.instr(s["text"], i["x"]) == i["at"])), lambda i: i["x"])), 1)
+    pairwise = F.filter(a, lambda x, i: (x != "") & ~F.exists(F.slice(a, 1, i), lambda y: y.contains(x)))
+    return F.when(F.exists(a, lambda x: x.contains(SEPARATOR)), pairwise).otherwise(by_place)
 
 
 def url_scheme(href) -> Column:

@@ -23,9 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..config import (DEFAULT, DEFAULT_LAYOUT, SECTION_DESKTOP_FRAGMENT,
-                      SECTION_DESKTOP_TERMS, SECTION_MOBILE_FRAGMENT,
-                      SECTION_MOBILE_TERMS, AuditConfig)
+from ..config import DEFAULT, AuditConfig
 from .elements import class_elements
 
 
@@ -106,8 +104,8 @@ def section_terms(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """
     hits = (elements
             .select("page_key", "pre",
-                    _has_any("own_text", SECTION_DESKTOP_TERMS).cast("int").alias("d"),
-                    _has_any("own_text", SECTION_MOBILE_TERMS).cast("int").alias("m"))
+                    _has_any("own_text", cfg.desktop_terms).cast("int").alias("d"),
+                    _has_any("own_text", cfg.mobile_terms).cast("int").alias("m"))
             .where("d + m > 0"))
     sections = section_elements(elements, cfg)
     # kind 0: section start (read before hits at that pre), 1: term hit,
@@ -133,34 +131,35 @@ def section_terms(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
             .withColumnRenamed("sid", "pre"))
 
 
-def section_scope(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """O21 + O23 (section part): for each scope (page_key, bid, lo, hi), the
-    number of sections with ``lo <= pre <= hi`` and the concatenation of
-    their fragments in document order.
+def section_scope(scopes: DataFrame, sections: DataFrame, text: str = "text_wanted") -> DataFrame:
+    """O21 + O23 (section part): for each scope (page_key, lo, hi, text_wanted),
+    the number of sections with ``lo <= pre <= hi`` and, where wanted, the
+    concatenation of their fragments in document order.
 
-    ``sections`` has (page_key, pre, frag). Prefix count and prefix text over the
-    page's event stream; a scope's text is the end prefix minus the start
-    prefix (prefix texts only grow, so a substring does it).
+    ``sections`` has (page_key, pre, frag). The counts are prefix counts over the
+    page's event stream. The fragments of a page are gathered once, in order; the
+    sections of a scope are the run between its two prefix counts.
     """
+    no_frag = F.lit(None).cast("string")
     events = (sections.select("page_key", F.col("pre").alias("at"), F.lit(1).alias("kind"),
-                              F.lit(None).cast("int").alias("bid"), "frag")
-              .unionByName(blocks.select("page_key", F.col("lo").alias("at"), F.lit(0).alias("kind"),
-                                         "bid", F.lit(None).cast("string").alias("frag")))
-              .unionByName(blocks.select("page_key", F.col("hi").alias("at"), F.lit(2).alias("kind"),
-                                         "bid", F.lit(None).cast("string").alias("frag"))))
-    w = (Window.partitionBy("page_key").orderBy("at", "kind", "bid")
+                              F.lit(None).cast("int").alias("lo"), "frag")
+              .unionByName(scopes.select("page_key", F.col("lo").alias("at"), F.lit(0).alias("kind"),
+                                         "lo", no_frag.alias("frag")))
+              .unionByName(scopes.select("page_key", F.col("hi").alias("at"), F.lit(2).alias("kind"),
+                                         "lo", no_frag.alias("frag"))))
+    w = (Window.partitionBy("page_key").orderBy("at", "kind", "lo")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = (events.select("page_key", "kind", "bid",
-                         F.count("frag").over(w).alias("cnt"),
-                         F.array_join(F.collect_list("frag").over(w), "").alias("txt"))
-           .where("kind <> 1"))
-    agg = (run.groupBy("page_key", "bid")
-           .agg(F.max(F.when(F.col("kind") == 0, F.col("cnt"))).alias("c0"),
-                F.max(F.when(F.col("kind") == 2, F.col("cnt"))).alias("c2"),
-                F.max(F.when(F.col("kind") == 0, F.col("txt"))).alias("t0"),
-                F.max(F.when(F.col("kind") == 2, F.col("txt"))).alias("t2")))
-    return agg.select("page_key", "bid", (F.col("c2") - F.col("c0")).alias("n_sections"),
-                      F.expr("substr(t2, length(t0) + 1)").alias("section_text"))
+    counts = (events.select("page_key", "kind", "lo", F.count("frag").over(w).alias("cnt"))
+              .where("kind <> 1").groupBy("page_key", "lo")
+              .agg(F.max(F.when(F.col("kind") == 0, F.col("cnt"))).alias("c0"),
+                   F.max(F.when(F.col("kind") == 2, F.col("cnt"))).alias("c2")))
+    frags = sections.groupBy("page_key").agg(F.expr(
+        "transform(array_sort(collect_list(struct(pre, frag))), x -> x.frag)").alias("frags"))
+    return (counts.join(scopes.select("page_key", "lo", text), ["page_key", "lo"])
+            .join(frags, "page_key", "left")
+            .select("page_key", "lo", (F.col("c2") - F.col("c0")).alias("n_sections"),
+                    F.when(F.col(text), F.expr("array_join(slice(frags, int(c0) + 1, int(c2 - c0)), '')"))
+                    .alias("section_text")))
 
 
 def block_facts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
@@ -170,19 +169,19 @@ def block_facts(elements: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     Layout: the chain labels when the descent found any; otherwise the
     default layout when the block's parent subtree (parent included) has no
     section metadata; otherwise, for each such section in order, ``Desktop``
-    and/or `` Mobile`` appended, and the whole trimmed.
+    and/or `` Mobile`` appended, and the whole trimmed. Blocks under one parent
+    share one scope; its text is made only if a block without chain asks.
     """
     blocks = block_elements(elements, cfg)
-    need = blocks.select(
-        "page_key", F.col("pre").alias("bid"), F.col("parent_pre").alias("lo"),
-        F.col("parent_end").alias("hi"))
+    scopes = blocks.groupBy("page_key", F.col("parent_pre").alias("lo")).agg(
+        F.max("parent_end").alias("hi"), F.max(F.col("chain") == "").alias("text_wanted"))
     terms = section_terms(elements, cfg)
-    frag = F.concat(F.when(F.col("has_desktop"), F.lit(SECTION_DESKTOP_FRAGMENT)).otherwise(F.lit("")),
-                    F.when(F.col("has_mobile"), F.lit(SECTION_MOBILE_FRAGMENT)).otherwise(F.lit("")))
-    scoped = section_scope(need, terms.select("page_key", "pre", frag.alias("frag")))
-    joined = blocks.join(scoped.withColumnRenamed("bid", "pre"), ["page_key", "pre"], "left")
+    frag = F.concat(F.when(F.col("has_desktop"), F.lit(cfg.desktop_fragment)).otherwise(F.lit("")),
+                    F.when(F.col("has_mobile"), F.lit(cfg.mobile_fragment)).otherwise(F.lit("")))
+    scoped = section_scope(scopes, terms.select("page_key", "pre", frag.alias("frag")))
+    joined = blocks.join(scoped.withColumnRenamed("lo", "parent_pre"), ["page_key", "parent_pre"], "left")
     layout = (F.when(F.col("chain") != "", F.col("chain"))
-              .when(F.coalesce(F.col("n_sections"), F.lit(0)) == 0, F.lit(DEFAULT_LAYOUT))
+              .when(F.coalesce(F.col("n_sections"), F.lit(0)) == 0, F.lit(cfg.default_layout))
               .otherwise(F.trim(F.col("section_text"))))
     return joined.select("page_key", "url", "pre", "block", "variant", "chain",
                          F.coalesce(F.col("n_sections"), F.lit(0)).alias("n_sections"),
@@ -219,7 +218,7 @@ def block_variant_layout_report(listing: DataFrame, elements: DataFrame | None,
         F.col("block").alias("block_name"),
         F.col("variant").alias("variant_name"),
         F.col("layout").alias("layout_name"),
-        fn.page_language("url", cfg.site_prefix).alias("language"),
+        fn.page_language("url", cfg.site_prefix, cfg.english_segment).alias("language"),
         (F.col("n") * F.col("times")).alias("occurrence"),
         F.col("last_modified"),
         F.col("url").alias("page_url"),

@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as fn
-from ..config import (DEFAULT, REDIRECT_STATUSES, SECTION_DESKTOP_TERMS, SECTION_MOBILE_TERMS,
-                      AuditConfig)
-from ..session import default_parallelism, ship_package
+from ..config import DEFAULT, REDIRECT_STATUSES, AuditConfig
+from ..session import ship_package
 from .htmltree import parse_elements
 
 ELEMENT_SCHEMA = T.StructType([
-    T.StructField("page_key", T.LongType()),
+    T.StructField("page_key", T.StringType()),
     T.StructField("url", T.StringType()),
     T.StructField("pre", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
@@ -40,7 +39,7 @@ ELEMENT_SCHEMA = T.StructType([
 ])
 
 _ARROW_SCHEMA = pa.schema([
-    ("page_key", pa.int64()), ("url", pa.string()), ("pre", pa.int32()), ("end", pa.int32()),
+    ("page_key", pa.string()), ("url", pa.string()), ("pre", pa.int32()), ("end", pa.int32()),
     ("parent_pre", pa.int32()), ("parent_end", pa.int32()), ("depth", pa.int32()),
     ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
     ("own_text", pa.string()), ("n_children", pa.int32()),
@@ -82,7 +81,7 @@ def _extract_batches(labels, keep_terms=None):
                     for k in range(10):
                         v = e[k]
                         if k == 6:
-                            v = list(v.items())
+                            v = [x for x in v.items() if keep_terms is None or x[0].startswith(("class", "href"))]
                         cols[k + 2].append(v)
                 if len(cols[0]) >= 50000:
                     yield pa.RecordBatch.from_arrays(
@@ -109,50 +108,45 @@ def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
     Callers pass admitted pages (O8) with joined lines (O9): filters do not
     push through the Python step, so they must come first. The parse runs
     where the pages are: each page is one row, so no shuffle of markup is
-    needed. Only an input with fewer partitions than ``partitions`` (default:
-    the session's default parallelism) is spread round-robin first, so a
-    small input still uses every core.
-
-    Every page row gets a ``page_key`` before the parse, taken from its place
-    in the input (deterministic for a re-run task); per-page windows and
-    groups use it, so several fetched copies of one url never mix and a url
-    with many copies is not one hot group.
+    needed. ``partitions`` spreads the pages first, for an input of few large
+    files; it doesn't change any fact.
+
+    ``page_key`` is a 128-bit hash of (url, markup), so a page has the same key
+    in every run; per-page windows and groups use it. Callers pass one copy per url
+    (``one_page_per_url``).
     """
     spark = pages.sparkSession
     ship_package(spark)
-    want = partitions or default_parallelism(spark)
-    src = pages.select("url", "html")
-    if pages.isStreaming:
-        # micro-batches: a content key (copies with equal markup share it)
-        key = F.xxhash64("url", "html")
-    else:
-        if _num_partitions(src) < want:
-            src = src.repartition(want)
-        key = F.monotonically_increasing_id()
-    src = src.select(key.alias("page_key"), "url", "html")
-    terms = None if keep == "all" else tuple(SECTION_DESKTOP_TERMS + SECTION_MOBILE_TERMS)
+    src = pages.select(F.md5(F.concat_ws("\n", "url", "html")).alias("page_key"), "url", "html")
+    if partitions and not pages.isStreaming:
+        src = src.repartition(partitions, "page_key")
+    terms = None if keep == "all" else tuple(cfg.desktop_terms + cfg.mobile_terms)
     return src.mapInArrow(_extract_batches(cfg.labels, terms), ELEMENT_SCHEMA)
 
 
-def _num_partitions(df: DataFrame) -> int:
-    """Input partitions of a plan (planning only, no job); unknown -> large."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Connect session has no RDD view
-        return 1 << 30
-
-
-def chosen_pages(elements: DataFrame) -> DataFrame:
-    """One parsed copy per url, (url, page_key): the url keyed reports read
-    one copy, as a map keyed by url keeps one value. A partial aggregate, so
-    a url with very many copies is combined map-side."""
-    return (elements.where(F.col("pre") == 0)
-            .groupBy("url").agg(F.max("page_key").alias("page_key")))
+def one_page_per_url(pages: DataFrame) -> DataFrame:
+    """One fetched copy per url, chosen by data alone: the latest by column
+    ``fetch_seq`` when the table has one, then a page that is read before a
+    redirect before an error, then the largest (status, hash of the markup).
 
-
-def one_copy(df: DataFrame, elements: DataFrame) -> DataFrame:
-    """Rows of ``df`` (keyed by page_key) that belong to the chosen copy."""
-    return df.join(chosen_pages(elements).select("page_key"), "page_key", "left_semi")
+    Every report reads its pages through this, so all agree on the copy however
+    the table is partitioned. The urls with several copies are found from the
+    url column alone and stored; where they are few, Spark broadcasts them and no
+    markup moves.
+    """
+    from ..plans.store import materialize
+    several = materialize(pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                          .select(F.col("url").alias("_url")), "urls-with-copies")
+    same = F.col("url").eqNullSafe(F.col("_url"))
+    readable = F.when(F.col("status") >= 400, 0).when(is_redirect("status"), 1).otherwise(2)
+    seq = [F.col("fetch_seq")] if "fetch_seq" in pages.columns else []
+    copies = pages.join(several, same, "left_semi").withColumn(
+        "_rank", F.struct(*seq, readable.alias("readable"), "status", F.xxhash64("html").alias("hash")))
+    best = copies.groupBy(F.col("url").alias("_url")).agg(F.max("_rank").alias("_best"))
+    # what is left of a url are equal pages: any of them
+    chosen = (copies.join(best, same).where(F.col("_rank") == F.col("_best"))
+              .drop("_url", "_best", "_rank").dropDuplicates(["url"]))
+    return pages.join(several, same, "left_anti").unionByName(chosen)
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:

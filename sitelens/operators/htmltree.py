@@ -10,7 +10,12 @@ void elements, raw text of script/style, implied html/head/body, implied end
 of ``p`` before block-level starts, of ``li``/``dt``/``dd``/``option`` and of
 table rows and cells, end tags that close intervening elements, and stray end
 tags ignored at a special element. Formatting elements are not re-opened
-across blocks (an unclosed ``<b>`` ends with its block).
+across blocks (an unclosed ``<b>`` ends with its block). A tag that closes
+itself (``/>``) is an element without content, whatever its name. Attributes of
+a repeated ``html`` or ``body`` tag are added where they are not yet present.
+
+Quotes open an attribute value only right after ``=``; a value whose quote is
+never closed ends at the tag's ``>``. The pass is linear in the markup.
 """
 
 from __future__ import annotations
@@ -39,18 +44,9 @@ _BUTTON = frozenset(["button"])
 
 _WS = re.compile(r"[ \t\n\f\r\xa0]+")
 
-# One pass over the markup: comments, doctype / processing instructions,
-# end tags (group 1), start tags (group 2 name, group 3 attribute text; quoted
-# values may hold '>'), text runs, and a lone '<' kept as text.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*>?"
-    r"|</([a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+"
-    r"|<",
-    re.S)
-_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
 # Elements whose content is text up to their own end tag.
 RAW_TEXT = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
 RCDATA = frozenset(("title", "textarea"))
@@ -72,6 +68,7 @@ class _Builder:
     def __init__(self):
         self.nodes: list[Node] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}  # how many of each tag are on the stack
         self.html = self.head = self.body = None
 
     # -- structure helpers -------------------------------------------------
@@ -84,10 +81,24 @@ class _Builder:
             self.nodes[parent].children.append(idx)
         return idx
 
+    def _push(self, idx):
+        self.stack.append(idx)
+        tag = self.nodes[idx].tag
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _pop(self):
+        tag = self.nodes[self.stack.pop()].tag
+        self.open[tag] -= 1
+        return tag
+
     def _ensure_html(self):
         if self.html is None:
             self.html = self._new("html", {})
-            self.stack = [self.html]
+            self._push(self.html)
+
+    def _add_attrs(self, idx, amap):
+        for k, v in amap.items():
+            self.nodes[idx].attrs.setdefault(k, v)
 
     def _ensure_body(self):
         self._ensure_html()
@@ -96,11 +107,13 @@ class _Builder:
         if self.body is None:
             # leave head (if open) and open body under html
             while len(self.stack) > 1:
-                self.stack.pop()
+                self._pop()
             self.body = self._new("body", {})
-            self.stack.append(self.body)
+            self._push(self.body)
 
     def _in_scope(self, tag, extra_stop=frozenset()):
+        if not self.open.get(tag):
+            return False
         for i in reversed(self.stack):
             t = self.nodes[i].tag
             if t == tag:
@@ -111,8 +124,7 @@ class _Builder:
 
     def _pop_until(self, tags):
         while len(self.stack) > 1:
-            t = self.nodes[self.stack.pop()].tag
-            if t in tags:
+            if self._pop() in tags:
                 return
 
     def _close_p(self):
@@ -120,7 +132,7 @@ class _Builder:
             self._pop_until({"p"})
 
     # -- parser callbacks --------------------------------------------------
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag, attrs, closed=False):
         amap = {}
         for k, v in attrs:  # first of repeated attributes wins
             if k not in amap:
@@ -128,25 +140,29 @@ class _Builder:
         if tag == "html":
             if self.html is None:
                 self.html = self._new("html", amap)
-                self.stack = [self.html]
+                self._push(self.html)
+            else:
+                self._add_attrs(self.html, amap)
             return
         self._ensure_html()
         if tag == "head":
             if self.head is None and self.body is None:
                 self.head = self._new("head", amap)
-                self.stack.append(self.head)
+                self._push(self.head)
             return
         if tag == "body":
             if self.body is None:
                 while len(self.stack) > 1:
-                    self.stack.pop()
+                    self._pop()
                 self.body = self._new("body", amap)
-                self.stack.append(self.body)
+                self._push(self.body)
+            else:
+                self._add_attrs(self.body, amap)
             return
         if self.body is None and tag in HEAD_TAGS:
             if self.head is None:
                 self.head = self._new("head", {})
-                self.stack.append(self.head)
+                self._push(self.head)
         else:
             self._ensure_body()
             if tag in CLOSES_P:
@@ -156,20 +172,23 @@ class _Builder:
                     self._close_item({"dd", "dt"}, frozenset())
                 self._close_p()
                 if tag in HEADINGS and self.nodes[self.stack[-1]].tag in HEADINGS:
-                    self.stack.pop()
+                    self._pop()
             elif tag == "option" and self.nodes[self.stack[-1]].tag == "option":
-                self.stack.pop()
+                self._pop()
             elif tag in ("td", "th"):
                 self._pop_cells({"td", "th"})
             elif tag == "tr":
                 self._pop_cells({"td", "th", "tr"})
         idx = self._new(tag, amap)
         if tag not in VOID:
-            self.stack.append(idx)
+            if not closed:
+                self._push(idx)
         elif tag == "br":
             self.nodes[self.stack[-1]].text.append(None)
 
     def _close_item(self, tags, list_stop):
+        if not any(map(self.open.get, tags)):
+            return
         for i in reversed(self.stack):
             t = self.nodes[i].tag
             if t in tags:
@@ -179,6 +198,8 @@ class _Builder:
                 return
 
     def _pop_cells(self, tags):
+        if not any(map(self.open.get, tags)):
+            return
         for i in reversed(self.stack):
             t = self.nodes[i].tag
             if t in tags:
@@ -192,60 +213,100 @@ class _Builder:
             return
         if tag == "head":
             if self.head is not None and self.stack[-1] == self.head:
-                self.stack.pop()
+                self._pop()
             return
         if tag == "br":  # </br> is treated as <br>
             self._ensure_body()
             self._new("br", {})
             self.nodes[self.stack[-1]].text.append(None)
             return
+        if not self.open.get(tag):
+            return
         for pos in range(len(self.stack) - 1, 0, -1):
             t = self.nodes[self.stack[pos]].tag
             if t == tag:
-                del self.stack[pos:]
+                while len(self.stack) > pos:
+                    self._pop()
                 return
             if t in SPECIAL:
                 return
 
     # -- tokenizer ----------------------------------------------------------
+    def _attributes(self, html, pos, unclosed):
+        """(end of the tag, attributes, closes itself) from after the tag name;
+        attributes are None for a cut-off tag.
+        ``unclosed`` collects the quotes known not to occur any more."""
+        attrs, n = [], len(html)
+        while True:
+            m = _ATTR_NAME.match(html, pos)
+            if m is None:
+                end = html.find(">", pos)
+                if end < 0:  # cut off by the end of the page: no tag
+                    return n, None, False
+                return end + 1, attrs, html[pos:end].endswith("/")
+            name, pos, value = m.group(1), m.end(), None
+            if m.group(2):
+                quote = html[pos:pos + 1]
+                if quote == '"' or quote == "'":
+                    end = -1 if quote in unclosed else html.find(quote, pos + 1)
+                    if end < 0:
+                        unclosed.add(quote)
+                        end = html.find(">", pos)
+                        end = n if end < 0 else end
+                        value, pos = html[pos + 1:end], end
+                    else:
+                        value, pos = html[pos + 1:end], end + 1
+                else:
+                    end = _UNQUOTED.match(html, pos).end()
+                    value, pos = html[pos:end], end
+                if "&" in value:
+                    value = unescape(value)
+            attrs.append((name.lower(), value))
+
     def run(self, html: str) -> None:
-        pos, n = 0, len(html)
-        match = _TOKEN.match
+        pos, n, unclosed = 0, len(html), set()
+        find, name_at = html.find, _NAME.match
         while pos < n:
-            m = match(html, pos)
-            end = m.end()
-            li = m.lastindex
-            if li is None:  # text, a lone '<', or a comment / doctype (dropped)
-                tok = m.group(0)
-                if tok[0] != "<" or len(tok) == 1:
-                    self.handle_data(unescape(tok) if "&" in tok else tok)
-            elif li == 1:
-                self.handle_endtag(m.group(1).lower())
+            lt = find("<", pos)
+            if lt != pos:
+                text = html[pos:n if lt < 0 else lt]
+                self.handle_data(unescape(text) if "&" in text else text)
+                if lt < 0:
+                    return
+            pos = lt
+            mark = html[pos + 1:pos + 2]
+            if mark == "!" or mark == "?":
+                comment = html.startswith("<!--", pos)
+                end = find("-->", pos + 2) + 3 if comment else find(">", pos) + 1
+                pos = end if end > (2 if comment else 0) else n
+                continue
+            m = name_at(html, pos + 2 if mark == "/" else pos + 1)
+            if m is None:
+                if mark == "/":  # not a name: a bogus comment
+                    pos = find(">", pos) + 1 or n
+                else:
+                    self.handle_data("<")
+                    pos += 1
+                continue
+            tag = m.group(0).lower()
+            if mark == "/":
+                pos = find(">", m.end()) + 1 or n
+                self.handle_endtag(tag)
+                continue
+            if html[m.end():m.end() + 1] == ">":
+                pos, attrs, closed = m.end() + 1, [], False
             else:
-                tag = m.group(2).lower()
-                raw = m.group(3)
-                attrs = []
-                if raw:
-                    for a in _ATTR.finditer(raw):
-                        name, v2, v3, v4 = a.groups()
-                        v = v2 if v2 is not None else (v3 if v3 is not None else v4)
-                        if v is not None and "&" in v:
-                            v = unescape(v)
-                        attrs.append((name.lower(), v))
-                self.handle_starttag(tag, attrs)
-                if tag in RAW_TEXT or tag in RCDATA:
-                    close = re.compile(r"</" + tag + r"[\s/>]", re.I).search(html, end)
-                    stop = close.start() if close else n
-                    text = html[end:stop]
-                    if text:
-                        self.handle_data(unescape(text) if tag in RCDATA and "&" in text else text)
-                    if close:
-                        gt = html.find(">", close.start())
-                        end = n if gt < 0 else gt + 1
-                    else:
-                        end = n
-                    self.handle_endtag(tag)
-            pos = end
+                pos, attrs, closed = self._attributes(html, m.end(), unclosed)
+                if attrs is None:
+                    return
+            self.handle_starttag(tag, attrs, closed)
+            if not closed and (tag in RAW_TEXT or tag in RCDATA):
+                close = re.compile(r"</" + tag + r"[\s/>]", re.I).search(html, pos)
+                text = html[pos:close.start() if close else n]
+                if text:
+                    self.handle_data(unescape(text) if tag in RCDATA and "&" in text else text)
+                pos = (find(">", close.start()) + 1 or n) if close else n
+                self.handle_endtag(tag)
 
     def handle_data(self, data):
         if not data:
@@ -283,7 +344,8 @@ def parse_elements(html: str, labels=("Desktop", "Mobile"), keep_terms=None):
     """Return one tuple per element, in pre-order.
 
     Tuple: (pre, end, parent_pre, parent_end, depth, tag, attrs, own_text,
-    n_children, chain_labels). ``chain_labels`` holds the labels found by the
+    n_children, chain_labels). The parent of the root is -1 and its interval
+    the whole page. ``chain_labels`` holds the labels found by the
     layout descent under the element: its children are scanned in order; a
     child whose own text equals the label ignoring case is a hit; otherwise
     the first child that has children is descended into and its answer is
@@ -295,10 +357,7 @@ def parse_elements(html: str, labels=("Desktop", "Mobile"), keep_terms=None):
     still numbered, so intervals and parents stay exact. None keeps all.
     """
     b = _Builder()
-    try:
-        b.run(html or "")
-    except Exception:  # malformed markup: keep what was built
-        pass
+    b.run(html or "")
     b._ensure_body()  # html, head and body always exist
     nodes = b.nodes
     n = len(nodes)
@@ -334,7 +393,7 @@ def parse_elements(html: str, labels=("Desktop", "Mobile"), keep_terms=None):
             continue
         p = x.parent
         out.append((
-            i, end[i], p, end[p] if p >= 0 else -1, x.depth, x.tag, x.attrs, own[i],
+            i, end[i], p, end[max(p, 0)], x.depth, x.tag, x.attrs, own[i],
             len(x.children), [labels[k] for k, h in enumerate(hit[i]) if h],
         ))
     return out

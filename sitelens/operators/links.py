@@ -109,6 +109,6 @@ def unique_domains(listing: DataFrame, elements: DataFrame | None, cfg: AuditCon
     dl = domain_links(links if links is not None else page_links(elements), cfg)
     origins = dl.select("url", F.explode("origins").alias("origin"))
     if by is None:
-        return origins.select("origin").distinct()
+        return origins.join(listing.select("url").distinct(), "url", "left_semi").select("origin").distinct()
     return (listing.select("url", by).distinct().join(origins, "url")
             .select(by, "origin").distinct())

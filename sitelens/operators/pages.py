@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..config import DEFAULT, AuditConfig
-from .elements import admit_pages, is_redirect
+from .elements import admit_pages, is_redirect, one_page_per_url
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -47,27 +47,27 @@ def media_report(listing: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAUL
     were read and have at least one media id; one row per url in a sheet
     (last wins: the same page gives the same ids). Pure native plan.
     """
-    # one id set per url (a url fetched more than once keeps one copy); a
-    # partial aggregate, so many copies of one url combine map-side
-    ids = (admit_pages(pages)
+    ids = (admit_pages(one_page_per_url(pages))
            .select("url", fn.media_ids(fn.join_lines("html"), cfg.media_pattern).alias("ids"))
-           .where(F.size("ids") > 0)
-           .groupBy("url").agg(F.max("ids").alias("ids")))
+           .where(F.size("ids") > 0))
     return (listing.select("sheet", "url").distinct().join(ids, "url")
             .select("sheet", "url", fn.show_set("ids").alias("template_ids")))
 
 
-def crawl_tally(listing: DataFrame, pages: DataFrame) -> DataFrame:
+def crawl_tally(listing: DataFrame, pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Per index document: pages listed, processed (listed minus
-    redirected) and ignored (redirected)."""
+    redirected) and ignored (redirected). ``documents`` (index_url) adds a line
+    of zeros for each document that lists no page."""
     # both sides reduced to one row per key before the join: a url listed
     # very often, or fetched more than once, is never a hot join key
-    st = pages.groupBy("url").agg(F.max("status").alias("status"))
+    st = one_page_per_url(pages).select("url", "status")
     listed = listing.groupBy("index_url", "url").agg(F.count(F.lit(1)).alias("times"))
     j = listed.join(st, "url", "left")
     red = is_redirect(F.col("status")).cast("long") * F.col("times")
-    return (j.groupBy("index_url")
-            .agg(F.sum("times").alias("listed"),
-                 F.coalesce(F.sum(red), F.lit(0)).alias("ignored"))
-            .select("index_url", "listed", (F.col("listed") - F.col("ignored")).alias("processed"),
+    tally = (j.groupBy("index_url")
+             .agg(F.sum("times").alias("listed"),
+                  F.coalesce(F.sum(red), F.lit(0)).alias("ignored")))
+    if documents is not None:
+        tally = documents.select("index_url").distinct().join(tally, "index_url", "left").na.fill(0)
+    return (tally.select("index_url", "listed", (F.col("listed") - F.col("ignored")).alias("processed"),
                     "ignored"))

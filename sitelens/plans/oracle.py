@@ -11,17 +11,15 @@ side never runs any of this.
 from __future__ import annotations
 
 from ..config import DEFAULT
-from ..functions import _ORIGIN_RE, language_pattern
 from ..sources.fixture import PART_SIZE, SITE_PAGES_SQL
 
 ROOT = DEFAULT.site_root
 VOCAB = "[" + ", ".join(f"'{v}'" for v in DEFAULT.vocab) + "]"
 PART = 3 * PART_SIZE
-LANG_RE = language_pattern(DEFAULT.site_prefix)
-ORIGIN_RE = _ORIGIN_RE
 SCHEMES = "[" + ", ".join(f"'{s}'" for s in DEFAULT.url_schemes) + "]"
 IDX0 = f"{ROOT}/express/query-index.json"
 IDX1 = f"{ROOT}/br/express/query-index.json"
+IDX_EMPTY = f"{ROOT}/fr/express/query-index.json"
 IDX2 = f"{ROOT}/de/express/learn/blog/query-index.json"
 
 
@@ -34,16 +32,29 @@ def _join_links(a: str) -> str:
     return f"array_to_string(list_transform({a}, lambda x: chr(10) || x), '')"
 
 
+# The parts of a link by plain string functions: scheme before the first colon,
+# what stands between // and the next / ? #, without what precedes an @.
+def _scheme(h: str) -> str:
+    return f"lower(split_part({h}, ':', 1))"
+
+
+def _host_port(h: str) -> str:
+    rest = f"substr({h}, strpos({h}, ':') + 1)"
+    auth = f"split_part(split_part(split_part(substr({rest}, 3), '/', 1), '?', 1), '#', 1)"
+    return f"(case when starts_with({rest}, '//') then substr({auth}, strpos({auth}, '@') + 1) else '' end)"
+
+
 def _is_abs(h: str) -> str:
-    return (f"(regexp_matches({h}, '{ORIGIN_RE}') and list_contains({SCHEMES}, "
-            f"lower(regexp_extract({h}, '{ORIGIN_RE}', 1))) and "
-            f"(regexp_extract({h}, '{ORIGIN_RE}', 5) = '' or "
-            f"regexp_matches(regexp_extract({h}, '{ORIGIN_RE}', 5), '^[0-9]+$')))")
+    p = _host_port(h)
+    port = f"(case when starts_with({p}, '[') then split_part({p}, ']:', 2) else substr({p}, strpos({p}, ':') + 1) end)"
+    return (f"(contains({h}, ':') and list_contains({SCHEMES}, {_scheme(h)}) and "
+            f"(not contains({p}, ':') or {port} = '' or try_cast({port} as hugeint) >= 0))")
 
 
 def _origin(h: str) -> str:
-    return (f"lower(regexp_extract({h}, '{ORIGIN_RE}', 1)) || '://' || "
-            f"regexp_extract({h}, '{ORIGIN_RE}', 3)")
+    p = _host_port(h)
+    return (f"{_scheme(h)} || '://' || (case when starts_with({p}, '[') then split_part({p}, ']', 1) || ']' "
+            f"else split_part({p}, ':', 1) end)")
 
 
 def _brand(x: str) -> str:
@@ -63,12 +74,12 @@ cte("site_pages", SITE_PAGES_SQL)
 cte("admitted", """select page_id, url, status, regexp_replace(html, '\\r\\n|\\r|\\n', '', 'g') as html
   from site_pages where status not in (301, 302, 303) and status < 400""", "site_pages")
 cte("cells", """select concat('sheet', cast(page_id % 2 as varchar(2))) as sheet,
-       cast(page_id // 2 as int) as row_num, 0 as col_num,
+       cast(page_id // 2 as bigint) as row_num, 0 as col_num,
        case when page_id % 11 = 3 then '  ' else url end as value
   from site_pages
   union all
   select concat('sheet', cast((page_id + 1) % 2 as varchar(2))) as sheet,
-       cast(100000000 + page_id as int) as row_num, 0 as col_num, url as value
+       cast(page_id as bigint) as row_num, 1 as col_num, url as value
   from site_pages where page_id % 17 = 5""", "site_pages")
 cte("cell_urls", """select sheet, row_num, col_num, value as url from cells
   where row_num <> 0 and regexp_matches(value, '\\S')""", "cells")
@@ -136,8 +147,11 @@ def with_(*names: str) -> str:
 
 
 def lang(u: str) -> str:
-    return (f"case when regexp_matches({u}, '{LANG_RE}') then (case when lower(regexp_extract({u}, '{LANG_RE}', 1)) "
-            f"= 'express' then 'en' else regexp_extract({u}, '{LANG_RE}', 1) end) end")
+    prefix = ROOT + "/"
+    rest = f"substr({u}, strpos({u}, '{prefix}') + {len(prefix)})"
+    seg = f"split_part({rest}, '/', 1)"
+    return (f"case when contains({u}, '{prefix}') and contains({rest}, '/') then "
+            f"(case when lower({seg}) = 'express' then 'en' else {seg} end) end")
 
 
 def block_report(listing_cte: str, listing_sql: str, dates_sql: str | None, *extra: str) -> str:
@@ -164,7 +178,12 @@ ORACLES: dict[str, str] = {
     "join_lines": with_("admitted") + "select page_id, length(html)::BIGINT as n_chars, md5(html) as html_md5 from admitted",
     "admit_index_docs": with_("qi") + f"""select distinct index_url, part::BIGINT as part from qi
         where not (page_id % 3 = 2 and part = 1)
-        union all select distinct index_url, -2::BIGINT as part from qi where part = 0""",
+        union all select distinct index_url, -2::BIGINT as part from qi where part = 0
+        union all select distinct index_url, -3::BIGINT as part from qi where part = 0
+        union all select '{IDX_EMPTY}', 0""",
+    "index_entry_rejects": with_("qi") + """select distinct index_url, -3::BIGINT as part, 0::BIGINT as pos,
+        'no_path' as reason from qi where part = 0
+        union all select distinct index_url, -3, 1, 'bad_date' from qi where part = 0""",
     "index_doc_rejects": with_("qi") + """select distinct index_url, part::BIGINT as part, 500 as status,
         'http_status' as reason from qi where page_id % 3 = 2 and part = 1
         union all select distinct index_url, -1::BIGINT, 200, 'blank' from qi where part = 0
@@ -222,7 +241,9 @@ ORACLES: dict[str, str] = {
     "crawl_tally": with_("qi_read") + """select index_url, count(*)::BIGINT as listed,
         (count(*) - count(*) filter (where s.status in (301, 302, 303)))::BIGINT as processed,
         (count(*) filter (where s.status in (301, 302, 303)))::BIGINT as ignored
-        from qi_read q join site_pages s on s.url = q.url group by index_url""",
+        from qi_read q join site_pages s on s.url = q.url group by index_url
+        union all select '""" + IDX_EMPTY + """', 0, 0, 0""",
+    "unique_domains_run": with_("dom") + """select distinct unnest(origins) as origin from dom where url like '%/p/%'""",
     "unique_domains": with_("dom", "qi_read") + """select distinct q.family, o as origin
         from (select url, unnest(origins) as o from dom) d join qi_read q on q.url = d.url""",
     # operator forms (listing = every page of the site)
@@ -231,7 +252,9 @@ ORACLES: dict[str, str] = {
     "brand_link_filter": with_("hrefs") + f"""select url, h as href
         from (select url, unnest(hs) as h from hrefs) where {_brand('h')}""",
     "extract_elements": with_("admitted") + """select url,
-        len(regexp_extract_all(html, '<[a-zA-Z]', 0))::BIGINT as n_elements from admitted""",
+        sum(n)::BIGINT as n_elements, array_to_string(list_sort(list(tag || ':' || n)), ',') as tags
+        from (select url, tag, count(*) as n from (select url, lower(unnest(regexp_extract_all(html,
+                '<([a-zA-Z][a-zA-Z0-9]*)', 1))) as tag from admitted) group by all) group by url""",
     "variant_name": with_("blk") + "select url, variant from blk",
     "join_links": with_("hrefs") + f"select url, {_join_links('hs')} as href_links from hrefs where len(hs) > 0",
     "split_star": with_("hrefs") + """select url, unnest(list_filter(regexp_split_to_array(h, '[*]+'),

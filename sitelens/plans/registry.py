@@ -53,6 +53,13 @@ class Fixture:
     def pages(self) -> DataFrame:
         return self._input("pages", lambda: fx.site_pages(self.spark, self.sf))
 
+    @property
+    def fetched(self) -> DataFrame:
+        """The pages as a crawl stores them: some urls with a failed copy."""
+        stale = self.pages.where("page_id % 13 = 4").select(
+            "page_id", "url", F.lit(404).alias("status"), F.lit('<a href="/stale" class="banner">media_old.png</a>').alias("html"))
+        return self._input("fetched", lambda: self.pages.unionByName(stale.select(self.pages.columns)))
+
     @property
     def cells(self) -> DataFrame:
         return self._input("cells", lambda: fx.sheet_cells(self.spark, self.sf))
@@ -73,8 +80,8 @@ class Fixture:
         return src.query_index_listing(self.spark, self.index_docs, cfg)
 
     def elements(self) -> DataFrame:
-        """The whole element table (O16) of every admitted page."""
-        return parsed_elements(self.pages, None, cfg, keep="all")
+        """The fact rows (O16) of every admitted page, parsed where they are read."""
+        return parsed_elements(self.fetched, None, cfg, persist=False)
 
 
 def _long(c: str) -> F.Column:
@@ -112,6 +119,11 @@ def q_index_doc_rejects(spark, sf):
         "index_url", _long("part"), "status", "reason")
 
 
+def q_index_entry_rejects(spark, sf):
+    return src.index_entry_rejects(spark, Fixture(spark, sf).index_docs, cfg).select(
+        "index_url", _long("part"), _long("pos"), "reason")
+
+
 def q_read_query_index(spark, sf):
     return Fixture(spark, sf).qi_listing().select(
         "index_url", "url", fn.format_epoch("last_modified_raw").alias("last_modified"))
@@ -242,10 +254,17 @@ def q_classify_origin(spark, sf):
 def q_unique_domains(spark, sf):
     f = Fixture(spark, sf)
     listing = f.qi_listing()
-    els = parsed_elements(f.pages, listing, cfg)
+    els = parsed_elements(f.fetched, listing, cfg)
     return links.unique_domains(listing, els, cfg, by="family")
 
 
+def q_unique_domains_run(spark, sf):
+    """O39 over a whole run: the sitemap's pages."""
+    f = Fixture(spark, sf)
+    listing = src.sitemap_pages(f.sitemap_index, f.sitemap_docs, mode="list").where("url like '%/p/%'")
+    return links.unique_domains(listing, f.elements(), cfg, by=None)
+
+
 # -- pages --------------------------------------------------------------------
 def q_media_ids(spark, sf):
     p = el.admit_pages(Fixture(spark, sf).pages)
@@ -264,7 +283,9 @@ def q_last_modified_lookup(spark, sf):
 
 def q_crawl_tally(spark, sf):
     f = Fixture(spark, sf)
-    return pg.crawl_tally(f.qi_listing(), f.pages)
+    urls = src.expand_index_urls(spark, cfg).select("index_url")
+    documents = src.admit_index_docs(f.index_docs).join(F.broadcast(urls), "index_url")
+    return pg.crawl_tally(f.qi_listing(), f.fetched, documents)
 
 
 # -- operator forms (listing = every page of the site) --------------------------
@@ -278,8 +299,12 @@ def q_brand_link_filter(spark, sf):
 
 
 def q_extract_elements(spark, sf):
-    return (Fixture(spark, sf).elements().groupBy("url")
-            .agg(F.count(F.lit(1)).alias("n_elements")))
+    f = Fixture(spark, sf)
+    els = parsed_elements(f.fetched, None, cfg, persist=False, keep="all")
+    tags = els.groupBy("url", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return tags.groupBy("url").agg(
+        F.sum("n").alias("n_elements"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "tag", "n"))), ",").alias("tags"))
 
 
 def q_variant_name(spark, sf):
@@ -324,7 +349,7 @@ def q_page_domain_report(spark, sf):
 
 def q_media_report(spark, sf):
     f = Fixture(spark, sf)
-    return pg.media_report(f.pages.select(F.lit("site").alias("sheet"), "url"), f.pages, cfg)
+    return pg.media_report(f.pages.select(F.lit("site").alias("sheet"), "url"), f.fetched, cfg)
 
 
 def q_write_report(spark, sf):
@@ -350,53 +375,53 @@ def q_write_report_by_sheet(spark, sf):
 # -- whole reports --------------------------------------------------------------
 def q_report_block_matrix(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_block_matrix(f.cells, f.pages, cfg)
+    return R.report_block_matrix(f.cells, f.fetched, cfg)
 
 
 def q_report_blocks_from_cells(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_blocks_from_cells(spark, f.cells, f.index_docs, f.pages, cfg)
+    return R.report_blocks_from_cells(spark, f.cells, f.index_docs, f.fetched, cfg)
 
 
 def q_report_blocks_from_index(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_blocks_from_index(spark, f.index_docs, f.pages, cfg)
+    return R.report_blocks_from_index(spark, f.index_docs, f.fetched, cfg)
 
 
 def q_report_blocks_from_sitemap(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_blocks_from_sitemap(f.sitemap_index, f.sitemap_docs, f.pages, cfg)
+    return R.report_blocks_from_sitemap(f.sitemap_index, f.sitemap_docs, f.fetched, cfg)
 
 
 def q_report_brand_links_all(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_brand_links_all(f.cells, f.pages, cfg)
+    return R.report_brand_links_all(f.cells, f.fetched, cfg)
 
 
 def q_report_brand_links(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_brand_links(spark, f.index_docs, f.pages, cfg)
+    return R.report_brand_links(spark, f.index_docs, f.fetched, cfg)
 
 
 def q_report_links(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_links(f.sitemap_index, f.sitemap_docs, f.pages, cfg).select(
+    return R.report_links(f.sitemap_index, f.sitemap_docs, f.fetched, cfg).select(
         "url", _long("i"), _long("j"), "link")
 
 
 def q_report_domains_from_index(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_domains_from_index(spark, f.index_docs, f.pages, cfg)
+    return R.report_domains_from_index(spark, f.index_docs, f.fetched, cfg)
 
 
 def q_report_domains_from_sitemap(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_domains_from_sitemap(f.sitemap_index, f.sitemap_docs, f.pages, cfg)
+    return R.report_domains_from_sitemap(f.sitemap_index, f.sitemap_docs, f.fetched, cfg)
 
 
 def q_report_media(spark, sf):
     f = Fixture(spark, sf)
-    return R.report_media(f.cells, f.pages, cfg)
+    return R.report_media(f.cells, f.fetched, cfg)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, AuditConfig
 from ..operators import blocks, links, pages as pg
 from ..sources import listing as src
-from .store import FactStore, parsed_elements
+from .store import FactStore, materialize, parsed_elements
 
 
 Facts = "DataFrame | FactStore | None"
@@ -50,7 +50,7 @@ def report_blocks_from_cells(spark: SparkSession, cells: DataFrame, index_docs:
     """block/variant/layout counts for workbook urls, dates from the
     query indexes. A url listed twice counts twice."""
     listing = src.cells_to_urls(cells)
-    dates = src.index_dates(src.query_index_listing(spark, index_docs, cfg))
+    dates = materialize(src.index_dates(src.query_index_listing(spark, index_docs, cfg)), "dates")
     els = _elements(pages, listing, cfg, elements)
     return blocks.block_variant_layout_report(listing, None, dates, cfg, counts=els.layout_counts)
 
@@ -58,8 +58,7 @@ def report_blocks_from_cells(spark: SparkSession, cells: DataFrame, index_docs:
 def report_blocks_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
                              cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """As P2 for the query-index urls (each url once)."""
-    qi = src.query_index_listing(spark, index_docs, cfg)
-    dates = src.index_dates(qi)
+    dates = materialize(src.index_dates(src.query_index_listing(spark, index_docs, cfg)), "dates")
     listing = dates.select("url")
     els = _elements(pages, listing, cfg, elements)
     return blocks.block_variant_layout_report(listing, None, dates, cfg, counts=els.layout_counts)
@@ -68,7 +67,7 @@ def report_blocks_from_index(spark: SparkSession, index_docs: DataFrame, pages:
 def report_blocks_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
                                cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """As P2 for the sitemap urls; the date is the lastmod text."""
-    sm = src.sitemap_pages(index_urls, sitemap_docs, mode="map")
+    sm = materialize(src.sitemap_pages(index_urls, sitemap_docs, mode="map"), "listing")
     dates = sm.select("url", F.col("lastmod").alias("last_modified"))
     listing = sm.select("url")
     els = _elements(pages, listing, cfg, elements)
@@ -87,7 +86,7 @@ def report_brand_links_all(cells: DataFrame, pages: DataFrame, cfg: AuditConfig
 def report_brand_links(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
                        cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """Brand links per query-index page, substring-deduplicated."""
-    listing = src.query_index_listing(spark, index_docs, cfg).select("url")
+    listing = materialize(src.query_index_listing(spark, index_docs, cfg).select("url"), "listing")
     els = _elements(pages, listing, cfg, elements)
     return links.brand_links_report(listing, None, cfg, dedupe=True, links=els.links)
 
@@ -97,7 +96,7 @@ def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFram
                  cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """One row per (listed page, link) for the sitemap pages, a page
     listed twice giving its rows twice."""
-    listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
+    listing = materialize(src.sitemap_pages(index_urls, sitemap_docs, mode="list").select("url", "page_seq"), "listing")
     els = _elements(pages, listing, cfg, elements)
     return links.link_rows(listing, None, links=els.links)
 
@@ -106,7 +105,7 @@ def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFram
 def report_domains_from_index(spark: SparkSession, index_docs: DataFrame, pages: DataFrame,
                               cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """Links and brand / non-brand origins per query-index page."""
-    listing = src.query_index_listing(spark, index_docs, cfg)
+    listing = materialize(src.query_index_listing(spark, index_docs, cfg).select("url"), "listing")
     els = _elements(pages, listing, cfg, elements)
     return links.page_domain_report(listing, None, cfg, links=els.links)
 
@@ -114,7 +113,7 @@ def report_domains_from_index(spark: SparkSession, index_docs: DataFrame, pages:
 def report_domains_from_sitemap(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFrame,
                                 cfg: AuditConfig = DEFAULT, elements: Facts = None) -> DataFrame:
     """As P8 for the sitemap pages."""
-    listing = src.sitemap_pages(index_urls, sitemap_docs, mode="list")
+    listing = materialize(src.sitemap_pages(index_urls, sitemap_docs, mode="list").select("url"), "listing")
     els = _elements(pages, listing, cfg, elements)
     return links.page_domain_report(listing, None, cfg, links=els.links)
 

@@ -10,60 +10,51 @@ re-parsing pages.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, AuditConfig
-from ..operators.elements import extract_elements, one_copy, page_bodies
+from ..operators.elements import extract_elements, one_page_per_url, page_bodies
 from ..session import checkpoint_dir
 
 
+_WRITTEN: list[str] = []
+
+
 def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under the shared checkpoint folder; return the path."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    return df.sparkSession.read.parquet(write_table(df, name))
-
-
-# Largest url list (bytes of distinct urls) sent to every task as a filter.
-BROADCAST_BUDGET = 64 * 1024 * 1024
-
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Deletes the tables that ``write_table`` makes inside the block when it
+    ends: for callers that have written their result by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def listing_size(listing: DataFrame) -> tuple[int, int]:
-    """Upper bound of the url list: (rows, bytes of url text) over the
-    listing as it is. One global aggregate (partial sums per task, no
-    shuffle of urls); repeats only make the bound larger, never smaller."""
-    r = (listing.agg(F.count(F.lit(1)).alias("n"),
-                     F.coalesce(F.sum(F.length("url")), F.lit(0)).alias("b"))
-         .first())
-    return int(r["n"]), int(r["b"])
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.read.parquet(write_table(df, name))
 
-def listed_pages(pages: DataFrame, listing: DataFrame | None,
-                 budget: int = BROADCAST_BUDGET) -> DataFrame:
-    """Admitted pages (url, html with joined lines) to parse for ``listing``.
 
-    The pages table is the large side and is never shuffled. When an upper
-    bound of the url list (bytes of url text plus a per-row allowance, over
-    all listing rows) fits ``budget``, the distinct urls are broadcast and
-    the pages are filtered where they lie.
-    Beyond that no filter is applied: every admitted page is parsed in place
-    and each report joins its small per-page facts to the listing, which is
-    cheaper than moving the markup through a shuffle.
-    """
-    bodies = page_bodies(pages)
-    if listing is None:  # the whole crawl
-        return bodies
-    n, b = listing_size(listing)
-    if b + 64 * n <= budget:
-        wanted = F.broadcast(listing.select("url").distinct())
-        return bodies.join(wanted, "url", "left_semi")
-    return bodies
+def listed_pages(pages: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """Pages (url, html with joined lines) to parse for ``listing`` (None: the
+    whole crawl): the listed ones, one copy per url, admitted. Spark broadcasts
+    the distinct urls where they are small and sort-merges beyond that; the
+    result is the same."""
+    if listing is not None:
+        pages = pages.join(listing.select("url").distinct(), "url", "left_semi")
+    return page_bodies(one_page_per_url(pages))
 
 
 def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfig = DEFAULT,
@@ -72,21 +63,11 @@ def parsed_elements(pages: DataFrame, listing: DataFrame | None, cfg: AuditConfi
     ``listing`` is None), written once when ``persist``. The reports need
     only the fact rows (keep='facts'); keep='all' gives the whole table.
 
-    The result holds one parsed copy per url, as the url-keyed programs read
-    one page per url: when the pages table has several fetched copies of a
-    url, one is kept (``chosen_pages``). For a written store this is checked
-    once on the root rows and the store is rewritten only if copies exist,
-    so the reports never carry the copy filter.
+    The result holds one copy per url, chosen before the parse, as the
+    url-keyed programs read one page per url.
     """
     els = extract_elements(listed_pages(pages, listing), cfg, keep=keep)
-    if not persist:
-        return one_copy(els, els)
-    stored = materialize(els, "elements")
-    roots = stored.where(F.col("pre") == 0)
-    r = roots.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("u")).first()
-    if r["n"] == r["u"]:
-        return stored
-    return materialize(one_copy(stored, stored), "elements-one-copy")
+    return materialize(els, "elements") if persist else els
 
 
 class FactStore:

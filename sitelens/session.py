@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,16 +24,20 @@ RECOMMENDED_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", app: str = "sitelens",
-                  shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app)
+def build_session(master: str | None = None, app: str = "sitelens",
+                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    """A session with the recommended settings. Master, memory and shuffle
+    partitions are set only if asked for (or, for a local master, to suit one
+    machine), so what ``spark-submit`` gives holds."""
+    b = SparkSession.builder.appName(app)
     conf = dict(RECOMMENDED_CONF)
-    conf.update({
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
-    })
+    if master:
+        b = b.master(master)
+        if master.startswith("local["):
+            conf.update({"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g"})
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -53,15 +58,19 @@ def apply_session_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and is read as is. Only when it
-    is unset (local tests) a scratch folder is made and registered.
+    On a cluster this must be set; it is read as is. Only where it is unset
+    and the master is local (tests) a scratch folder is made and registered.
     """
     sc = _context(spark)
     if sc is None:  # a remote (Connect) session: the setting is all there is
         d = spark.conf.get("spark.checkpoint.dir", None)
-        return d or tempfile.mkdtemp(prefix="sitelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not d:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return d
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sitelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -81,13 +90,6 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    sc = _context(spark)
-    if sc is not None:
-        return sc.defaultParallelism
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -54,14 +54,14 @@ from pages
 # other sheet (a repeated URL must count twice where the programs do).
 SHEET_CELLS_SQL = """
 select concat('sheet', cast(page_id % 2 as varchar(2))) as sheet,
-       cast(page_id / 2 as int) as row_num,
+       cast(floor(page_id / 2) as bigint) as row_num,
        0 as col_num,
        case when page_id % 11 = 3 then '  ' else url end as value
 from site_pages
 union all
 select concat('sheet', cast((page_id + 1) % 2 as varchar(2))) as sheet,
-       cast(100000000 + page_id as int) as row_num,
-       0 as col_num,
+       cast(page_id as bigint) as row_num,
+       1 as col_num,
        url as value
 from site_pages where page_id % 17 = 5
 """
@@ -104,7 +104,8 @@ def index_documents(spark: SparkSession, sf_dir: str, cfg: AuditConfig = DEFAULT
 
     Each part holds the entries of at most PART_SIZE pages, in page order.
     Part 1 of the blog family answers 500, so its entries are not read (O7).
-    Part -1 of each family has a blank body, part -2 JSON without ``data``.
+    Part -1 of each family has a blank body, part -2 JSON without ``data``, part
+    -3 an entry without a path and one with a bad date. The /fr index is empty.
     """
     sp = site_pages(spark, sf_dir).select("page_id", "url")
     entries = sp.select(
@@ -130,7 +131,12 @@ def index_documents(spark: SparkSession, sf_dir: str, cfg: AuditConfig = DEFAULT
                          F.lit("  ").alias("body"))
     nodata = first.select("index_url", F.lit(-2).alias("part"), F.lit(200).alias("status"),
                           F.lit('{"items":[]}').alias("body"))
-    return docs.unionByName(blank).unionByName(nodata)
+    bad = first.select("index_url", F.lit(-3).alias("part"), F.lit(200).alias("status"),
+                       F.lit('{"data":[{"lastModified":"5"},{"path":"/express/x","lastModified":"x1"}]}').alias("body"))
+    empty = spark.range(1).select(
+        F.lit(cfg.families[0].template.format(root=cfg.site_root, locale="/fr")).alias("index_url"),
+        F.lit(0).alias("part"), F.lit(200).alias("status"), F.lit('{"data":[]}').alias("body"))
+    return docs.unionByName(blank).unionByName(nodata).unionByName(bad).unionByName(empty)
 
 
 def sitemap_documents(spark: SparkSession, sf_dir: str, cfg: AuditConfig = DEFAULT) -> DataFrame:

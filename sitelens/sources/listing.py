@@ -73,17 +73,34 @@ def index_doc_rejects(spark: SparkSession, docs: DataFrame, cfg: AuditConfig = D
             .where(F.col("reason").isNotNull()))
 
 
+def _index_entries(docs: DataFrame) -> DataFrame:
+    """(index_url, part, pos, path, last_modified_raw, reason) of every entry;
+    ``reason`` is null for a readable one."""
+    parsed = docs.select("index_url", "part",
+                         F.from_json("body", QUERY_INDEX_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
+    entry = parsed.select("index_url", "part", F.posexplode("j.data").alias("pos", "e")).select(
+        "index_url", "part", "pos", F.col("e.path").alias("path"), F.col("e.lastModified").alias("last_modified_raw"))
+    date = F.col("last_modified_raw")
+    return entry.withColumn("reason", F.when(F.col("path").isNull(), F.lit("no_path")).when(
+        date.isNotNull() & date.try_cast("bigint").isNull(), F.lit("bad_date")))
+
+
 def read_query_index(docs: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """O3: parse each admitted document and explode ``data``:
     (index_url, part, pos, url, last_modified_raw). A document without
-    ``data`` or not JSON gives no rows."""
-    parsed = docs.select("index_url", "part",
-                         F.from_json("body", QUERY_INDEX_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
-    return (parsed.select("index_url", "part", F.posexplode("j.data").alias("pos", "e"))
+    ``data`` or not JSON gives no rows; entries without a path or with a date
+    that is no number are rejected (``index_entry_rejects``)."""
+    return (_index_entries(docs).where("reason is null")
             .select("index_url", "part", "pos",
-                    F.concat(F.lit(cfg.site_root), F.col("e.path")).alias("url"),
-                    F.col("e.lastModified").alias("last_modified_raw"))
-            .where(F.col("url").isNotNull()))
+                    F.concat(F.lit(cfg.site_root), F.col("path")).alias("url"), "last_modified_raw"))
+
+
+def index_entry_rejects(spark: SparkSession, docs: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """O45 for the entries of admitted index documents: (index_url, part, pos,
+    reason) of each entry that is not read."""
+    urls = expand_index_urls(spark, cfg).select("index_url")
+    admitted = admit_index_docs(docs).join(F.broadcast(urls), "index_url")
+    return _index_entries(admitted).where("reason is not null").select("index_url", "part", "pos", "reason")
 
 
 def query_index_listing(spark: SparkSession, docs: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
@@ -109,6 +126,8 @@ def index_dates(listing: DataFrame) -> DataFrame:
 
 
 # -- O4 / O5 / O6 -------------------------------------------------------------
+# Documents are parsed where they lie; only their small rows are joined, so no
+# document body is shuffled.
 def read_sitemap_index(docs: DataFrame) -> DataFrame:
     """``sitemap`` elements of each admitted sitemap-index document ->
     child sitemap urls: (index_url, child_pos, sitemap_url)."""
@@ -123,7 +142,8 @@ def read_sitemap_urls(docs: DataFrame, mode: str = "map") -> DataFrame:
     """``url`` elements -> (doc_url, pos, loc, lastmod).
 
     mode='map': the last ``loc`` and last ``lastmod`` of an element, a
-    missing date as ''. mode='list': every ``loc`` is a row, no date.
+    missing date as ''. mode='list': every ``loc`` is a row, no date; ``pos`` is
+    then the struct (element, place in the element).
     """
     parsed = admit_index_docs(docs, require_text=False).select(
         "doc_url", F.from_xml("body", URLSET_SCHEMA, _XML_OPTS).alias("x"))
@@ -134,7 +154,7 @@ def read_sitemap_urls(docs: DataFrame, mode: str = "map") -> DataFrame:
                         F.try_element_at("u.loc", F.lit(-1)).alias("loc"),
                         F.coalesce(F.try_element_at("u.lastmod", F.lit(-1)), F.lit("")).alias("lastmod")))
     return (items.select("doc_url", "pos", F.posexplode("u.loc").alias("k", "loc"))
-            .select("doc_url", (F.col("pos") * 1000 + F.col("k")).alias("pos"), "loc",
+            .select("doc_url", F.struct("pos", "k").alias("pos"), "loc",
                     F.lit(None).cast("string").alias("lastmod")))
 
 
@@ -143,19 +163,22 @@ def sitemap_doc_rejects(index_urls: DataFrame, docs: DataFrame) -> DataFrame:
     sitemap-index or child document that yields no entries: not fetched, a
     status other than 200, or no ``sitemap``/``url`` element (malformed XML
     included)."""
-    def rejects(listed: DataFrame, schema: str, field: str, level: str) -> DataFrame:
-        j = listed.join(docs, "doc_url", "left")
-        x = F.from_xml("body", schema, _XML_OPTS)[field]
+    state = docs.select(
+        "doc_url", "status",
+        F.from_xml("body", SITEMAP_INDEX_SCHEMA, _XML_OPTS)["sitemap"].isNotNull().alias("index"),
+        F.from_xml("body", URLSET_SCHEMA, _XML_OPTS)["url"].isNotNull().alias("child"))
+
+    def rejects(listed: DataFrame, level: str) -> DataFrame:
         reason = (F.when(F.col("status").isNull(), F.lit("not_fetched"))
                   .when(F.col("status") != INDEX_OK_STATUS, F.lit("http_status"))
-                  .when(x.isNull(), F.lit("no_entries")))
-        return (j.select("doc_url", F.lit(level).alias("level"), "status", reason.alias("reason"))
+                  .when(~F.col(level), F.lit("no_entries")))
+        return (listed.join(state, "doc_url", "left")
+                .select("doc_url", F.lit(level).alias("level"), "status", reason.alias("reason"))
                 .where(F.col("reason").isNotNull()))
     idx = index_urls.select(F.col("index_url").alias("doc_url")).distinct()
-    idx_docs = docs.join(idx, "doc_url", "left_semi").withColumnRenamed("doc_url", "index_url")
-    children = read_sitemap_index(idx_docs).select(F.col("sitemap_url").alias("doc_url")).distinct()
-    return (rejects(idx, SITEMAP_INDEX_SCHEMA, "sitemap", "index")
-            .unionByName(rejects(children, URLSET_SCHEMA, "url", "child")))
+    children = read_sitemap_index(docs.withColumnRenamed("doc_url", "index_url")).withColumnRenamed("index_url", "doc_url")
+    children = children.join(idx, "doc_url", "left_semi").select(F.col("sitemap_url").alias("doc_url")).distinct()
+    return rejects(idx, "index").unionByName(rejects(children, "child"))
 
 
 def sitemap_pages(index_urls: DataFrame, docs: DataFrame, mode: str = "map") -> DataFrame:
@@ -166,15 +189,11 @@ def sitemap_pages(index_urls: DataFrame, docs: DataFrame, mode: str = "map") ->
     row (url, page_seq, index_seq, child_pos, pos), duplicates kept.
     mode='map': one row per url with the last date (O10), as (url, lastmod).
     """
-    idx_docs = docs.join(index_urls.withColumnRenamed("index_url", "doc_url"), "doc_url") \
-        .withColumnRenamed("doc_url", "index_url")
-    children = read_sitemap_index(idx_docs).join(index_urls, "index_url")
+    children = read_sitemap_index(docs.withColumnRenamed("doc_url", "index_url")).join(index_urls, "index_url")
     order = children.select(F.col("sitemap_url").alias("doc_url"), "index_seq", "child_pos")
     # each child document is parsed once, however often the indexes list it;
     # its pages are then repeated once per listing (list mode keeps repeats)
-    child_docs = docs.join(order.select("doc_url").distinct(), "doc_url", "left_semi")
-    urls = read_sitemap_urls(child_docs.select("doc_url", "status", "body"), mode)
-    listed = urls.join(order, "doc_url").select(
+    listed = read_sitemap_urls(docs, mode).join(order, "doc_url").select(
         F.col("loc").alias("url"), "lastmod", "index_seq", "child_pos", "pos", "doc_url")
     if mode == "map":
         from ..operators.pages import last_wins

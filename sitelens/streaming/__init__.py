@@ -55,10 +55,11 @@ def start_block_audit(pages: DataFrame, out_path: str, checkpoint: str,
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch's element table is read by several sub-plans: write it once
-        from ..plans.store import parsed_elements
-        els = parsed_elements(batch, None, cfg)
-        (blocks.block_variant_layout_counts(els, cfg)
-         .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
+        from ..plans.store import parsed_elements, temporary_tables
+        with temporary_tables(batch.sparkSession):
+            els = parsed_elements(batch, None, cfg)
+            (blocks.block_variant_layout_counts(els, cfg)
+             .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
 
     w = pages.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -102,3 +102,22 @@ def test_has_attr_prefix(spark):
     df = spark.createDataFrame([({"classid": "z"},), ({"hreflang": "en"},)], "a map<string,string>")
     got = df.select(fn.has_attr_prefix("a", "class").alias("c"), fn.has_attr_prefix("a", "href").alias("h")).collect()
     assert [(r["c"], r["h"]) for r in got] == [(True, False), (False, True)]
+
+
+def test_substring_dedupe_of_many_links_and_with_the_separator(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from sitelens import functions as fn
+    many = [f"https://www.example.com/d/{i * 7919 % 8000}" for i in range(8_000)]
+    odd = ["a\uffffb", "b", "a", "a\uffffb", "\uffff", "c"]
+    df = spark.createDataFrame([(0, many), (1, odd), (2, []), (3, ["", "x", ""]), (4, None)], "k int, a array<string>")
+    began = time.time()
+    got = {r["k"]: r["o"] for r in df.select("k", fn.substring_dedupe(F.col("a")).alias("o")).collect()}
+    assert time.time() - began < 12
+    text, want = "", []
+    for x in many:
+        if x not in text:
+            want.append(x)
+            text += "\n" + x
+    assert got == {0: want, 1: ["a\uffffb", "c"], 2: [], 3: ["x"], 4: None}

@@ -113,3 +113,44 @@ def test_intervals_nest(doc):
     # children counts agree with parent pointers
     for e in els:
         assert e[8] == sum(1 for c in els if c[2] == e[0])
+
+
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    els = parse_elements("""<div class=banner data-t=Don't><p>x</p></div><a href="/x">it's</a>""")
+    assert by_tag(els, "div")[0][6] == {"class": "banner", "data-t": "Don't"}
+    assert by_tag(els, "p")[0][7] == "x" and by_tag(els, "a")[0][6] == {"href": "/x"}
+    els = parse_elements("<div class=banner data-t=Don't><p>x</p></div>")
+    assert by_tag(els, "div")[0][6]["class"] == "banner"
+    els = parse_elements('<a href="/x>foo</a>')  # a quote that is never closed ends with the tag
+    assert by_tag(els, "a")[0][6] == {"href": "/x"} and by_tag(els, "a")[0][7] == "foo"
+    els = parse_elements("""<a title='a > b' href=/y data-q="1" x/>t""")
+    assert by_tag(els, "a")[0][6] == {"title": "a > b", "href": "/y", "data-q": "1", "x": ""}
+
+
+def test_a_tag_that_closes_itself_has_no_content():
+    els = parse_elements('<div class="banner"><svg class="icon"/><div>Desktop</div></div>')
+    banner, svg = by_tag(els, "div")[0], by_tag(els, "svg")[0]
+    assert banner[8] == 2 and svg[8] == 0 and banner[9] == ["Desktop"]
+    els = parse_elements('<div class="banner"/><div class="cards">x</div><a href=/x/>y</a>')
+    assert [e[2] for e in by_tag(els, "div")] == [2, 2] and by_tag(els, "div")[0][1] == by_tag(els, "div")[0][0]
+    assert by_tag(els, "a")[0][6] == {"href": "/x/"} and by_tag(els, "a")[0][7] == "y"  # the slash is in the value
+
+
+def test_later_body_and_html_attributes_are_added():
+    els = parse_elements('text<body class="columns" id=a><html lang=en><body class=late id=b x=1>')
+    assert by_tag(els, "body")[0][6] == {"class": "columns", "id": "a", "x": "1"}
+    assert by_tag(els, "html")[0][6] == {"lang": "en"} and len(els) == 3
+
+
+def test_scope_of_the_root_is_the_page():
+    els = parse_elements('<html class="banner"><div class="section-metadata"><p>x</p></div></html>')
+    assert (els[0][2], els[0][3]) == (-1, len(els) - 1)
+
+
+def test_time_is_linear_in_broken_markup():
+    import time
+    for html in ("<a x='" * 100_000, "<div>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<a b=\"<c>" * 50_001,
+                 "<div>" * 50_000 + "<dd></dd><td></td><li></li>" * 30_000, "<!--" * 100_000, "<" * 100_000, "</" * 100_000):
+        began = time.time()
+        parse_elements(html)
+        assert time.time() - began < 5, html[:20]

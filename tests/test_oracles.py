@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from sitelens.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     s_cols, s_rows = _rows(df.columns, [tuple(r) for r in df.collect()])

@@ -4,7 +4,6 @@ matter at scale are pinned by reading the physical plans."""
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from sitelens.config import DEFAULT as cfg
 from sitelens.operators.elements import extract_elements, page_bodies
@@ -80,18 +79,93 @@ def test_command_line_report(spark, tmp_path):
     assert rows(back) == rows(want)
 
 
-def test_listing_over_budget_parses_all_pages_with_same_report(spark):
-    from sitelens.operators import blocks
+def test_reports_agree_on_the_copy_of_a_url_for_any_partitioning(spark):
+    """Copies of one url: blocks, media and tally read the same one."""
+    from sitelens.operators import blocks, pages as pg
+    from sitelens.plans.store import parsed_elements
+    page = '<div class="{}"><p>x</p></div>media_{}.png'
+    copies = [("u", 200, page.format("banner", "a")), ("u", 200, page.format("steps", "b")), ("u", 302, page.format("cards", "c")),
+              ("u", 404, ""), ("v", 302, ""), ("v", 404, ""), ("w", 200, page.format("cards", "d"))] * 2
+    listing = spark.createDataFrame([("s", "i", "u"), ("s", "i", "v"), ("s", "i", "w")], "sheet string, index_url string, url string")
+    seen = set()
+    for n in (1, 2, 3, 7):
+        pages = spark.createDataFrame(copies, "url string, status int, html string").repartition(n)
+        els = parsed_elements(pages, listing, cfg)
+        b = {r["url"]: r["block"] for r in blocks.block_variant_layout_counts(els, cfg).collect()}
+        m = {r["url"]: r["template_ids"] for r in pg.media_report(listing, pages).collect()}
+        t = pg.crawl_tally(listing, pages).first()
+        assert {"banner": "[a]", "steps": "[b]"}[b["u"]] == m["u"]
+        seen.add((b["u"], b["w"], m["w"], t["listed"], t["processed"], t["ignored"]))
+    assert len(seen) == 1 and next(iter(seen))[1:] == ("cards", "[d]", 3, 2, 1)
+    latest = spark.createDataFrame([("u", 200, "old", 1), ("u", 404, "gone", 2)], "url string, status int, html string, fetch_seq long")
+    from sitelens.operators.elements import one_page_per_url
+    assert [r["html"] for r in one_page_per_url(latest).collect()] == ["gone"]
+
+
+def test_report_is_the_same_without_broadcast(spark):
+    pages, cells = fx.site_pages(spark, SF), fx.sheet_cells(spark, SF)
+    want = rows(R.report_brand_links_all(cells, pages, cfg))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(R.report_brand_links_all(cells, pages, cfg)) == want and want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_sitemap_body_is_shuffled(spark):
     from sitelens.plans.store import materialize
-    pages = fx.site_pages(spark, SF)
-    listing = fx.sheet_cells(spark, SF).where("row_num <> 0 and value rlike '\\\\S'").select(
-        F.col("value").alias("url"))
-    small = listed_pages(pages, listing)                 # under budget: broadcast filter
-    big = listed_pages(pages, listing, budget=0)         # over budget: no filter
-    assert "BroadcastExchange" in _plan(small) and "BroadcastExchange" not in _plan(big)
-    assert big.count() >= small.count()
-    reps = []
-    for src in (small, big):
-        els = materialize(extract_elements(src, cfg, keep="facts"), "els-budget")
-        reps.append(rows(blocks.block_variant_layout_report(listing, els, None, cfg)))
-    assert reps[0] == reps[1] and len(reps[0]) > 0
+    from sitelens.sources import listing as src
+    docs = materialize(fx.sitemap_documents(spark, SF), "sitemaps")
+    index = materialize(fx.sitemap_index_urls(spark, SF), "sitemap-index")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (src.sitemap_pages(index, docs), src.sitemap_pages(index, docs, "list"), src.sitemap_doc_rejects(index, docs)):
+            lines = _plan(df).split("\n")
+            for i, line in enumerate(lines):
+                if "Exchange" in line:  # what is exchanged is the output of the line below
+                    assert "body" not in lines[i + 1].split("from_xml")[0], lines[i + 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_command_line_takes_families_and_leaves_nothing_behind(spark, tmp_path):
+    from sitelens.__main__ import run
+    from sitelens.sinks import read_report
+    root = "https://other.test"
+    spark.createDataFrame([(f"{root}/a", 200, '<div class="hero"><a href="https://x.test/1">x</a></div>')],
+                          "url string, status int, html string").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([(f"{root}/i.json", 0, 200, '{"data":[{"path":"/a","lastModified":"0"}]}')],
+                          "index_url string, part int, status int, body string").write.parquet(f"{tmp_path}/docs")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    run(["report_blocks_from_index", "--pages", f"{tmp_path}/pages", "--index-docs", f"{tmp_path}/docs", "--out", f"{tmp_path}/out",
+         "--site-root", root, "--vocab", "hero", "--families", '[{"name":"all","template":"{root}{locale}/i.json","locales":[""]}]',
+         "--set", 'default_layout="Both"'], spark)
+    back = read_report(spark, f"{tmp_path}/out", "b string, v string, l string, lang string, n long, d string, u string").first()
+    assert (back["b"], back["l"], back["n"], back["d"], back["u"]) == ("hero", "Both", 1, "1970-01-01 00:00:00", f"{root}/a")
+    assert {x for x in os.listdir(folder) if not x.startswith("pyfiles")} <= before
+
+
+def test_session_settings_are_left_to_the_cluster(monkeypatch):
+    from pyspark.sql import SparkSession
+    from sitelens import session
+    given = {}
+
+    class Builder:
+        def appName(self, name):
+            return self
+
+        def master(self, m):
+            given["master"] = m
+            return self
+
+        def config(self, k, v):
+            given[k] = v
+            return self
+
+        def getOrCreate(self):
+            return type("S", (), {"sparkContext": type("C", (), {"setLogLevel": lambda *_: None})()})()
+
+    monkeypatch.setattr(SparkSession, "builder", Builder())
+    session.build_session()
+    assert not {"master", "spark.driver.memory", "spark.sql.shuffle.partitions"} & given.keys()

@@ -29,9 +29,11 @@ def test_query_index_parsing(spark):
     ], "index_url string, part int, status int, body string")
     qi = src.query_index_listing(spark, docs, CFG)
     got = sorted((r["url"], r["last_modified_raw"]) for r in qi.collect())
-    assert got == [(root + "/express/a", "1700000000"), (root + "/express/b", "x")]
+    assert got == [(root + "/express/a", "1700000000")]
+    bad = src.index_entry_rejects(spark, docs, CFG).collect()
+    assert [(r["part"], r["pos"], r["reason"]) for r in bad] == [(0, 1, "bad_date")]
     dates = {r["url"]: r["last_modified"] for r in src.index_dates(qi).collect()}
-    assert dates == {root + "/express/a": "2023-11-14 22:13:20", root + "/express/b": None}
+    assert dates == {root + "/express/a": "2023-11-14 22:13:20"}
 
 
 def test_expand_index_urls_dedupes(spark):

@@ -34,7 +34,7 @@ def main(argv):
     copies = int(argv[1]) if len(argv) > 1 else 10
     sf = argv[2] if len(argv) > 2 else "/root/testdata/sf0.1"
     scratch = tempfile.mkdtemp(prefix="sitelens-scale-")
-    spark = build_session(extra={"spark.checkpoint.dir": f"{scratch}/ckpt"})
+    spark = build_session("local[8]", extra={"spark.checkpoint.dir": f"{scratch}/ckpt"})
     base = fx.site_pages(spark, sf)
     reps = spark.range(copies).withColumnRenamed("id", "copy")
     # replicate: copy k gets urls under /c<k>/ so every page url is distinct
