@@ -243,7 +243,7 @@ ORACLES: dict[str, str] = {
         (count(*) filter (where s.status in (301, 302, 303)))::BIGINT as ignored
         from qi_read q join site_pages s on s.url = q.url group by index_url
         union all select '""" + IDX_EMPTY + """', 0, 0, 0""",
-    "unique_domains_run": with_("dom") + """select distinct unnest(origins) as origin from dom where url like '%/p/%'""",
+    "unique_domains_run": with_("dom") + """select distinct unnest(origins) as origin from dom""",
     "unique_domains": with_("dom", "qi_read") + """select distinct q.family, o as origin
         from (select url, unnest(origins) as o from dom) d join qi_read q on q.url = d.url""",
     # operator forms (listing = every page of the site)

@@ -261,7 +261,7 @@ def q_unique_domains(spark, sf):
 def q_unique_domains_run(spark, sf):
     """O39 over a whole run: the sitemap's pages."""
     f = Fixture(spark, sf)
-    listing = src.sitemap_pages(f.sitemap_index, f.sitemap_docs, mode="list").where("url like '%/p/%'")
+    listing = src.sitemap_pages(f.sitemap_index, f.sitemap_docs, mode="list")
     return links.unique_domains(listing, f.elements(), cfg, by=None)
 
 

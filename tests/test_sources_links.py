@@ -146,3 +146,28 @@ def test_child_sitemap_listed_twice_is_read_once_per_listing(spark):
     index_urls = spark.createDataFrame([(idx, 0)], "index_url string, index_seq long")
     assert src.sitemap_pages(index_urls, docs, "list").count() == 2
     assert src.sitemap_pages(index_urls, docs, "map").count() == 1
+
+
+def test_unique_domains_of_a_run_are_those_of_its_listing(spark, make_pages):
+    from sitelens.plans.store import parsed_elements
+    pages = make_pages([("u", 200, '<a href="https://one.com/a">x</a>'), ("v", 200, '<a href="https://two.com/b">x</a>')])
+    listing = pages.where("url = 'u'").select("url")
+    for whole in (None, listing):  # a store of the whole crawl, or of the listed pages
+        els = parsed_elements(pages, whole, CFG)
+        got = links.unique_domains(listing, els, CFG, by=None).collect()
+        assert [r["origin"] for r in got] == ["https://one.com"]
+
+
+def test_list_mode_positions_never_collide(spark):
+    body = "<urlset>" + ("<url>" + "<loc>a</loc>" * 1_200 + "</url>") * 3 + "</urlset>"
+    docs = spark.createDataFrame([("d", 200, body)], "doc_url string, status int, body string")
+    assert src.read_sitemap_urls(docs, "list").select("pos").distinct().count() == 3_600
+    assert src.read_sitemap_urls(docs.limit(0), "list").count() == 0
+
+
+def test_tally_of_an_empty_document_is_a_line_of_zeros(spark):
+    pages = spark.createDataFrame([("a", 200, "")], "url string, status int, html string")
+    listing = spark.createDataFrame([("i", "a"), ("i", "gone")], "index_url string, url string")
+    documents = spark.createDataFrame([("i",), ("i",), ("empty",)], "index_url string")
+    got = sorted(map(tuple, pg.crawl_tally(listing, pages, documents).collect()))
+    assert got == [("empty", 0, 0, 0), ("i", 2, 2, 0)]
