@@ -14,15 +14,19 @@ from sitelens.llm.tool_calls import OP2_SQL, op2_tool_call_linking
 from sitelens.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_tool_call_linking": op2_tool_call_linking,
-    "op5_license_scan": op5_license_scan,
     "op3_toxicity": op3_toxicity,
-    "op1_html_text": op1_html_text,
     "op4_personal_data": op4_personal_data,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES = {"op2_tool_call_linking": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLES = {
+    "op2_tool_call_linking": OP2_SQL,
+    "op8_exact_dedup": OP8_SQL,
+    "op9_benchmark_decontamination": OP9_SQL,
+}
