@@ -32,7 +32,7 @@ from sitelens.llm.common import add_columns, groups, python_ready, table, utf8
 
 LONG, SPAN = 512, 1 << 20  # SPAN: over any position within a piece
 PIECES = 50_000  # pieces encoded by one recursive query
-MEMO = 300_000  # pieces whose ids a worker remembers, about 90 MB
+MEMO = 200_000  # pieces whose ids a worker remembers, about 60 MB
 TOKENS = 1 << 20  # tokens decoded together
 
 ENCODE_SQL = f"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def python_ready(spark: SparkSession) -> None:
     """Ship the package to the executors and bound the Arrow batches by bytes."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +74,14 @@ def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         a = min(b, n)
 
 
+def release() -> None:
+    """Give free memory back: a worker process stays for the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def add_columns(df: DataFrame, make, schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop`` and with the columns of ``schema``, which
     ``make(batch) -> list of arrays`` computes in Arrow batches."""
@@ -86,5 +97,6 @@ def add_columns(df: DataFrame, make, schema: str, drop: tuple[str, ...] = ()) ->
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)) for c in old] + make(batch), old + names)
+        release()
 
     return df.mapInArrow(run, out)

@@ -46,7 +46,7 @@ PRIOR, LEAST, BEST = 2.0, 2, 32
 DRIFTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 THRESHOLD, EXPECTED = 0.3, 0.05
 SHORTEST, LONGEST = 3, 9
-MEMO = 300_000
+MEMO = 100_000
 TOKEN = re.compile(r"[^\W\d_]+")
 END = "$"
 
