@@ -5,7 +5,8 @@ them by hash): each word's toxic and clean documents are counted, once for each
 distinct text, and summed over the prefixes of 3 to 9 letters. A node's toxic
 share has a Dirichlet prior of strength ``PRIOR`` at its parent's share, so a
 rare or unseen word falls back to its beginning, and at last to the whole
-sample. A token's score is the log-odds of its deepest known node against the
+sample. Every node of at least ``LEAST`` documents is kept, as a 64-bit hash with
+two counts (16 bytes). A token's score is the log-odds of its deepest known node against the
 whole sample, less a drift: of ``DRIFTS``, the one under which the sample's rows, each
 scored without its own counts, are told apart best (the least drift within one
 standard error of that).
@@ -30,6 +31,7 @@ are. Neither labels, lang, source nor doc_id enter a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -41,14 +43,15 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import add_columns, packed, python_ready, stored, table, unpacked
 
-SAMPLE, NODES = 20_000, 100_000  # labelled rows learnt from; prefixes kept, those of toxic texts and frequent ones first
+SAMPLE = 20_000  # labelled rows learnt from
 PRIOR, LEAST, BEST = 2.0, 2, 32
 DRIFTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 THRESHOLD, EXPECTED = 0.3, 0.05
 SHORTEST, LONGEST = 3, 9
-MEMO = 100_000
+MEMO, TOGETHER = 100_000, 128  # words remembered; texts whose new words are looked up together
 TOKEN = re.compile(r"[^\W\d_]+")
 END = "$"
+DEPTH = LONGEST - SHORTEST + 2  # nodes of a path at most
 
 
 def tokens(text: str | None) -> list[str]:
@@ -87,55 +90,84 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r in zip(starts, ends, left, right, strict=True)]
 
 
+def key(node: str) -> int:
+    """The first 64 bits of the MD5, as ``KEY`` has them in Spark."""
+    return int.from_bytes(hashlib.md5(node.encode()).digest()[:8], "big", signed=True)
+
+
+def keys_of(nodes: list[str]) -> np.ndarray:
+    """The key of each node; equal nodes are hashed once."""
+    place: dict[str, int] = {}
+    at = [place.setdefault(p, len(place)) for p in nodes]
+    md5 = hashlib.md5
+    digests = np.frombuffer(b"".join([md5(p.encode()).digest() for p in place]), ">i8")
+    return digests[::2].astype(np.int64)[at]
+
+
+KEY = "cast(conv(substring(md5(cast(node as binary)), 1, 16), 16, -10) as bigint)"
+
+
 class Model:
-    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
-        """counts: node -> (toxic, clean); toxic and clean: of all words."""
-        self.counts, self.toxic, self.clean = counts, toxic, clean
+    def __init__(self, counts, toxic: int, clean: int):
+        """counts: node -> (toxic, clean), or arrays of the nodes' keys, toxic and
+        clean; toxic and clean: of all words."""
+        if isinstance(counts, dict):
+            counts = [key(p) for p in counts], [y for y, _ in counts.values()], [c for _, c in counts.values()]
+        keys, y, c = np.asarray(counts[0], np.int64), np.asarray(counts[1], np.int32), np.asarray(counts[2], np.int32)
+        order = np.argsort(keys)
+        # the last entry stands for every node that isn't known
+        self.keys, self.y, self.n = keys[order], np.append(y[order], np.int32(0)), np.append((y + c)[order], np.int32(0))
+        self.toxic, self.clean = toxic, clean
         self.base = (toxic + 0.5) / (toxic + clean + 1)
-        self.share: dict[str, float] = {}
-        prior: dict[str, float] = {}
-        for node in sorted(counts, key=len):
-            y, c = counts[node]
-            parent = next((p for p in reversed(path(node.removesuffix(END))[:-1]) if p != node and p in prior), None)
-            if parent is None:
-                prior[node] = self.base
-            else:
-                above, beside = counts[parent]
-                prior[node] = posterior(above - y, above + beside - y - c, prior[parent])
-            self.share[node] = posterior(y, y + c, prior[node])
         self.memo: dict[str, float] = {}
+        self.chained: dict[str, bytes] = {}
         self.drift, self.rate, self.k = DRIFTS[-1], 1.0, 1.0
         self.slope, self.level = 0.0, 0.0
 
-    def score(self, word: str) -> float:
-        share = next((self.share[p] for p in reversed(path(word)) if p in self.share), self.base)
-        return logit(share) - logit(self.base) - self.drift
+    def chains(self, words: list[str]) -> np.ndarray:
+        """For each word the places of its path's nodes, shortest first."""
+        if not words:
+            return np.empty((0, DEPTH), np.int32)
+        memo = self.chained
+        if len(memo) > MEMO:
+            memo.clear()
+        new = [w for w in dict.fromkeys(words) if w not in memo]
+        if new:
+            paths = [path(w) for w in new]
+            wanted = keys_of([p for nodes in paths for p in nodes])
+            at = np.searchsorted(self.keys, wanted)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == wanted[known]
+            length = np.array([len(nodes) for nodes in paths])
+            table = np.full((len(new), DEPTH), len(self.keys), np.int32)
+            table[np.arange(DEPTH) < length[:, None]] = np.where(known, at, len(self.keys))
+            memo.update(zip(new, map(np.ndarray.tobytes, table), strict=True))
+        return np.frombuffer(b"".join([memo[w] for w in words]), np.int32).reshape(-1, DEPTH)
 
     def scores(self, words: list[str]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.score(w)
+        new = list(set(words).difference(memo))
+        if new:
+            at = self.chains(new)
+            share = shares(self.y[at], self.n[at], at < len(self.keys), self.base)
+            memo.update(zip(new, (log_odds(share) - logit(self.base) - self.drift).tolist(), strict=True))
         return np.array([memo[w] for w in words])
 
     def scores_without(self, words: list[str], toxic: int) -> np.ndarray:
         """The scores before the drift, had the text itself, with its label, not
         been counted."""
-        distinct = set(words)
-        own = Counter(p for w in distinct for p in path(w))
+        distinct = list(set(words))
+        if not distinct:
+            return np.array([])
+        at = self.chains(distinct)
+        _, place, times = np.unique(at, return_inverse=True, return_counts=True)
+        own = np.where(at < len(self.keys), times[place].reshape(at.shape), 0)
         y0, n0 = self.toxic - toxic * len(distinct), self.toxic + self.clean - len(distinct)
-        base, out = (y0 + 0.5) / (n0 + 1), {}
-        for w in distinct:
-            prior, y, n = base, 0, 0
-            for p in path(w):
-                if p in self.counts:
-                    y1, c1 = self.counts[p]
-                    y1, n1 = y1 - toxic * own[p], y1 + c1 - own[p]
-                    if n:
-                        prior = posterior(y - y1, n - n1, prior)
-                    y, n = y1, n1
-            out[w] = logit(posterior(y, n, prior)) - logit(base)
+        base = (y0 + 0.5) / (n0 + 1)
+        share = shares(self.y[at] - toxic * own, self.n[at] - own, at < len(self.keys), base)
+        out = dict(zip(distinct, (log_odds(share) - logit(base)).tolist(), strict=True))
         return np.array([out[w] for w in words])
 
     def evidence(self, n: int, sums: list[float]) -> float:
@@ -206,6 +238,22 @@ def posterior(y: int, n: int, prior: float) -> float:
     return (y + PRIOR * prior) / (n + PRIOR)
 
 
+def shares(y: np.ndarray, n: np.ndarray, known: np.ndarray, base: float) -> np.ndarray:
+    """The toxic share of each row's deepest known node. A node's prior is its
+    parent's posterior without the node's own counts."""
+    prior, above, beside = np.full(len(y), base), np.zeros(len(y)), np.zeros(len(y))
+    begun = np.zeros(len(y), bool)
+    for y1, n1, here in zip(y.T, n.T, known.T, strict=True):
+        inner = here & begun  # elsewhere the prior stays as it is
+        prior = posterior(np.where(inner, above - y1, 0), np.where(inner, beside - n1, 0), prior)
+        above, beside, begun = np.where(here, y1, above), np.where(here, n1, beside), begun | here
+    return posterior(above, beside, prior)
+
+
+def log_odds(share: np.ndarray) -> np.ndarray:
+    return np.log(share / (1 - share))
+
+
 def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
@@ -255,10 +303,9 @@ def learnt(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     nodes = F.when(F.char_length("word") >= SHORTEST, prefixes).otherwise(F.array().cast("array<string>"))
     nodes = words.select(F.explode(F.concat(nodes, F.array(F.concat("word", F.lit(END))))).alias("node"), "toxic", "clean")
     n = F.col("toxic") + F.col("clean")
-    nodes = (nodes.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-             .where(n >= LEAST).orderBy(F.col("toxic") == 0, n.desc(), "node").limit(NODES)).toArrow()
-    pairs = zip(nodes["toxic"].to_pylist(), nodes["clean"].to_pylist(), strict=True)
-    model = Model(dict(zip(nodes["node"].to_pylist(), pairs, strict=True)), total[0] or 0, total[1] or 0)
+    nodes = (nodes.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(n >= LEAST)
+             .select(F.expr(KEY).alias("key"), F.col("toxic").cast("int"), F.col("clean").cast("int"))).toArrow()
+    model = Model([nodes[c].to_numpy() for c in ("key", "toxic", "clean")], total[0] or 0, total[1] or 0)
     del nodes
 
     def run(batches):
@@ -275,7 +322,6 @@ def learnt(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
     seen = rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, sums array<array<double>>")
     model.calibrate([(r.toxic, r.n, r.sums) for r in seen.collect()])
-    model.counts = {}  # scoring doesn't need them
     return model
 
 
@@ -286,11 +332,17 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` with score, predicted and passages, the significant segments as
     code point spans with their expected number in clean texts."""
 
+    def read(column):
+        for a in range(0, len(column), TOGETHER):
+            texts = column.slice(a, TOGETHER).to_pylist()
+            words = [tokens(text) for text in texts]
+            scores = model.scores([w for ws in words for w in ws])
+            yield from zip(texts, words, np.split(scores, np.cumsum([len(ws) for ws in words])[:-1]), strict=True)
+
     def make(batch):
         out = []
-        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-            words = tokens(text)
-            found = segments(model.scores(words)) if words else []
+        for text, words, scores in read(batch.column(batch.schema.get_field_index("text"))):
+            found = segments(scores)
             p = model.probability(model.evidence(len(words), [s for _, _, s in found]))
             told = [(a, b, s, e) for a, b, s in found
                     if (e := model.k * len(words) * math.exp(-model.rate * s)) <= EXPECTED]

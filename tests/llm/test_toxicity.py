@@ -103,3 +103,24 @@ def test_no_labels_one_class_and_empty_tables(spark):
     one = T.scored(docs.select("doc_id", "text"), T.learnt(docs, labels.where("toxic = 0 and doc_id is not null")))
     assert {r.predicted for r in one.collect()} == {0}
     assert T.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_every_repeated_prefix_is_learnt(spark):
+    """More clean nodes than any former bound: none of them is left out."""
+    texts = [" ".join(f"{a}{b}{c}{d}zz" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst")
+             for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopqrst"]
+    rows = [(2 * i + j, t + f" extra{chr(97 + j)}") for i, t in enumerate(texts) for j in range(2)]
+    docs = spark.createDataFrame(rows + [(9_999, "awful nasty")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    model = T.learnt(docs, labels)
+    counts = {}
+    toxic_of = {r.text: r.toxic for r in T.sample(docs, labels, T.SAMPLE).collect()}
+    for text, y in toxic_of.items():
+        for node in (p for w in set(T.tokens(text)) for p in T.path(w)):
+            counts.setdefault(node, [0, 0])[1 - y] += 1
+    counts = {p: c for p, c in counts.items() if sum(c) >= T.LEAST}
+    assert len(counts) > 100_000 and len(model.keys) == len(counts)
+    at = np.searchsorted(model.keys, [T.key(p) for p in counts])
+    assert (model.keys[at] == [T.key(p) for p in counts]).all()
+    assert model.y[at].tolist() == [y for y, _ in counts.values()]
+    assert model.n[at].tolist() == [y + c for y, c in counts.values()]
