@@ -7,7 +7,8 @@ pattern's confidence is the scored instances it introduces over all its
 occurrences in the corpus; an instance's score is 1 - product(1 - confidence)
 of its trusted patterns. A trusted pattern (confidence and distinct instances at
 least the parameters) adds the identifier-like words of the kind's form that
-follow it, and those support further patterns in the next round.
+follow it, and those support further patterns in the next round. The rounds end
+when no pattern becomes trusted and no confidence moves by more than ``STILL``.
 
 Words here are runs of other than ASCII white space, A-Z lowered, digits as 0.
 Candidates are such words of 6 to 64 characters with a digit or @ that overlap no
@@ -20,6 +21,7 @@ empty table gives no rows; other columns are not read. Offsets count code points
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from functools import reduce
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import add_columns, packed, python_ready, stored, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, TRUST, ROUNDS = 3, 0.5, 3
+SUPPORT, TRUST, ROUNDS = 3, 0.5, None  # None: until nothing changes
+STILL = 1e-3  # a smaller move of a confidence is none
 BLOCK = 200_000  # contexts sent to the tasks together, about 10 MB
 WINDOW = 400  # characters in which the two words before an identifier must lie
 
@@ -191,8 +194,9 @@ def counter(contexts: list[str]):
     return run
 
 
-def trusted_patterns(found: DataFrame, docs: DataFrame, support: int, trust: float, rounds: int) -> DataFrame:
-    """(kind, context) of the patterns trusted after the rounds."""
+def trusted_patterns(found: DataFrame, docs: DataFrame, support: int, trust: float, rounds: int | None) -> DataFrame:
+    """(kind, context) of the patterns trusted after the rounds. Scores only rise
+    from round to round, so without a bound they end too."""
     seeds = found.select(F.explode("seeds").alias("s")).select("s.*")
     seeds = stored(seeds.groupBy("kind", "value", "context").agg(F.count("*").alias("times")), "seeds")
     mentions = stored(
@@ -202,7 +206,7 @@ def trusted_patterns(found: DataFrame, docs: DataFrame, support: int, trust: flo
     known = seeds.select("kind", "context", "value", F.lit(1.0).alias("score"), "times")
     patterns = None
     counts = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         sums = known.groupBy("kind", "context").agg(
             F.sum(F.col("score") * F.col("times")).alias("hits"), F.count("*").alias("values"))
         sums = stored(sums.where(F.col("values") >= support), "patterns")
@@ -214,8 +218,13 @@ def trusted_patterns(found: DataFrame, docs: DataFrame, support: int, trust: flo
             counted = occurrences(docs, new)
             counts = stored(counted if counts is None else counts.unionByName(counted), "counts")
         confidence = F.col("hits") / (F.col("n") + 1)
-        patterns = stored(sums.join(counts, "context").withColumn("confidence", confidence)
+        last, patterns = patterns, stored(sums.join(counts, "context").withColumn("confidence", confidence)
                           .where(F.col("confidence") >= trust).select("kind", "context", "confidence"), "trusted")
+        if last is not None:
+            moved = patterns.join(last.withColumnRenamed("confidence", "last"), ["kind", "context"], "left").where(
+                F.col("last").isNull() | (F.col("confidence") - F.col("last") > STILL))
+            if moved.isEmpty():
+                break
         # an instance of the kind's form scores by all its trusted contexts
         edges = mentions.join(patterns, "context").where(form)
         scores = edges.groupBy("kind", "value").agg(
@@ -228,7 +237,7 @@ def trusted_patterns(found: DataFrame, docs: DataFrame, support: int, trust: flo
     return patterns
 
 
-def personal_data(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int | None = ROUNDS) -> DataFrame:
     """(row_id, doc_id, base, spans): base spans, and all spans, in order."""
     python_ready(docs.sparkSession)
     rows = packed(docs.select("doc_id", "text")).drop("doc")

@@ -94,3 +94,15 @@ def test_query_base_equals_plain_rules_on_the_whole_table(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in RULES]
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    texts = [f"send mail to u{i}@a{i}.example.com" for i in range(20)]
+    hops = ["send mail to", "inner host address", "second relay name", "third relay label", "fourth hop entry", "fifth hop record"]
+    for k, (a, b) in enumerate(zip(hops, hops[1:])):
+        texts += [f"{x} box{k}{i}@intranet" for i in range(3) for x in (a, *[b] * 20)]
+    texts.append("fifth hop record late@intranet")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(docs_of(spark, texts)).collect()}
+    assert got[len(texts) - 1] == ["email"]
+    three = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(docs_of(spark, texts), rounds=3).collect()}
+    assert three[len(texts) - 1] == []
