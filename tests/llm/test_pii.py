@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,3 +107,24 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert got[len(texts) - 1] == ["email"]
     three = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(docs_of(spark, texts), rounds=3).collect()}
     assert three[len(texts) - 1] == []
+
+
+def test_identifiers_with_spaces_short_ones_and_one_word_patterns(spark):
+    texts = [f"{w} phone: +1 (017) 555-77{i}{i} please" for i, w in enumerate("her his our old new any".split())]
+    texts += ["some phone: 555-123-4567 please", "that phone: (020) 7946 0018, ok"]
+    texts += [f"the server {w} 10.0.0.{i} answers" for i, w in enumerate("one two six".split())] + ["a server nine ::1 answers"]
+    texts += [f"write it to u{i}@a{i}.example.com" for i in range(4)] + ["write it to a@b", "x" * 50 + " it" + " " * 900 + "to c@d"]
+    texts += ["it " + "y" * 500 + f" v{i}@a{i}.example.com" for i in range(4)] + ["it " + "y" * 500 + " e@f"]
+    want = {6: "555-123-4567", 7: "(020) 7946 0018", 11: "::1", 16: "a@b", 17: "c@d", 22: "e@f"}
+    texts += [f"the count was 12 34 56 {i}" for i in range(9)]
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in pii.personal_data(docs_of(spark, texts)).collect()}
+    for i, value in want.items():
+        assert got[i] == [value], (i, got[i])
+    assert all(got[i] == [] for i in range(23, len(texts)))
+
+
+def test_candidates_are_linear():
+    for text in ["1 " * 100_000 + "x", "a@b" * 50_000, "a@b.c," * 30_000, "(" * 100_000, "1" * 200_000 + " 2", "1.2.3.4," * 20_000, "::1 " * 50_000]:
+        began = time.time()
+        pii.read(text)
+        assert time.time() - began < 5, text[:20]
