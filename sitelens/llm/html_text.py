@@ -2,7 +2,8 @@
 
 A page is read once into a light tree of its block elements. Menus, headers,
 footers, sidebars, notices, adverts, forms, comments and hidden parts are known
-by element, role, class or id words and give no text. Every remaining paragraph
+by element, role, class or id words and give no text, except that a part known by
+its words alone comes back if it outweighs the rest of the page. Every remaining paragraph
 passes points for its length and commas to the containers above it (halved from
 the second on, five at most); a container's points are discounted by its link
 density. The best container (its article, if it is in one) is kept with those
@@ -53,18 +54,24 @@ BESIDE = frozenset("""ad ads adv advert adverts advertisement advertisements adv
     masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription
     signup login share sharing social related recommended comment comments commentlist disqus replies respond form search
     toolbar skip""".split())
+#: Words that make a class or id a state of what holds the article ("has-sidebar", "header-fixed").
+STATE = frozenset("""has no with without not hide hides show shows fixed sticky static enabled disabled active inactive
+    on off layout visible open closed""".split())
+OUTWEIGH = 4  # a set-aside part comes back if its text outside links is so many times the rest of the page's
 WEIGHT = {"article": 25.0, "main": 15.0, "blockquote": 3.0, "section": 3.0, "div": 3.0}
 
 
-def marked(attributes: dict[str, str]) -> bool:
-    """Whether role, class, id or a hidden state sets the element aside."""
+def marked(attributes: dict[str, str]) -> int:
+    """2 if a role or a hidden state sets the element aside, 1 if words of its
+    class or id do, else 0."""
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return 2
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I):
-        return True
+        return 2
     if attributes.get("role", "").strip().lower() in ROLES:
-        return True
-    return any(w.lower() in BESIDE for key in ("class", "id") for w in WORD.findall(attributes.get(key, "")))
+        return 2
+    names = [{w.lower() for w in WORD.findall(name)} for key in ("class", "id") for name in attributes.get(key, "").split()]
+    return int(any(words & BESIDE and not words & STATE for words in names))
 
 
 def tag_end(page: str, at: int) -> tuple[int, dict[str, str]]:
@@ -81,8 +88,9 @@ def tag_end(page: str, at: int) -> tuple[int, dict[str, str]]:
             quote = page[at:at + 1]
             if quote in ('"', "'") and quote:
                 end = page.find(quote, at + 1)
-                if end < 0:
-                    return -1, attributes
+                if end < 0:  # never closed: it ends with its tag
+                    end = page.find(">", at)
+                    return (end + 1 if end >= 0 else -1), attributes
                 value, at = page[at + 1:end], end + 1
             else:
                 end = UNQUOTED.match(page, at).end()
@@ -91,12 +99,12 @@ def tag_end(page: str, at: int) -> tuple[int, dict[str, str]]:
 
 
 class Tree:
-    """Block elements as parallel lists; node 0 is the page. drop is 2 for what
-    never is text, 1 for what its words set aside: that is read only on a page
-    without other text, and the first article of a page leaves it."""
+    """Block elements as parallel lists; node 0 is the page. own is 3 for what
+    never is text, 2 for what is hidden or has a role beside the article, 1 for
+    what its words set aside; drop is the largest own of a node and those above."""
 
     def __init__(self):
-        self.tag, self.parent, self.drop = [""], [-1], [0]
+        self.tag, self.parent, self.own, self.drop = [""], [-1], [0], [0]
         self.points, self.size, self.links = [0.0], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.stack, self.open = [0], {}
@@ -112,10 +120,8 @@ class Tree:
 
     def push(self, tag: str, drop: int) -> None:
         top = self.stack[-1]
-        if tag in ("article", "main") and not drop and self.drop[top] == 1 and "article" not in self.open:
-            self.drop.append(0)
-        else:
-            self.drop.append(max(drop, self.drop[top]))
+        self.own.append(drop)
+        self.drop.append(max(drop, self.drop[top]))
         self.tag.append(tag)
         self.parent.append(top)
         self.points.append(0.0)
@@ -134,7 +140,7 @@ class Tree:
         if self.tag[top] == "head" and text.strip():
             self.pop()
             top = self.stack[-1]
-        if self.drop[top] < 2:
+        if self.drop[top] < 3:
             self.text.append(text)
             if self.in_link:
                 self.linked += len(text)
@@ -152,7 +158,7 @@ class Tree:
             return
         if tag not in BLOCKS:
             if attributes and marked(attributes):
-                self.push(tag, 2)  # an inline part beside the text; the block goes on
+                self.push(tag, 3)  # an inline part beside the text; the block goes on
             return
         self.flush()
         top = self.tag[self.stack[-1]]
@@ -161,9 +167,9 @@ class Tree:
             self.pop()
             top = self.tag[self.stack[-1]]
         if tag in DROPPED or (tag == "header" and not self.open.get("article")):
-            drop = 2
+            drop = 3
         else:
-            drop = int(tag not in ("html", "body", "main") and bool(attributes) and marked(attributes))
+            drop = marked(attributes) if attributes and tag not in ("html", "body", "main") else 0
         self.push(tag, drop)
 
     def end(self, tag: str) -> None:
@@ -217,13 +223,42 @@ def parsed(page: str) -> Tree:
     return tree
 
 
+def read_blocks(tree: Tree) -> list[tuple[int, str, int]]:
+    """The blocks outside set-aside parts, and those of a part, or of an article in
+    one, with ``OUTWEIGH`` times their text outside links. Articles in such parts
+    are read too if there are none outside. Without any, all blocks."""
+    part, within = [0], [False]  # the node that decides on each node, -1: none can; whether that is in an article
+    for node in range(1, len(tree.tag)):
+        above, inside = part[tree.parent[node]], within[tree.parent[node]]
+        if tree.drop[node] >= 2 or above < 0:
+            part.append(-1)
+        elif tree.own[node] == 1:
+            part.append(node)
+            inside = inside or tree.tag[node] == "article"
+        elif above and not inside and tree.tag[node] in ("article", "main"):
+            part.append(node)
+            inside = True
+        else:
+            part.append(above)
+            inside = inside or tree.tag[node] == "article"
+        within.append(inside)
+    weight: dict[int, int] = {}
+    for node, text, linked in tree.blocks:
+        weight[part[node]] = weight.get(part[node], 0) + len(text) - linked
+    rest = weight.get(0, 0)
+    outside = any(part[node] == 0 and tree.tag[node] in ("article", "main") for node, _ in enumerate(tree.tag))
+    back = {0} | {u for u, w in weight.items() if u > 0 and (
+        0 in weight and w > OUTWEIGH * rest or not outside and not tree.own[u])}
+    return [b for b in tree.blocks if part[b[0]] in back] or tree.blocks
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = parsed(page)
     if not tree.blocks:
         return ""
-    blocks = [b for b in tree.blocks if not tree.drop[b[0]]] or tree.blocks
+    blocks = read_blocks(tree)
     for node, text, linked in blocks:
         tree.size[node] += len(text)
         tree.links[node] += linked
@@ -243,7 +278,8 @@ def main_text(page: str | None) -> str:
     def score(node: int) -> float:
         if not tree.size[node] or not tree.points[node]:
             return 0.0
-        return (tree.points[node] + WEIGHT.get(tree.tag[node], 0.0)) * (1 - tree.links[node] / tree.size[node])
+        bonus = 0.0 if tree.drop[node] else WEIGHT.get(tree.tag[node], 0.0)  # none in a set-aside part
+        return (tree.points[node] + bonus) * (1 - tree.links[node] / tree.size[node])
 
     best = max(range(len(tree.tag)), key=lambda node: (score(node), -node))
     least = max(10.0, score(best) / 5)

@@ -63,3 +63,22 @@ def test_extra_columns_nulls_and_empty_table(spark):
     assert sorted((r.page_id is None, r.text, r.n_chars) for r in H.extract(pages).collect()) == [
         (False, "x", 1), (False, "x", 1), (True, "", 0)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+LONG = "\n".join([P1, P2, P1, P2])
+BODY = "".join(f"<p>{x}</p>" for x in LONG.split("\n"))
+
+
+@pytest.mark.parametrize("page, want", [
+    *[(f"<div class='content {name}'>{BODY}</div><p>(c) 2024</p>", LONG)
+      for name in ("has-sidebar", "no-sidebar", "header-fixed", "share-enabled", "widget")],
+    (f"<div class=related><article><p>{P2}</p></article></div><div class=has-sidebar><article>{BODY}</article></div>", LONG),
+    (f"<div class=related><article><p>{P2}</p></article></div><div class=widget><article>{BODY}</article></div>", LONG),
+    (f"<div class=related><article><p>A teaser.</p></article></div><div class=widget><div>{BODY}</div></div><p>(c) 2024</p>", LONG),
+    (f"<article><p>{P1}</p></article><div class=comments><p>{P2}</p><p>{P2}</p></div>", P1),
+    (f"<div class=menu>{'<a href=/>A long link to some other page</a> ' * 20}</div><p>Short text.</p>", "Short text."),
+    (f"<p>(c)</p><div hidden>{BODY}</div>", "(c)"),
+    (f"<article><p>{P1}</p><p>a <img alt=\"x>b</p><p>{P2}</p></article>", f"{P1}\na b\n{P2}"),
+])
+def test_wrappers_and_unclosed_quotes_keep_the_article(page, want):
+    assert H.main_text(page) == want
