@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sitelens.llm.bpe import op6_byte_bpe
+from sitelens.llm.collocations import OP12_SQL, op12_phrase_collocations
 from sitelens.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from sitelens.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from sitelens.llm.html_text import op1_html_text
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
     "op2_tool_call_linking": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
