@@ -12,6 +12,7 @@ from sitelens.llm.pii import op4_personal_data
 from sitelens.llm.sharding import op7_sharding
 from sitelens.llm.simhash import op10_simhash_near_dedup
 from sitelens.llm.spelling import op13_spelling_variants
+from sitelens.llm.token_files import op11_token_files
 from sitelens.llm.tool_calls import OP2_SQL, op2_tool_call_linking
 from sitelens.llm.toxicity import op3_toxicity
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_files": op11_token_files,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_spelling_variants": op13_spelling_variants,
 }
