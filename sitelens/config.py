@@ -35,8 +35,10 @@ ENGLISH_LANGUAGE = "en"
 REDIRECT_STATUSES = (301, 302, 303)
 # Index documents count only with this status.
 INDEX_OK_STATUS = 200
-# Media id pattern; group 1 is the id. "jpg" is deliberately not an end.
-MEDIA_PATTERN = r"media_(.*?)\.(png|jpeg|mp4)"
+# A media id stands between this prefix and the next of these endings after a
+# dot. "jpg" is deliberately not an end.
+MEDIA_PREFIX = "media_"
+MEDIA_SUFFIXES = ("png", "jpeg", "mp4")
 # Date format of query-index lastModified values.
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Schemes java.net.URL accepts without extra handlers.
@@ -88,7 +90,8 @@ class AuditConfig:
     mobile_fragment: str = SECTION_MOBILE_FRAGMENT
     default_layout: str = DEFAULT_LAYOUT
     english_segment: str = ENGLISH_SEGMENT
-    media_pattern: str = MEDIA_PATTERN
+    media_prefix: str = MEDIA_PREFIX
+    media_suffixes: tuple[str, ...] = MEDIA_SUFFIXES
     url_schemes: tuple[str, ...] = URL_SCHEMES
 
     @property

@@ -1,4 +1,4 @@
-"""Scalar column functions (native Spark expressions, no Python at run time).
+"""Scalar column functions (native Spark expressions but for one, ``substring_dedupe``).
 
 Each function takes and returns ``Column``s, so it composes inside
 ``select``/``where`` and stays in whole-stage codegen. Patterns use no
@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import (DATE_FORMAT, ENGLISH_LANGUAGE, ENGLISH_SEGMENT, MEDIA_PATTERN,
-                      URL_SCHEMES)
+from ..config import (DATE_FORMAT, ENGLISH_LANGUAGE, ENGLISH_SEGMENT, MEDIA_PREFIX,
+                      MEDIA_SUFFIXES, URL_SCHEMES)
+from ..session import ship_package
 
-# Stands between links that are searched together; a link that holds it itself
-# makes its page's links be compared pair by pair.
-SEPARATOR = "\uffff"
+# What ends a line in Java patterns.
+LINE_BREAKS = ("\n", "\r", "\u0085", "\u2028", "\u2029")
 # ASCII whitespace as split by class-name parsing.
 _CLASS_WS = r"[ \t\n\x0B\f\r]+"
 # scheme, then optional //authority with user-info dropped and the host kept
@@ -91,26 +92,62 @@ def format_epoch(epoch_seconds) -> Column:
     return F.date_format(F.timestamp_seconds(_col(epoch_seconds).try_cast("bigint")), DATE_FORMAT)
 
 
+def uncontained(items: Iterable[str | None]) -> list[str]:
+    """The items that no earlier item contains, in order; null and '' never.
+
+    One automaton over the distinct items, linear in their text: each node of
+    their trie remembers the first item that runs through it, and hands it to the
+    node of its longest proper suffix. What arrives at an item's last node is the
+    first item that contains it.
+    """
+    order = [x for x in dict.fromkeys(items) if x]
+    child: dict[int, int] = {}
+    parent, label, depth, first, last = [0], [0], [0], [len(order)], []
+    for i, item in enumerate(order):
+        node = 0
+        for c in map(ord, item):
+            edge = node << 21 | c
+            ahead = child.get(edge)
+            if ahead is None:
+                ahead = child[edge] = len(parent)
+                parent.append(node)
+                label.append(c)
+                depth.append(depth[node] + 1)
+                first.append(i)
+            node = ahead
+        last.append(node)
+    by_depth = sorted(range(1, len(parent)), key=depth.__getitem__)
+    suffix = [0] * len(parent)
+    for node in by_depth:
+        if depth[node] > 1:
+            c, at = label[node], suffix[parent[node]]
+            ahead = child.get(at << 21 | c)
+            while ahead is None and at:
+                at = suffix[at]
+                ahead = child.get(at << 21 | c)
+            suffix[node] = ahead or 0
+    for node in reversed(by_depth):
+        at = suffix[node]
+        if first[node] < first[at]:
+            first[at] = first[node]
+    return [x for i, (x, node) in enumerate(zip(order, last)) if first[node] == i]
+
+
+def _uncontained_lists(lists: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else uncontained(x) for x in lists.to_pylist()], pa.list_(pa.string()))
+
+
 def substring_dedupe(items) -> Column:
     """Keep an item only if no earlier item contains it ('' never kept).
 
     Equal to appending kept items to a growing text and skipping any item the
-    text already contains, because containment is transitive.
+    text already contains, because containment is transitive. The one function
+    here that is not native: an Arrow function over a page's links, linear in
+    their length (``uncontained``).
     """
-    # exact repeats are contained by their first copy: drop them first. In the
-    # text of the distinct items, joined by a separator, an item is kept if its
-    # first place is its own: one search per item.
-    a = F.array_distinct(_col(items))
-    starts = F.aggregate(
-        a, F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next")),
-        lambda acc, x: F.struct(F.array_append(acc["at"], acc["next"]).alias("at"),
-                                (acc["next"] + F.char_length(x) + 1).alias("next")))["at"]
-    parts = F.array(F.struct(F.arrays_zip(a.alias("x"), starts.alias("at")).alias("items"),
-                             F.array_join(a, SEPARATOR).alias("text")))
-    by_place = F.element_at(F.transform(parts, lambda s: F.transform(
-        F.filter(s["items"], lambda i: (i["x"] != "") & (F.instr(s["text"], i["x"]) == i["at"])), lambda i: i["x"])), 1)
-    pairwise = F.filter(a, lambda x, i: (x != "") & ~F.exists(F.slice(a, 1, i), lambda y: y.contains(x)))
-    return F.when(F.exists(a, lambda x: x.contains(SEPARATOR)), pairwise).otherwise(by_place)
+    if SparkSession.getActiveSession() is not None:
+        ship_package(SparkSession.getActiveSession())
+    return F.arrow_udf(_uncontained_lists, "array<string>")(_col(items))
 
 
 def url_scheme(href) -> Column:
@@ -150,9 +187,25 @@ def split_star(text) -> Column:
     return F.filter(F.split(_col(text), r"[*]+"), lambda x: x != "")
 
 
-def media_ids(html, pattern: str = MEDIA_PATTERN) -> Column:
-    """All matches of the media pattern, group 1, as a sorted set."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(html), F.lit(pattern), 1)))
+def media_ids(html, prefix: str = MEDIA_PREFIX, suffixes: Iterable[str] = MEDIA_SUFFIXES) -> Column:
+    """The texts from each ``prefix`` to the next ``.suffix`` on its line, as a
+    sorted set: what the pattern ``prefix(.*?)\\.(suffix|...)`` finds.
+
+    The ends are found once each, by a split. Between two ends only the first
+    prefix after the last line break can begin a match, so each stretch is read
+    once: linear, where the pattern reads on from every prefix.
+    """
+    ends = r"\.(?:" + "|".join(map(regex_quote, suffixes)) + ")"
+    stretches = F.split(_col(html), ends, -1)
+
+    def found(stretch):
+        for line_break in LINE_BREAKS:
+            stretch = F.substring_index(stretch, line_break, -1)
+        at = F.instr(stretch, F.lit(prefix))
+        return F.when(at > 0, F.substr(stretch, at + len(prefix), F.char_length(stretch)))
+
+    ids = F.transform(F.slice(stretches, 1, F.size(stretches) - 1), found)
+    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
 
 def show_set(items) -> Column:

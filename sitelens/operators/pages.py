@@ -48,7 +48,7 @@ def media_report(listing: DataFrame, pages: DataFrame, cfg: AuditConfig = DEFAUL
     (last wins: the same page gives the same ids). Pure native plan.
     """
     ids = (admit_pages(one_page_per_url(pages))
-           .select("url", fn.media_ids(fn.join_lines("html"), cfg.media_pattern).alias("ids"))
+           .select("url", fn.media_ids(fn.join_lines("html"), cfg.media_prefix, cfg.media_suffixes).alias("ids"))
            .where(F.size("ids") > 0))
     return (listing.select("sheet", "url").distinct().join(ids, "url")
             .select("sheet", "url", fn.show_set("ids").alias("template_ids")))

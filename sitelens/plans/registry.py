@@ -268,7 +268,7 @@ def q_unique_domains_run(spark, sf):
 # -- pages --------------------------------------------------------------------
 def q_media_ids(spark, sf):
     p = el.admit_pages(Fixture(spark, sf).pages)
-    ids = fn.media_ids(fn.join_lines("html"), cfg.media_pattern)
+    ids = fn.media_ids(fn.join_lines("html"), cfg.media_prefix, cfg.media_suffixes)
     return p.select("url", ids.alias("ids")).where(F.size("ids") > 0).select(
         "url", fn.show_set("ids").alias("template_ids"))
 

@@ -98,7 +98,7 @@ def report_links(index_urls: DataFrame, sitemap_docs: DataFrame, pages: DataFram
     listed twice giving its rows twice."""
     listing = materialize(src.sitemap_pages(index_urls, sitemap_docs, mode="list").select("url", "page_seq"), "listing")
     els = _elements(pages, listing, cfg, elements)
-    return links.link_rows(listing, None, links=els.links)
+    return links.link_rows(listing, None, links=els.links, cfg=cfg)
 
 
 # P8 / P9 --------------------------------------------------------------------

@@ -76,7 +76,8 @@ class FactStore:
     * ``elements``: the element table (one parsed copy per url);
     * ``layout_counts``: (url, block, variant, layout, n) (O18-O23);
     * ``block_counts``: (url, block, n) (O13, O25);
-    * ``links``: (url, hrefs) for every page read, in document order.
+    * ``links``: (url, hrefs) for every page read, in document order, and the link
+      facts that are found by comparing them (``operators.links.link_facts``).
 
     Each table depends on one page only, so all reports over a crawl are
     joins of these tables with their listings. Tables not written are
@@ -108,8 +109,8 @@ class FactStore:
     @property
     def links(self) -> DataFrame:
         if self._links is None:
-            from ..operators.links import read_page_links
-            self._links = read_page_links(self.elements)
+            from ..operators.links import link_facts, read_page_links
+            self._links = link_facts(read_page_links(self.elements), self.cfg)
         return self._links
 
     @classmethod

@@ -38,7 +38,7 @@ def page_stream(spark: SparkSession, path: str, schema: str = PAGES_SCHEMA,
 
 def media_stream(pages: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """(url, template_ids) for each read page with media ids."""
-    ids = fn.media_ids(fn.join_lines("html"), cfg.media_pattern)
+    ids = fn.media_ids(fn.join_lines("html"), cfg.media_prefix, cfg.media_suffixes)
     return (admit_pages(pages).select("url", ids.alias("ids")).where(F.size("ids") > 0)
             .select("url", fn.show_set("ids").alias("template_ids")))
 

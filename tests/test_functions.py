@@ -1,6 +1,11 @@
 """Scalar functions and quirks."""
 
 import random
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sitelens import functions as fn
 
@@ -104,20 +109,69 @@ def test_has_attr_prefix(spark):
     assert [(r["c"], r["h"]) for r in got] == [(True, False), (False, True)]
 
 
-def test_substring_dedupe_of_many_links_and_with_the_separator(spark):
-    import time
-
-    from pyspark.sql import functions as F
-    from sitelens import functions as fn
+def test_substring_dedupe_of_many_links(spark):
     many = [f"https://www.example.com/d/{i * 7919 % 8000}" for i in range(8_000)]
     odd = ["a\uffffb", "b", "a", "a\uffffb", "\uffff", "c"]
     df = spark.createDataFrame([(0, many), (1, odd), (2, []), (3, ["", "x", ""]), (4, None)], "k int, a array<string>")
-    began = time.time()
     got = {r["k"]: r["o"] for r in df.select("k", fn.substring_dedupe(F.col("a")).alias("o")).collect()}
-    assert time.time() - began < 12
     text, want = "", []
     for x in many:
         if x not in text:
             want.append(x)
             text += "\n" + x
     assert got == {0: want, 1: ["a\uffffb", "c"], 2: [], 3: ["x"], 4: None}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab/", max_size=7), st.text("aä🙂", max_size=4)), max_size=14))
+def test_uncontained_equals_comparing_all_pairs(items):
+    want = []
+    for i, x in enumerate(items):
+        if x and x not in items[:i] and not any(x in y for y in items[:i] if y):
+            want.append(x)
+    assert fn.uncontained(items) == want
+
+
+def seconds(run, *args):
+    began = time.time()
+    run(*args)
+    return time.time() - began
+
+
+def test_uncontained_is_linear_in_the_links():
+    small, large = ([f"https://www.example.com/{i % 97}/page-{i * 7919 % 100_003}.html?q={i}" for i in range(n)] for n in (10_000, 100_000))
+    assert seconds(fn.uncontained, large) < 20 * max(seconds(fn.uncontained, small), 0.05)
+    # each link inside the next, and each inside the one before
+    nested = ["a" * i for i in range(1, 1_500)]
+    assert fn.uncontained(nested) == nested and fn.uncontained(nested[::-1]) == nested[-1:]
+    assert seconds(fn.uncontained, nested) < 10
+
+
+MEDIA = r"media_(.*?)\.(png|jpeg|mp4)"
+
+
+def test_media_ids_equal_the_pattern(spark):
+    pick = random.Random(5)
+    parts = ["media_", "media", "_", ".png", ".jpeg", ".mp4", ".jpg", ".", "a", "b c", "\n", "\r", "\u0085", "\u2028", "\u2029", "é"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randrange(30))) for _ in range(3_000)]
+    texts += ["", "media_.png", "media_media_x.png", "media_a.jpg x media_b.png", ".pngmedia_q.mp4"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "k int, v string")
+    pattern = F.array_sort(F.array_distinct(F.regexp_extract_all("v", F.lit(MEDIA), 1)))
+    rows = df.select("v", fn.media_ids("v").alias("got"), pattern.alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and sum(bool(r.got) for r in rows) > 500
+
+
+def test_media_ids_of_other_prefixes_and_endings(spark):
+    df = spark.createDataFrame([("x: a+b.ti+f, x: c.ti+f.gif",)], "v string")
+    assert df.select(fn.media_ids("v", "x: ", ("ti+f", "gif"))).first()[0] == ["a+b", "c"]
+
+
+def test_media_ids_are_linear_in_the_page(spark):
+    def run(n):
+        page = "".join(f'<img src="/media_{i:06d}.jpg">' for i in range(n))
+        df = spark.createDataFrame([(page,), (page + ".png",)], "v string")
+        return [len(r[0]) for r in df.select(fn.media_ids("v")).collect()]
+
+    run(1_000)
+    assert seconds(lambda: run(100_000)) < 15
+    assert run(50_000) == [0, 1]

@@ -1,5 +1,7 @@
 """Sources (O1-O7, O42) and link reports (O36-O39) on small inputs."""
 
+from pyspark.sql import functions as F
+
 from sitelens.config import AuditConfig
 from sitelens.operators import links, pages as pg
 from sitelens.plans.store import parsed_elements
@@ -171,3 +173,28 @@ def test_tally_of_an_empty_document_is_a_line_of_zeros(spark):
     documents = spark.createDataFrame([("i",), ("i",), ("empty",)], "index_url string")
     got = sorted(map(tuple, pg.crawl_tally(listing, pages, documents).collect()))
     assert got == [("empty", 0, 0, 0), ("i", 2, 2, 0)]
+
+
+def test_hot_listed_url_is_dealt_out_without_adaptive_help(spark, make_pages):
+    """A url that is most of the listing: salted on one side, repeated on the other."""
+    pages = make_pages([("u1", 200, '<a href="/a"></a><a href="/b*c"></a>'), ("u2", 200, '<a href="/z"></a>'), ("u3", 200, "<p>")])
+    rows = [("u1", i) for i in range(900)] + [("u2", 900), ("u2", 901), ("u3", 902), ("gone", 903)]
+    listing = spark.createDataFrame(rows, "url string, page_seq long").repartition(3)
+    links_of = links.page_links(parsed_elements(pages, None))
+    assert [tuple(r) for r in links.hot_urls(listing, share=1_000, rows=100).collect()] == [("u1", 9)]
+    assert links.hot_urls(listing).count() == 0
+    got = sorted((r.page_seq, r.i, r.j, r.link) for r in links.link_rows(listing, None, links_of, rows=100).collect())
+    want = [(i, k, j, x) for i in range(900) for k, j, x in ((0, 0, "/a"), (1, 0, "/b"), (1, 1, "c"))]
+    assert got == want + [(900, 0, 0, "/z"), (901, 0, 0, "/z")]
+    # how the hot rows fall: many (url, salt) keys, none with most of them
+    hot = links.hot_urls(listing, rows=100)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = links.salted_join(listing, links.link_facts(links_of).select("url", "links"), hot)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p"), "url").count().where("url = 'u1'").collect()]
+        assert sum(sizes) == 900 and len(sizes) > 1 and max(sizes) < 700
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
