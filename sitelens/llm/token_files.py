@@ -33,7 +33,9 @@ text of a special token is ordinary text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -47,7 +49,11 @@ from sitelens.llm.common import groups, python_ready, release, table, utf8
 from sitelens.session import checkpoint_dir
 
 END_ID, BLOCK, FILE_BYTES = 1, 1 << 16, 32 << 20  # FILE_BYTES: of text, about a quarter of that in the file
-MEMO, POOL = 300_000, 8_000_000  # words, and their ids, that a worker remembers
+MEMO, POOL = 500_000, 4_000_000  # words, and their ids, that a worker remembers
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")  # as the normaliser does
+KIND = np.ones(256, np.uint8)  # 0 white space, 2 a to z, 3 marks that end a word
+KIND[list(b" \t\n\x0b\x0c\r")], KIND[97:123], KIND[list(b".,;:!?")] = 0, 2, 3
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # lower-case Latin-1 letters
 MAGIC = b"S8B\x00TOK1"
 # (ids, bits of each) by selector: the fixed layout of Simple-8b
 LAYOUT = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
@@ -56,40 +62,53 @@ COUNTS = np.array([c for c, _ in LAYOUT], np.int64)
 MARK = np.uint64((1 << 60) - 1)
 LIMITS = np.array(sorted({1 << b for _, b in LAYOUT[:-1]}) + [int(MARK)], np.uint64)  # an id below LIMITS[i] has width class i
 CLASS = {b: i for i, b in enumerate(sorted({b for _, b in LAYOUT}))}
+SMALL = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """The words of one block: at each place the selector that holds the most ids."""
-    n = len(ids)
-    ids = np.append(ids.astype(np.uint64), np.zeros(240, np.uint64))  # the last word is filled with zeros
-    width = np.searchsorted(LIMITS, ids[:n], "right")
-    place = np.arange(n)
-    step, chosen = np.ones(n, np.uint8), np.full(n, 15, np.uint8)
+def fitting(width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(selector, ids it takes) at each place: the one that holds the most ids. The
+    widest of so many ids is found from windows half as long."""
+    n = len(width)
+    chosen, step = np.full(n, 15, np.uint8), np.ones(n, np.uint8)
+    window, size = np.append(width, np.zeros(240, np.uint8)), 1
     for s in range(14, -1, -1):
         count, bits = LAYOUT[s]
-        wide = np.flatnonzero(width > CLASS[bits])
-        if len(wide) and max(wide[0], np.diff(wide).max(initial=0) - 1, 240 * (n - 1 > wide[-1])) < count:
-            continue  # no run is long enough
-        ends = np.append(wide, n + 240)
-        fits = ends[np.searchsorted(ends, place)] - place >= count
-        step[fits], chosen[fits] = count, s
+        while size < count:
+            more = min(size, count - size)
+            window = np.maximum(window[:-more], window[more:])
+            size += more
+        fits = window[:n] <= CLASS[bits]
+        if not fits.any():
+            break  # wider windows of narrower ids don't fit either
+        chosen[fits], step[fits] = s, count
+    return chosen, step
+
+
+def pack(ids: np.ndarray) -> np.ndarray:
+    """The words of one block. The last word is filled with zeros."""
+    n = len(ids)
+    ids = np.append(ids.astype(np.uint64), np.zeros(240, np.uint64))
+    if n and int(ids.max()) < len(SMALL):
+        width = SMALL[ids[:n].astype(np.int64)]
+    else:
+        width = np.searchsorted(LIMITS, ids[:n], "right").astype(np.uint8)
+    chosen, step = fitting(width)
     starts, i, size = [], 0, step.tobytes()
     while i < n:
         starts.append(i)
         i += size[i]
     starts = np.array(starts, np.int64)
     chosen = chosen[starts]
-    escaped = ids[starts] >= MARK
-    escaped &= chosen == 15
+    escaped = (chosen == 15) & (ids[starts] >= MARK)
     at = np.arange(len(starts)) + np.cumsum(escaped) - escaped
     words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
     for s in np.unique(chosen).tolist():
         count, bits = LAYOUT[s]
-        mine = chosen == s
-        payload = np.zeros(int(mine.sum()), np.uint64)
+        mine = np.flatnonzero(chosen == s)
+        first, payload = starts[mine], np.full(len(mine), s << 60, np.uint64)
         for j in range(count if bits else 0):
-            payload |= ids[starts[mine] + j] << np.uint64(j * bits)
-        words[at[mine]] = payload | np.uint64(s << 60)
+            payload |= ids[first + j] << np.uint64(j * bits)
+        words[at[mine]] = payload
     words[at[escaped]] = MARK | np.uint64(15 << 60)
     words[at[escaped] + 1] = ids[starts[escaped]]
     return words
@@ -202,44 +221,113 @@ class Reader:
 
 
 class Tokens:
-    """The tokenizer of one worker. White space only parts words for it, so texts
-    are cut at ASCII white space and each distinct word is encoded once."""
+    """The tokenizer of one worker.
+
+    Where white space only parts words for it (its splitter drops what lies between
+    words, and its merges stay within one), texts are cut at ASCII white space and
+    before a mark that ends a word, and each distinct part is encoded once. Parts of
+    lower-case Latin letters, which its normaliser and splitter leave as they are,
+    go to its merges together and are told apart by the tokens that end a word.
+    Any other tokenizer encodes whole texts.
+    """
 
     def __init__(self, model: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        told = json.loads(model)
+        end = told["model"].get("end_of_word_suffix")
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_word = bool(end) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        if self.by_word:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.memo = {b" ": 0}  # no word: the end of a document
-        self.first, self.sizes = np.array([0]), np.array([1])
+        self.first, self.sizes, self.seen = np.array([0]), np.array([1]), np.array([2])
         self.pool = np.array([self.end_id], np.uint32)
 
+    def tidy(self) -> None:
+        """Forget the words seen once."""
+        keep = self.seen > 1
+        sizes = self.sizes[keep]
+        if len(sizes) > MEMO // 2 or len(self.pool) > POOL:
+            return self.clear()
+        self.pool = self.pool[ranges(self.first[keep], sizes)]
+        self.memo = dict(zip([w for w, k in zip(self.memo, keep.tolist()) if k], range(len(sizes))))
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+        self.seen = np.append(2, np.ones(len(sizes) - 1, np.int64))
+
+    def encoded(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(words, ids, number of ids of each): distinct words in a new order."""
+        plain, other = [], []
+        for w in words:
+            (plain if PLAIN.fullmatch(w) else other).append(w)
+        lines = [b" ".join(plain[a:a + 200]).decode() for a in range(0, len(plain), 200)]
+        ids = [i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+        ids += [i for x in rest for i in x]
+        return plain + other, np.array(ids, np.uint32), np.append(sizes, np.array([len(x) for x in rest], np.int64))
+
     def coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end ids, number of ids of each text)."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            lists = [[*e.ids, self.end_id] for e in found]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists])
         if len(self.memo) > MEMO or len(self.pool) > POOL:
-            self.clear()
-        words, ends = [], []
-        for t in texts:
-            words += t.split()
-            words.append(b" ")
-            ends.append(len(words))
-        new = list(set(words).difference(self.memo))
+            self.tidy()
+        distinct, each, ends = word_parts(texts)
+        at = np.array([self.memo.get(w, -1) for w in distinct], np.int64)
+        new = [distinct[i] for i in np.flatnonzero(at < 0).tolist()]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found])
+            new, ids, sizes = self.encoded(new)
             self.first = np.append(self.first, len(self.pool) + np.cumsum(sizes) - sizes)
             self.sizes = np.append(self.sizes, sizes)
-            self.pool = np.append(self.pool, np.array([i for x in found for i in x], np.uint32))
+            self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
+            self.pool = np.append(self.pool, ids)
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+            missing = np.flatnonzero(at < 0)
+            at[missing] = [self.memo[distinct[i]] for i in missing.tolist()]
+        at = np.insert(at[each], ends, 0)
+        self.seen += np.bincount(at, minlength=len(self.seen))
         sizes = self.sizes[at]
-        stops = np.cumsum(sizes)
-        ids = self.pool[np.arange(stops[-1]) + np.repeat(self.first[at] - stops + sizes, sizes)]
-        return ids, np.diff(stops[np.array(ends) - 1], prepend=0)
+        stops = np.cumsum(sizes)[ends + np.arange(len(ends))]
+        return self.pool[ranges(self.first[at], sizes)], np.diff(stops, prepend=0)
+
+
+def word_parts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct parts, which of them each part is, number of parts up to the end of
+    each text). Parts are parted by ASCII white space; a mark at the end of such a
+    part, after a letter a to z, is one of its own."""
+    raw = np.frombuffer((b"\n".join(texts) + b"\n").translate(LOWER), np.uint8)
+    kind = KIND[raw]
+    word = kind > 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    begins[1:-1] |= (kind[1:-1] == 3) & (kind[:-2] == 2) & ~word[2:]
+    flat = raw[word]
+    offsets = np.append(np.flatnonzero(begins[word]), len(flat)).astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    ends = np.searchsorted(np.flatnonzero(begins), stops)
+    return parts.dictionary.to_pylist(), parts.indices.to_numpy(), ends
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] of them), first[1], ..."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - stops + sizes, sizes)
 
 
 _TOKENS: dict[bytes, Tokens] = {}

@@ -1,3 +1,4 @@
+import functools
 import io
 import os
 import random
@@ -18,11 +19,17 @@ def model():
         return f.read()
 
 
-def library(texts):
-    """Ids of whole texts straight from the library, with the end id."""
+@functools.cache
+def plain_tokenizer():
     from tokenizers import Tokenizer
     t = Tokenizer.from_str(model())
     t.encode_special_tokens = True
+    return t
+
+
+def library(texts):
+    """Ids of whole texts straight from the library, with the end id."""
+    t = plain_tokenizer()
     return [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -69,6 +76,7 @@ def test_empty_table(spark, tmp_path):
     assert list(map(tuple, T.read_tokens(spark, f"{tmp_path}/one").collect())) == digests([(5, [1])])
 
 
+CODER = T.Tokens(model(), 1)
 values = st.one_of(*[st.integers(0, (1 << b) - 1) for b in (1, 3, 8, 15, 16, 20, 31, 60, 64)],
                    st.sampled_from([(1 << 60) - 2, (1 << 60) - 1, 1 << 60, (1 << 64) - 1]))
 
@@ -124,6 +132,39 @@ def test_blocks_decode_alone_and_damage_is_seen():
             T.Reader(broken)
 
 
+parts = st.sampled_from(["a", "Word", "word", "straße", "e\u0301", "É", "é", "'s", "'", "it's", "!", ",", ".", "?!", "1", "23", " ", "  ", "\n", "\t",
+                         "\x1c", "\x85", "\xa0", "\u2028", "Σ", "İ", "K", "ﬁ", "日本", "🙂", "×", "÷", "ß", "ÿ", "<|endoftext|>", "</w>", "\x00"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(parts, max_size=14).map("".join), min_size=1, max_size=5))
+def test_ids_by_word_are_the_library_s(texts):
+    ids, counts = CODER.coded([t.encode() for t in texts])
+    want = library(texts)
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(T, "MEMO", 20)
+    pick, coder = random.Random(2), T.Tokens(model(), 1)
+    for _ in range(30):
+        texts = [" ".join(pick.choice(["the", "of", f"w{pick.randrange(40)}", "x" * pick.randrange(30)]) for _ in range(20))]
+        assert coder.coded([t.encode() for t in texts])[0].tolist() == library(texts)[0]
+
+
+def test_a_tokenizer_that_keeps_white_space():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    t = Tokenizer.from_str(text)
+    t.encode_special_tokens = True
+    texts = ["two  spaces\n\nand words, 12", "", "x"]
+    ids, counts = T.Tokens(text, 7).coded([x.encode() for x in texts])
+    want = [e.ids + [7] for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_linear_in_long_texts():
     coder = T.Tokens(model(), 1)
     began = time.time()
