@@ -16,8 +16,9 @@ pairs are found through grams of variable length:
   bound: near words share all but so many of their grams.
 * The index lists, for each edit a word can undergo, the word under the rarest
   ``SIGNATURE`` of its unaffected grams. Two near words choose the same there, so
-  they meet in a list. Lists are merged by joining them, the number of shared
-  grams is held against both words' bounds, and edit distance verifies the rest.
+  they meet in a list. Lists are merged by joining them on the key, the number of
+  shared grams (as bits, of which an affected gram takes at most one) is held
+  against both words' bounds, and edit distance verifies the rest.
 
 A word's form is its near word of largest count, if that is at least ``RATIO``
 times its own; roots follow forms to the last, by pointer doubling.
@@ -45,7 +46,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import forget, groups, python_ready, release, stored, table, utf8
 
 LEAST_CHARS, LEAST_SEEN, RATIO, LOSS = 7, 2, 10, 31
-QMIN, QMAX, FREQUENT, SIGNATURE = 2, 4, 2_000, 4
+QMIN, QMAX, FREQUENT, SIGNATURE = 2, 4, 2_000, 3
+SHARED = 56  # bits that stand for the grams of a word, under 64 by six for its bound and two more
 HELD = 400_000  # words that a task counts before it hands them on
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -173,53 +175,48 @@ def signatures(word: str, parts: list[tuple[int, str, int, int]], size: int = SI
 
 
 def gram_index(words: DataFrame, grams: dict[str, tuple[int, bool]], qmin: int = QMIN, size: int = SIGNATURE) -> DataFrame:
-    """(key, grown, word, n, grams, bound): one row for each list a word is in."""
-    shared = words.sparkSession.sparkContext.broadcast(grams)
-    order = {g: i for i, g in enumerate(sorted(grams))}
-    numbers = words.sparkSession.sparkContext.broadcast(order)
+    """(key, word, n, meta): one row for each list a word is in. ``meta`` packs a
+    bit for each of its grams (by number modulo ``SHARED``), its bound, and whether
+    the list is of a letter put in."""
+    shared = words.sparkSession.sparkContext.broadcast((grams, {g: i % SHARED for i, g in enumerate(sorted(grams))}))
 
     def run(batches):
-        dictionary, number = shared.value, numbers.value
+        dictionary, number = shared.value
         for batch in batches:
-            keys, grown, at, lists, bounds = [], [], [], [], []
+            keys, at, meta = [], [], []
             for row, word in enumerate(batch.column(0).to_pylist()):
                 parts = decompose(word, dictionary, qmin)
-                own = sorted({number[g] for _, g, _, _ in parts})
-                lists.append(own)
-                bounds.append(affected_bound(parts, len(word)))
+                own = 0
+                for _, g, _, _ in parts:
+                    own |= 1 << number[g]
+                own |= min(affected_bound(parts, len(word)), SHARED) << SHARED
                 for kind, found in enumerate(signatures(word, parts, size)):
                     keys += [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in found]
-                    grown += [bool(kind)] * len(found)
+                    meta += [own | kind << 62] * len(found)
                     at += [row] * len(found)
             at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(grown, pa.bool_()), batch.column(0).take(at), batch.column(1).take(at),
-                 pa.array(lists, pa.list_(pa.int32())).take(at), pa.array(bounds, pa.int32()).take(at)],
-                ["key", "grown", "word", "n", "grams", "bound"])
+                [pa.array(keys, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(meta, pa.int64())],
+                ["key", "word", "n", "meta"])
         release()
 
-    return words.select("word", "n").mapInArrow(
-        run, "key bigint, grown boolean, word string, n bigint, grams array<int>, bound int")
+    return words.select("word", "n").mapInArrow(run, "key bigint, word string, n bigint, meta bigint")
 
 
 def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, frequent: int = FREQUENT,
                size: int = SIGNATURE) -> DataFrame:
     """(word, n, other, other_n): every pair of distinct words at distance one,
     both ways round. ``words`` are distinct (word, n) of at least qmin letters."""
-    index = stored(gram_index(words, gram_dictionary(words, qmin, qmax, frequent), qmin, size), "gram-lists")
-    cols = ["word", "n", "grams", "bound"]
-    left = index.where("not grown").select("key", F.struct(*cols).alias("a"))
-    right = index.select("key", "grown", F.struct(*cols).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    shared = F.size(F.array_intersect("a.grams", "b.grams"))
-    need = F.greatest(F.size("a.grams") - a["bound"], F.size("b.grams") - b["bound"])
-    met = (left.join(right, "key")
-           .where(F.col("grown") | (a["word"] < b["word"]))
-           .where(F.abs(F.length(a["word"]) - F.length(b["word"])) == F.col("grown").cast("int"))
-           .where(shared >= need)
-           .where(F.levenshtein(a["word"], b["word"], 1) == 1)
-           .select(a["word"].alias("word"), a["n"].alias("n"), b["word"].alias("other"), b["n"].alias("other_n")))
-    pairs = met.dropDuplicates(["word", "other"])
+    index = gram_index(words, gram_dictionary(words, qmin, qmax, frequent), qmin, size)
+    # one condition over both sides, so that both are the same shuffled lists
+    bits, bound = f"({{0}}.meta & {(1 << SHARED) - 1})", f"(({{0}}.meta >> {SHARED}) & 63)"
+    need = f"bit_count{bits} - {bound}"
+    met = index.alias("a").join(index.alias("b"), F.expr(
+        "a.key = b.key AND (a.meta >> 62 < b.meta >> 62 OR (a.meta >> 62 = 0 AND b.meta >> 62 = 0 AND a.word < b.word))"
+        f" AND bit_count({bits.format('a')} & {bits.format('b')}) >= greatest({need.format('a')}, {need.format('b')})"
+        " AND levenshtein(a.word, b.word, 1) = 1"
+        " AND length(a.word) - length(b.word) = (b.meta >> 62)"))
+    pairs = met.selectExpr("a.word", "a.n", "b.word AS other", "b.n AS other_n").dropDuplicates(["word", "other"])
     both = F.array(F.struct("word", "n", "other", "other_n"),
                    F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"),
                             F.col("n").alias("other_n")))
