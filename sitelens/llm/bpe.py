@@ -1,14 +1,17 @@
 """Operator 6, byte-level BPE encoding and decoding by recursive DuckDB queries.
 
-Each partition splits its texts by the pattern and encodes each distinct piece
-once. The piece's bytes become (piece, position, token) rows in an in-process
+Each partition splits its texts by the pattern, a stretch of ``HOLD`` bytes of text
+at a time, and encodes the distinct pieces of a stretch that it doesn't remember in
+one query, since a round of the recursion costs much the same for few pieces as for
+many. A piece's bytes become (piece, position, token) rows in an in-process
 DuckDB; a recursive query joins neighbours with the merge table and contracts
 each piece's leftmost pair of least rank until none is left. Decoding joins the
 ids with the vocabulary and puts the bytes together by an ordered aggregation.
 
 As the library does, a piece that is itself in the vocabulary is that token.
-Pieces of over ``LONG`` bytes, which would need a round for each of their merges,
-are merged by the same rule with a heap, n log n.
+Every round passes over all tokens that are left, so the query's cost grows with
+the square of a piece's length. Pieces of over ``LONG`` bytes are therefore merged by
+the same rule with a heap, n log n; both give the same ids for any piece.
 
 Defined cases: null and empty texts have no ids; any text is whole, however long;
 repeated rows are encoded each; an empty table gives no rows. Other columns are
@@ -21,6 +24,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+from array import array
 
 import duckdb
 import numpy as np
@@ -28,12 +33,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm.common import add_columns, groups, python_ready, table, utf8
+from sitelens.llm.common import add_columns, groups, python_ready, release, table, utf8
 
-LONG, SPAN = 512, 1 << 20  # SPAN: over any position within a piece
-PIECES = 50_000  # pieces encoded by one recursive query
-MEMO = 200_000  # pieces whose ids a worker remembers, about 60 MB
+LONG, SPAN = 64, 1 << 20  # SPAN: over any position within a piece
+HOLD = 16 << 20  # bytes of text whose pieces are encoded together
+PIECE_BYTES = 3 << 20  # bytes of pieces encoded by one recursive query
+MEMO = 300_000  # pieces used lately that a worker remembers, and as many before them
 TOKENS = 1 << 20  # tokens decoded together
+# The public pattern for texts of Latin-1 characters, where it needs no Unicode
+# classes: these are the letters, numbers and white space below U+0100.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
+                   f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 ENCODE_SQL = f"""
 WITH RECURSIVE step(done, k, t) AS (
@@ -53,12 +64,21 @@ SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING
 """
 
 
+class Numbered(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Coder:
     """Ranks, merge table and vocabulary of one worker."""
 
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.split = regex.compile(pattern).findall
+        self.findall = regex.compile(pattern).findall
+        self.latin = LATIN.findall if pattern == public_pattern() else None
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                   for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -68,6 +88,16 @@ class Coder:
         self.db.execute("CREATE TABLE merges AS SELECT l::INT AS l, r::INT AS r, m::INT AS m FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT t::INT AS t, hex FROM vocabulary")
         self.memo: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+
+    def split(self, text: str) -> list[str]:
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return self.latin(text)
+            except UnicodeEncodeError:
+                pass
+        return self.findall(text)
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece."""
@@ -99,18 +129,30 @@ class Coder:
         return out
 
     def coded(self, texts: list[str]):
-        """For each text its pieces' (ids as decimal text, decoded bytes)."""
-        split = [self.split(t) for t in texts]
-        new = set().union(*split)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        new = list(new.difference(self.memo))
-        for a in range(0, len(new), PIECES):
-            part = new[a:a + PIECES]
-            ids = self.encode([p.encode() for p in part])
-            self.memo.update(zip(part, zip([",".join(map(str, x)) for x in ids], self.decode(ids))))
-        for pieces in split:
-            yield [self.memo[p] for p in pieces]
+        """(pieces of each text by number, ids of each number as decimal text, bytes
+        decoded from them)."""
+        numbers = Numbered()
+        lists = [array("i", map(numbers.__getitem__, self.split(t))) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        new, size = [], 0
+        for p in numbers:
+            if p not in self.memo:
+                if p in self.older:
+                    self.memo[p] = self.older[p]
+                    continue
+                new.append(p)
+                size += len(p)
+                if size > PIECE_BYTES:
+                    self.learn(new)
+                    new, size = [], 0
+        self.learn(new)
+        found = [self.memo[p] for p in numbers]
+        return lists, [csv for csv, _ in found], [back for _, back in found]
+
+    def learn(self, pieces: list[str]) -> None:
+        ids = self.encode([p.encode() for p in pieces])
+        self.memo.update(zip(pieces, zip([",".join(map(str, x)) for x in ids], self.decode(ids))))
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,44 +191,72 @@ def coder(ranks: bytes, pattern: str) -> Coder:
     return _CODERS[key]
 
 
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[bytes, str]:
     """(rank file, pattern); by default the many-language vocabulary."""
     import public_tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        return f.read(), pattern or public_tokenizers.PATTERN
-
+        return f.read(), pattern or public_pattern()
 
-def mapped(docs: DataFrame, schema: str, rows, path: str | None, pattern: str | None) -> DataFrame:
-    """doc_id and the columns that ``rows(pieces)`` gives for each text."""
-    python_ready(docs.sparkSession)
-    ranks, pattern = vocabulary(path, pattern)
-
-    def make(batch):
-        column = batch.column(batch.schema.get_field_index("text"))
-        _, offsets = utf8(column)
-        c, out = coder(ranks, pattern), []
-        for a, b in groups(offsets):
-            texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
-            out += [rows(pieces) for pieces in c.coded(texts)]
-        return [pa.array(x, f.type) for x, f in zip(zip(*out), arrow_fields, strict=True)]
 
+def mapped(docs: DataFrame, schema: str, row, path: str | None, pattern: str | None) -> DataFrame:
+    """doc_id and the columns that ``row(csvs, backs)`` gives for each text, from its
+    pieces' ids and decoded bytes in order."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    arrow_fields = list(to_arrow_schema(_parse_datatype_string(schema)))
-    return add_columns(docs.select("doc_id", "text"), make, schema, drop=("text",))
+    python_ready(docs.sparkSession)
+    ranks, pattern = vocabulary(path, pattern)
+    docs = docs.select("doc_id", "text")
+    out = StructType([docs.schema["doc_id"], *_parse_datatype_string(schema).fields])
+    fields = list(to_arrow_schema(out))
+
+    def finished(held):
+        lists, csvs, backs = coder(ranks, pattern).coded([t or "" for _, texts in held for t in texts.to_pylist()])
+        lists = iter(lists)
+        for ids, texts in held:
+            _, offsets = utf8(texts)
+            for a, b in groups(offsets):
+                rows = [row([csvs[i] for i in x], [backs[i] for i in x]) for x, _ in zip(lists, range(b - a))]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), *[pa.array(x, f.type) for x, f in zip(zip(*rows), fields[1:], strict=True)]],
+                    [f.name for f in fields])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0), batch.column(1)))
+                size += batch.column(1).nbytes
+            if size > HOLD:
+                yield from finished(held)
+                held, size = [], 0
+        if held:
+            yield from finished(held)
+        release()
+
+    return docs.mapInArrow(run, out)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>)."""
 
-    def ids(pieces):
-        return ([int(i) for csv, _ in pieces for i in csv.split(",")],)
+    def ids(csvs, backs):
+        return (numbers_of(",".join(csvs)),)
 
     return mapped(docs, "ids array<int>", ids, path, pattern)
 
 
+def numbers_of(csv: str) -> np.ndarray:
+    return np.fromstring(csv, np.int32, sep=",") if csv else np.zeros(0, np.int32)
+
+
 def decode(rows: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, decoded binary) of rows with doc_id and ids (null: none)."""
     python_ready(rows.sparkSession)
@@ -210,16 +280,14 @@ def decode(rows: DataFrame, path: str | None = None, pattern: str | None = None)
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from
     the ids, piece by piece in order. With ``ids`` also the array of ids."""
-    with_ids = ids
-
-    def row(pieces):
-        ids = ",".join([csv for csv, _ in pieces])
-        decoded = hashlib.sha256(b"".join([back for _, back in pieces]))
-        out = ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), decoded.hexdigest()
-        return (*out, np.array(ids.split(",") if ids else [], np.int32)) if with_ids else out
+    def row(csvs, backs):
+        csv = ",".join(csvs)
+        decoded = hashlib.sha256(b"".join(backs)).hexdigest()
+        out = csv.count(",") + 1 if csv else 0, hashlib.sha256(csv.encode()).hexdigest(), decoded
+        return (*out, numbers_of(csv)) if ids else out
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return mapped(docs, schema + ", ids array<int>" * with_ids, row, path, pattern)
+    return mapped(docs, schema + ", ids array<int>" * ids, row, path, pattern)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

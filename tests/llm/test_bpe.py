@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import random
+import time
 
 import public_tokenizers as P
+import regex
 import tiktoken
 
 from sitelens.llm import bpe
@@ -39,7 +42,8 @@ def test_ids_and_round_trip_equal_the_library(spark):
 def test_heap_and_recursive_query_agree():
     ranks, pattern = bpe.vocabulary()
     c = bpe.Coder(ranks, pattern)
-    pieces = [p.encode() for p in ("thereonndanisthe" * 9, "éèçà" * 20, "aaaaaaaaab" * 12, "zqxj" * 30)]
+    pieces = [p.encode() for p in ("thereonndanisthe" * 4, "éèçà" * 8, "aaaaaaaaab" * 6, "zqxj" * 15)]
+    assert max(map(len, pieces)) <= bpe.LONG
     assert c.encode(pieces) == [bpe.merged(p, c.ranks) for p in pieces]
 
 
@@ -57,3 +61,47 @@ def test_query_equals_the_library_on_the_whole_table(spark):
         want = lib.encode_ordinary(d.text or "")
         assert got[d.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert got[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_latin_pattern_is_the_public_one():
+    pick, whole = random.Random(4), regex.compile(P.PATTERN).findall
+    for a in map(chr, range(256)):
+        text = f"x{a}1{a}{a} !{a} {a}'s{a}\n{a}"
+        assert bpe.LATIN.findall(text) == whole(text)
+    for _ in range(3_000):
+        text = "".join(pick.choice(["a", "Z", "é", "1", "²", " ", "  ", "\n", "\xa0", "\x85", "\x1c", "'", "'re", "!", "×", "ª", "_", "\0"])
+                       for _ in range(pick.randrange(20)))
+        assert bpe.LATIN.findall(text) == whole(text)
+
+
+def test_cost_against_the_length_of_pieces():
+    """As much text in pieces of 10 to 100,000 letters, all different, costs at most
+    some times as much as in ordinary words; ids are the library's."""
+    ranks, pattern = bpe.vocabulary()
+    lib, pick = library(), random.Random(6)
+    seconds = {}
+    for size in (10, 50, 150, 500, 100_000):
+        letters = "".join(pick.choices("etaoinshrdlu", k=200_000))
+        text = " ".join(letters[a:a + size] for a in range(0, len(letters), size))
+        c = bpe.Coder(ranks, pattern)
+        c.coded(["warm up"])
+        began = time.time()
+        lists, csvs, _ = c.coded([text])
+        seconds[size] = time.time() - began
+        assert ",".join(csvs[i] for i in lists[0]) == ",".join(map(str, lib.encode_ordinary(text)))
+    assert max(seconds.values()) < 8 * seconds[10] + 2, seconds
+    han = "".join(chr(pick.randrange(0x4E00, 0x6E00)) + "，" * (i % 30 == 29) for i in range(100_000))
+    began = time.time()
+    lists, csvs, _ = c.coded([han])
+    assert time.time() - began < 12 * seconds[10] + 4
+    assert ",".join(csvs[i] for i in lists[0]) == ",".join(map(str, lib.encode_ordinary(han)))
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 20)
+    lib, c = library(), bpe.Coder(*bpe.vocabulary())
+    for text in ("one two threefold fourfold", "fivefoldish one sixfoldish", "two threefold sevenfoldish one") * 3:
+        lists, csvs, backs = c.coded([text])
+        assert ",".join(csvs[i] for i in lists[0]) == ",".join(map(str, lib.encode_ordinary(text)))
+        assert b"".join(backs[i] for i in lists[0]) == text.encode()
