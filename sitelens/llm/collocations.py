@@ -39,8 +39,8 @@ from sitelens.llm.common import forget, groups, python_ready, release, stored, t
 LEAST, LONGEST, TOP = 30, 4, 2_000
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(SEPARATORS))
-HELD = 400_000  # distinct words that a task counts before it hands them on
-PLACES = 2_000_000  # occurrences counted together in a task
+HELD = 200_000  # distinct words that a task counts before it hands them on
+PLACES = 700_000  # occurrences counted together in a task
 MOST_BITS = 1 << 27
 RELATION = "words array<bigint>, pos array<int>"
 
@@ -219,6 +219,7 @@ def counted(relation: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
                 held, size = [], 0
         if held:
             yield out(held)
+        held = words = pos = None
         release()
 
     def out(held):
