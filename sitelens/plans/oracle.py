@@ -209,9 +209,12 @@ ORACLES: dict[str, str] = {
         union all select 'query_index' as source, url from qi_read
         union all select 'sitemap' as source, url from site_pages""",
     "page_language": with_("site_pages") + f"select url, {lang('url')} as language from site_pages",
-    "class_elements": with_("admitted") + """select url,
-        len(regexp_extract_all(html, '<[a-zA-Z][^<>]*?\\sclass[^<>]*>', 0))::BIGINT as n_class_elements from admitted
-        where regexp_matches(html, '<[a-zA-Z][^<>]*?\\sclass')""",
+    "class_elements": with_("admitted") + """select url, n::BIGINT as n, lower(regexp_extract(m, '^<([a-zA-Z0-9]+)', 1)) as tag,
+        array_to_string(list_filter(toks, lambda x, i: list_position(toks, x) = i), ' ') as classes
+        from (select url, n, ms[n] as m,
+                list_filter(regexp_split_to_array(trim(regexp_extract(ms[n], '\\sclass="([^"]*)"', 1)), '[ \\t\\n]+'), lambda x: x <> '') as toks
+              from (select url, ms, generate_subscripts(ms, 1) as n
+                    from (select url, regexp_extract_all(html, '<[a-zA-Z][^<>]*?\\sclass[^<>]*>', 0) as ms from admitted)))""",
     "href_elements": with_("hrefs") + "select url, unnest(hs) as href from hrefs",
     "class_tokens": with_("cls_d") + """select url, token, count(*) as n
         from (select url, unnest(toks) as token from cls_d) group by all""",
@@ -251,10 +254,18 @@ ORACLES: dict[str, str] = {
         from (select url, unnest(toks) as token from cls_d) where list_contains({VOCAB}, token)""",
     "brand_link_filter": with_("hrefs") + f"""select url, h as href
         from (select url, unnest(hs) as h from hrefs) where {_brand('h')}""",
-    "extract_elements": with_("admitted") + """select url,
-        sum(n)::BIGINT as n_elements, array_to_string(list_sort(list(tag || ':' || n)), ',') as tags
-        from (select url, tag, count(*) as n from (select url, lower(unnest(regexp_extract_all(html,
-                '<([a-zA-Z][a-zA-Z0-9]*)', 1))) as tag from admitted) group by all) group by url""",
+    # p, meta and img hold no other element here; all else is balanced
+    "extract_elements": with_("admitted") + """, tokens as (
+          select url, t, ts[t] as tok from (select url, ts, generate_subscripts(ts, 1) as t from (
+            select url, regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'g'),
+              '(<script>).*?(</script>)', '\\1\\2', 'g'), '</?[a-zA-Z][^>]*>', 0) as ts from admitted))),
+        tags as (select url, t, lower(regexp_extract(tok, '^</?([a-zA-Z0-9]+)', 1)) as tag, tok[2] = '/' as ends from tokens),
+        steps as (select *, sum(case when tag in ('p', 'meta', 'img') then 0 when ends then -1 else 1 end)
+                    over (partition by url order by t) - (case when ends or tag in ('p', 'meta', 'img') then 0 else 1 end) as depth
+                  from tags where tag not in ('b', 'br')),
+        starts as (select url, tag, depth, row_number() over (partition by url order by t) as n from steps where not ends)
+        select c.url, c.n::BIGINT as n, p.n::BIGINT as parent_n, c.tag
+        from starts c asof left join starts p on p.url = c.url and p.depth = c.depth - 1 and p.n < c.n""",
     "variant_name": with_("blk") + "select url, variant from blk",
     "join_links": with_("hrefs") + f"select url, {_join_links('hs')} as href_links from hrefs where len(hs) > 0",
     "split_star": with_("hrefs") + """select url, unnest(list_filter(regexp_split_to_array(h, '[*]+'),

@@ -84,6 +84,10 @@ class Fixture:
         return parsed_elements(self.fetched, None, cfg, persist=False)
 
 
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.read.parquet(write_table(df, name))
+
+
 def _long(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 
@@ -183,8 +187,10 @@ def q_page_language(spark, sf):
 
 # -- elements -----------------------------------------------------------------
 def q_class_elements(spark, sf):
-    return (el.class_elements(Fixture(spark, sf).elements())
-            .groupBy("url").agg(F.count(F.lit(1)).alias("n_class_elements")))
+    """Each element with a class attribute, by its place among those of the page."""
+    w = Window.partitionBy("page_key").orderBy("pre")
+    return el.class_elements(Fixture(spark, sf).elements()).select(
+        "url", F.row_number().over(w).cast("long").alias("n"), "tag", F.array_join("classes", " ").alias("classes"))
 
 
 def q_href_elements(spark, sf):
@@ -299,12 +305,14 @@ def q_brand_link_filter(spark, sf):
 
 
 def q_extract_elements(spark, sf):
-    f = Fixture(spark, sf)
-    els = parsed_elements(f.fetched, None, cfg, persist=False, keep="all")
-    tags = els.groupBy("url", "tag").agg(F.count(F.lit(1)).alias("n"))
-    return tags.groupBy("url").agg(
-        F.sum("n").alias("n_elements"),
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "tag", "n"))), ",").alias("tags"))
+    """Each element by its place on the page, with its parent's place. Left out are
+    b and br, so that the places can be told from the markup alone; an element that
+    was put into a b would have no parent here."""
+    els = write_and_read(parsed_elements(Fixture(spark, sf).fetched, None, cfg, persist=False, keep="all")
+                         .where(~F.col("tag").isin("b", "br")).select("page_key", "url", "pre", "parent_pre", "tag"), "all-elements")
+    placed = els.withColumn("n", F.row_number().over(Window.partitionBy("page_key").orderBy("pre")).cast("long"))
+    parents = placed.select("page_key", F.col("pre").alias("parent_pre"), F.col("n").alias("parent_n"))
+    return placed.join(parents, ["page_key", "parent_pre"], "left").select("url", "n", "parent_n", "tag")
 
 
 def q_variant_name(spark, sf):

@@ -59,9 +59,79 @@ def test_own_text_whitespace_and_br():
 
 
 def test_stray_end_tag_is_ignored_at_special_element():
-    els = parse_elements("<div><span>a</p></span>b</div>")
+    els = parse_elements("<div><span>a</section></span>b</div>")
     div = by_tag(els, "div")[0]
-    assert div[7] == "b"
+    assert div[7] == "b" and div[8] == 1
+
+
+def shape(html):
+    """The body as nested text: tag.class(children), own text in quotes."""
+    from sitelens.operators.htmltree import Node, _Builder
+    b = _Builder()
+    b.run(html)
+    b._ensure_body()
+
+    def show(node):
+        inner = ["'" + x + "'" if x.__class__ is str else show(x) for x in node.content]
+        name = ".".join([node.tag, *(str(v) for v in node.attrs.values())])
+        return name + (f"({' '.join(inner)})" if inner else "")
+
+    assert all(x.parent is b.html or x.__class__ is Node for x in b.html.content)
+    return " ".join("'" + x + "'" if x.__class__ is str else show(x) for x in b.body.content)
+
+
+def test_formatting_elements_are_opened_again():
+    assert shape("<p><b class=x>one<p>two") == "p(b.x('one')) p(b.x('two'))"
+    assert shape("<a href=1>x<div>y<a href=2>z") == "a.1('x') div(a.1('y') a.2('z'))"
+    assert shape("<p>1<b>2<i>3</b>4</i>5</p>") == "p('1' b('2' i('3')) i('4') '5')"
+    assert shape("<b>1<p>2</b>3</p>") == "b('1') p(b('2') '3')"
+    assert shape("<p><b><b><b><b><p>x") == "p(b(b(b(b)))) p(b(b(b('x'))))"
+    assert shape("<a><p>X<a>Y</a>Z</p></a>") == "a p(a('X') a('Y') 'Z')"
+    assert shape("<p id=a><b><p id=b></b>TEST") == "p.a(b) p.b('TEST')"
+    assert shape("<font><p>hello<b>cruel</font>world") == "font p(font('hello' b('cruel')) b('world'))"
+    assert shape("<i>A<b>B<p></i>C</b>D") == "i('A' b('B')) b p(b(i 'C') 'D')"
+    assert shape("<b>a<div>b<div>c</b>d") == "b('a') div(b('b') div(b('c') 'd'))"
+    assert shape("<nobr>a<nobr>b") == "nobr('a') nobr('b')"
+    assert shape("<b><object>a</object>c</b>d") == "b(object('a') 'c') 'd'"
+    assert shape("<b>a<object>b</b>c") == "b('a' object('bc'))".replace("'bc'", "'b' 'c'")
+    assert shape("x</p>y") == "'x' p 'y'" and shape("</p>y") == "'y'"
+    assert shape("<h1>a<h2>b</h1>c") == "h1('a') h2('b') 'c'"
+
+
+def test_tables_and_what_does_not_belong_in_them():
+    assert shape("<table><div class=x>y</div><tr><td>1") == "div.x('y') table(tbody(tr(td('1'))))"
+    assert shape("<table><b><tr><td>aaa</td></tr>bbb</table>ccc") == "b b('bbb') table(tbody(tr(td('aaa')))) b('ccc')"
+    assert shape("<table><a>1<p>2</a>3</p>") == "a('1') p(a('2') '3') table"
+    assert shape("<a>x<table><td><a>y") == "a('x' table(tbody(tr(td(a('y'))))))"
+    assert shape("<a><table><td><a><table></table><a></tr><a></table><b>X</b>C<a>Y") == (
+        "a(a table(tbody(tr(td(a(table) a))))) a(b('X') 'C') a('Y')")
+    assert shape("<a href=blah>aba<table><a href=foo>br<tr><td></td></tr>x</table>aoe") == (
+        "a.blah('aba' a.foo('br') a.foo('x') table(tbody(tr(td)))) a.foo('aoe')")
+    assert shape("<a href=blah>aba<table><tr><td><a href=foo>br</td></tr>x</table>aoe") == (
+        "a.blah('aba' 'x' table(tbody(tr(td(a.foo('br'))))) 'aoe')")
+    assert shape("<b><table><td><i></table>z") == "b(table(tbody(tr(td(i)))) 'z')"
+    assert shape("<table><caption>c<tr><th>h<td>d</table>e") == "table(caption('c') tbody(tr(th('h') td('d')))) 'e'"
+    assert shape("<table><col><colgroup class=g><col>x<tr><td>1") == "'x' table(colgroup(col) colgroup.g(col) tbody(tr(td('1'))))"
+    assert shape("<table><thead><tr><td>a<tfoot><td>b<tbody>") == "table(thead(tr(td('a'))) tfoot(tr(td('b'))) tbody)"
+    assert shape("<table><td>a<table><td>b</table>c</table>d") == "table(tbody(tr(td('a' table(tbody(tr(td('b')))) 'c')))) 'd'"
+    assert shape("<table>a<table>b") == "'a' table 'b' table"
+    assert shape("<div><td class=x>a</td><tr>b</div>") == "div('a' 'b')"
+    assert shape("<table> <input type=hidden><input><style>p</style></table>") == "input table(' ' input.hidden style)"
+    assert shape("<table><tr></td></div><li>x</table>") == "li('x') table(tbody(tr))"
+    assert shape("<p>a<table><td>b</p>c") == "p('a') table(tbody(tr(td('b' p 'c'))))"
+
+
+def test_forms_lists_and_selects():
+    assert shape("<form>a<form>b</form>c</form>d") == "form('a' 'b') 'c' 'd'"
+    assert shape("<form><div></form>a</div>b") == "form(div('a')) 'b'"
+    assert shape("<select><b><option>x<select><option></b></select>X") == "select(option('x')) option('X')"
+    assert shape("<select><option>a<optgroup><option>b</select>c") == "select(option('a') optgroup(option('b'))) 'c'"
+    assert shape("<table><td><select><option>a<td>b") == "table(tbody(tr(td(select(option('a'))) td('b'))))"
+    assert shape("<ul><li>a<div><li>b</ul>c") == "ul(li('a' div) li('b')) 'c'"
+    assert shape("<ul><li>a<ul><li>b</li></ul><li>c") == "ul(li('a' ul(li('b'))) li('c'))"
+    assert shape("<dl><dt>a<dd>b<dt>c") == "dl(dt('a') dd('b') dt('c'))"
+    assert shape("<button>a<p>b<button>c") == "button('a' p('b')) button('c')"
+    assert shape("<ruby>a<rt>b<rp>c</ruby>d") == "ruby('a' rt('b') rp('c')) 'd'"
 
 
 def test_chain_descends_into_first_non_leaf_child_only():
@@ -85,7 +155,8 @@ def test_chain_own_text_must_equal_whole_label():
     assert [e for e in els if e[6].get("class") == "b"][0][9] == []
 
 
-TAGS = ["div", "p", "span", "ul", "li", "b", "section", "a", "br", "img", "table", "tr", "td"]
+TAGS = ["div", "p", "span", "ul", "li", "b", "i", "section", "a", "br", "img", "table", "tr", "td", "tbody", "caption", "col", "select",
+        "option", "form", "button", "object", "h1", "dd", "head", "body", "title", "input", "nobr"]
 
 
 @st.composite
@@ -150,7 +221,10 @@ def test_scope_of_the_root_is_the_page():
 def test_time_is_linear_in_broken_markup():
     import time
     for html in ("<a x='" * 100_000, "<div>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<a b=\"<c>" * 50_001,
-                 "<div>" * 50_000 + "<dd></dd><td></td><li></li>" * 30_000, "<!--" * 100_000, "<" * 100_000, "</" * 100_000):
+                 "<div>" * 50_000 + "<dd></dd><td></td><li></li>" * 30_000,
+                 "<table><b>" * 20_000, "<table>x" * 20_000, "<p><b><i><a href=x>t" * 15_000, "<table>" + "<div>x</div>" * 50_000,
+                 "".join(f"<font size={i}><p>x" for i in range(3_000)), "<ul><li>a" * 30_000, "<a><p>" * 4_000,
+                 "<b>" + "<p>x</b><b>" * 20_000, "<table><tr><td>" * 20_000, "<!--" * 100_000, "<" * 100_000, "</" * 100_000):
         began = time.time()
         parse_elements(html)
         assert time.time() - began < 5, html[:20]
