@@ -51,18 +51,44 @@ def is_redirect(status) -> F.Column:
     return F.col(status).isin(*REDIRECT_STATUSES) if isinstance(status, str) else status.isin(*REDIRECT_STATUSES)
 
 
+def reject_reason(has_markup=None) -> F.Column:
+    """Why a page is not read, null for one that is: every page is in exactly one of
+    ``admit_pages`` and ``rejects``, whatever is null."""
+    status = F.col("status")
+    reason = (F.when(status.isNull(), F.lit("no_status"))
+              .when(is_redirect("status"), F.lit("redirect"))
+              .when(status >= 400, F.lit("http_error")))
+    return reason if has_markup is None else reason.when(~has_markup, F.lit("no_markup"))
+
+
+def _reason_of(pages: DataFrame) -> F.Column:
+    return reject_reason(F.col("html").isNotNull() if "html" in pages.columns else None)
+
+
 def admit_pages(pages: DataFrame) -> DataFrame:
-    """Pages whose body is read: not a 301/302/303 redirect and not an
-    error (>= 400). 307/308 are read."""
-    return pages.where(~is_redirect("status") & (F.col("status") < 400))
+    """Pages whose body is read: a status that is no 301/302/303 redirect and no
+    error (>= 400), and markup. 307/308 are read."""
+    return pages.where(_reason_of(pages).isNull())
 
 
 def rejects(pages: DataFrame) -> DataFrame:
-    """Pages that are not read, with the reason."""
-    return (pages.where(is_redirect("status") | (F.col("status") >= 400))
-            .select("url", "status",
-                    F.when(is_redirect("status"), F.lit("redirect"))
-                    .otherwise(F.lit("http_error")).alias("reason")))
+    """Pages that are not read, with the reason: the complement of O8."""
+    return pages.select("url", "status", _reason_of(pages).alias("reason")).where(F.col("reason").isNotNull())
+
+
+def reconciled(listing: DataFrame, pages: DataFrame) -> DataFrame:
+    """O45 over a whole run: (url, times, status, reason) for every listed url, so
+    that listed = read + rejected. ``reason`` is null for a url that was read, and
+    ``not_fetched`` for one that no page has; ``times`` is how often it is listed.
+
+    Both sides have one narrow row per url before they meet: listings are counted,
+    and no markup is joined.
+    """
+    listed = listing.groupBy("url").agg(F.count(F.lit(1)).alias("times"))
+    chosen = one_page_per_url(pages)
+    found = chosen.select(F.col("url").alias("_url"), "status", _reason_of(chosen).alias("reason"), F.lit(True).alias("_found"))
+    return listed.join(found, F.col("url").eqNullSafe(F.col("_url")), "left").select(
+        "url", "times", "status", F.when(F.col("_found").isNull(), F.lit("not_fetched")).otherwise(F.col("reason")).alias("reason"))
 
 
 def _extract_batches(labels, keep_terms=None):
@@ -127,7 +153,8 @@ def extract_elements(pages: DataFrame, cfg: AuditConfig = DEFAULT,
 def one_page_per_url(pages: DataFrame) -> DataFrame:
     """One fetched copy per url, chosen by data alone: the latest by column
     ``fetch_seq`` when the table has one, then a page that is read before a
-    redirect before an error, then the largest (status, hash of the markup).
+    redirect before an error before one without status or markup, then the largest
+    (status, hash of the markup).
 
     Every report reads its pages through this, so all agree on the copy however
     the table is partitioned. The urls with several copies are found from the
@@ -138,7 +165,7 @@ def one_page_per_url(pages: DataFrame) -> DataFrame:
     several = materialize(pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                           .select(F.col("url").alias("_url")), "urls-with-copies")
     same = F.col("url").eqNullSafe(F.col("_url"))
-    readable = F.when(F.col("status") >= 400, 0).when(is_redirect("status"), 1).otherwise(2)
+    readable = F.when(_reason_of(pages).isNull(), 3).when(is_redirect("status"), 2).when(F.col("status") >= 400, 1).otherwise(0)
     seq = [F.col("fetch_seq")] if "fetch_seq" in pages.columns else []
     copies = pages.join(several, same, "left_semi").withColumn(
         "_rank", F.struct(*seq, readable.alias("readable"), "status", F.xxhash64("html").alias("hash")))

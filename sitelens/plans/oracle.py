@@ -175,6 +175,17 @@ ORACLES: dict[str, str] = {
     "rejects": with_("site_pages") + """select url, status,
         case when status in (301, 302, 303) then 'redirect' else 'http_error' end as reason
         from site_pages where status in (301, 302, 303) or status >= 400""",
+    "listing_reconciled": with_("cell_urls", "qi_read", "sm_items") + """, listing as (
+          select url from cell_urls union all select url from qi_read union all select url from sm_items),
+        crawled as (select url, case when page_id % 19 <> 3 then status end as status, page_id % 23 <> 5 as markup
+          from (select page_id, url, status from site_pages
+                union all select page_id, url, 404 from site_pages where page_id % 13 = 4) where page_id % 29 <> 7),
+        judged as (select url, status, case when status is null then 'no_status' when status in (301, 302, 303) then 'redirect'
+          when status >= 400 then 'http_error' when not markup then 'no_markup' else 'read' end as reason from crawled),
+        chosen as (select * from judged qualify row_number() over (partition by url order by
+          case reason when 'read' then 3 when 'redirect' then 2 when 'http_error' then 1 else 0 end desc, status desc nulls last) = 1)
+        select l.url, l.times, c.status, case when c.url is null then 'not_fetched' else nullif(c.reason, 'read') end as reason
+        from (select url, count(*) as times from listing group by url) l left join chosen c on c.url = l.url""",
     "join_lines": with_("admitted") + "select page_id, length(html)::BIGINT as n_chars, md5(html) as html_md5 from admitted",
     "admit_index_docs": with_("qi") + f"""select distinct index_url, part::BIGINT as part from qi
         where not (page_id % 3 = 2 and part = 1)

@@ -60,6 +60,14 @@ class Fixture:
             "page_id", "url", F.lit(404).alias("status"), F.lit('<a href="/stale" class="banner">media_old.png</a>').alias("html"))
         return self._input("fetched", lambda: self.pages.unionByName(stale.select(self.pages.columns)))
 
+    @property
+    def crawled(self) -> DataFrame:
+        """``fetched`` with gaps: no status, no markup, no page at all."""
+        status = F.when(F.col("page_id") % 19 != 3, F.col("status"))
+        html = F.when(F.col("page_id") % 23 != 5, F.col("html"))
+        return self._input("crawled", lambda: self.fetched.where("page_id % 29 != 7").select(
+            "page_id", "url", status.alias("status"), html.alias("html")))
+
     @property
     def cells(self) -> DataFrame:
         return self._input("cells", lambda: fx.sheet_cells(self.spark, self.sf))
@@ -105,6 +113,15 @@ def q_rejects(spark, sf):
     return el.rejects(Fixture(spark, sf).pages)
 
 
+def q_listing_reconciled(spark, sf):
+    """O45 over a run: all listings against a crawl in which some pages have no
+    status or no markup and some were never fetched."""
+    f = Fixture(spark, sf)
+    listing = pg.union_sources(src.cells_to_urls(f.cells).select("url"), f.qi_listing().select("url"),
+                               src.sitemap_pages(f.sitemap_index, f.sitemap_docs, mode="list").select("url"))
+    return el.reconciled(listing, f.crawled)
+
+
 def q_join_lines(spark, sf):
     p = el.admit_pages(Fixture(spark, sf).pages)
     j = fn.join_lines("html")

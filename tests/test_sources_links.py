@@ -198,3 +198,20 @@ def test_hot_listed_url_is_dealt_out_without_adaptive_help(spark, make_pages):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_listed_url_is_read_or_rejected(spark):
+    from sitelens.operators import elements as el
+    rows = [("a", 200, "x"), ("b", None, "x"), ("c", 500, "x"), ("d", 302, None), ("e", 200, None), ("f", None, None),
+            ("g", 404, "x"), ("g", None, "y"), ("h", 200, None), ("h", 301, "x"), ("i", None, "x"), ("i", 200, "z"), ("j", 307, "")]
+    pages = spark.createDataFrame(rows, "url string, status int, html string")
+    assert el.admit_pages(pages).count() + el.rejects(pages).count() == len(rows)
+    assert sorted(r.reason for r in el.rejects(pages.where("url in ('b', 'c', 'd', 'e', 'f')")).collect()) == [
+        "http_error", "no_markup", "no_status", "no_status", "redirect"]
+    listing = spark.createDataFrame([(u,) for u in "aabcdefghijkk"] + [(None,)], "url string")
+    got = {r.url: (r.times, r.status, r.reason) for r in el.reconciled(listing, pages).collect()}
+    assert got == {"a": (2, 200, None), "b": (1, None, "no_status"), "c": (1, 500, "http_error"), "d": (1, 302, "redirect"),
+                   "e": (1, 200, "no_markup"), "f": (1, None, "no_status"), "g": (1, 404, "http_error"), "h": (1, 301, "redirect"),
+                   "i": (1, 200, None), "j": (1, 307, None), "k": (2, None, "not_fetched"), None: (1, None, "not_fetched")}
+    read = el.admit_pages(el.one_page_per_url(pages)).join(listing.distinct(), "url", "left_semi")
+    assert {r.url for r in read.collect()} == {u for u, (_, _, reason) in got.items() if reason is None}
