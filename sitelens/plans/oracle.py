@@ -342,3 +342,4 @@ group by l.url""",
         '[' || array_to_string(m.ids, ', ') || ']' as template_ids
         from media m join cell_urls c on c.url = m.url where len(m.ids) > 0""",
 }
+ORACLES["read_sitemap_files"] = ORACLES["read_sitemap_urls"]  # another way to the same rows

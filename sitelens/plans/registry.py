@@ -8,6 +8,7 @@ and types equal those of the DuckDB oracles in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..config import DEFAULT
 from ..operators import blocks, elements as el, links, pages as pg
-from ..session import app_id, apply_session_conf
+from ..session import app_id, apply_session_conf, checkpoint_dir
 from ..sources import fixture as fx
 from ..sources import listing as src
 from . import reports as R
@@ -174,6 +175,20 @@ def q_read_sitemap_urls(spark, sf):
         "doc_url", _long("pos"), "loc", "lastmod")
 
 
+def q_read_sitemap_files(spark, sf):
+    """O5 over documents stored as files, cut by the text source."""
+    f = Fixture(spark, sf)
+    docs = f.sitemap_docs.withColumn("file", F.md5("doc_url"))
+    key = (app_id(spark), sf, "sitemap-files")
+    if key not in _INPUTS:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/input-sitemap-files-{uuid.uuid4().hex}"
+        docs.select("file", F.col("body").alias("value")).write.partitionBy("file").text(path)
+        _INPUTS[key] = path
+    rows = src.read_sitemap_files(spark, _INPUTS[key], docs.drop("body"), mode="map")
+    place = F.row_number().over(Window.partitionBy("doc_url").orderBy("pos")) - 1
+    return rows.select("doc_url", place.cast("long").alias("pos"), "loc", "lastmod")
+
+
 def q_sitemap_doc_rejects(spark, sf):
     f = Fixture(spark, sf)
     return src.sitemap_doc_rejects(f.sitemap_index, f.sitemap_docs)
@@ -379,9 +394,7 @@ def q_media_report(spark, sf):
 
 def q_write_report(spark, sf):
     """O43 round trip: the P5 report written as CSV with its headers, read back."""
-    from ..session import checkpoint_dir
     from ..sinks import read_report, write_report
-    import uuid
     path = f"{checkpoint_dir(spark).rstrip('/')}/report-links-{uuid.uuid4().hex}"
     write_report(q_report_brand_links_all(spark, sf), path, "links")
     return read_report(spark, path, "`URL` string, `HREF LINKS` string")
@@ -389,9 +402,7 @@ def q_write_report(spark, sf):
 
 def q_write_report_by_sheet(spark, sf):
     """O44 round trip: the P10 report written one folder per sheet, read back."""
-    from ..session import checkpoint_dir
     from ..sinks import read_report, write_report_by_sheet
-    import uuid
     path = f"{checkpoint_dir(spark).rstrip('/')}/report-media-{uuid.uuid4().hex}"
     write_report_by_sheet(q_report_media(spark, sf), path, "media")
     return read_report(spark, path, "`Url` string, `Template Ids` string, sheet string")

@@ -158,6 +158,48 @@ def read_sitemap_urls(docs: DataFrame, mode: str = "map") -> DataFrame:
                     F.lit(None).cast("string").alias("lastmod")))
 
 
+def read_sitemap_files(spark: SparkSession, folder: str, docs: DataFrame, mode: str = "map") -> DataFrame:
+    """O5 for documents that are stored as files, however large: the same rows as
+    ``read_sitemap_urls``, but ``pos`` is (place of the split in the file, place in
+    the split, [place in the element]), which orders alike.
+
+    ``docs`` is (doc_url, status, file): the files lie under ``folder``, each in a
+    folder named ``file=...`` (as a partitioned writer leaves them) or directly. The
+    text source cuts the files after each ``url`` element, so one document is read
+    by as many tasks as its size needs; every element is parsed on its own. A
+    document of which an element, or the end, isn't well formed gives no rows, as if
+    it had been parsed whole.
+    """
+    records = spark.read.option("lineSep", "</url>").text(folder)
+    name = F.col("file") if "file" in records.columns else F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    records = records.select(
+        name.alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), "value")
+    # what precedes an element in its record: the document's head, comments
+    inner = F.regexp_extract("value", r"(?is)^.*?(<url[\s>].*)$", 1)
+    unprefixed = F.regexp_replace(inner, r"<(/?)([A-Za-z_][\w.-]*):", "<$1$2_")
+    # a record that runs to the document's end tag is the last of its file; it holds
+    # no element, or elements in other letter case, which are parsed together
+    end_tag = r"(?is)</urlset\s*>(?:\s|<!--.*?-->)*$"
+    is_end = F.rlike("value", F.lit(end_tag))
+    whole = F.concat(F.lit("<urlset>"), unprefixed, F.lit("</url></urlset>"))
+    rest = F.concat(F.lit("<urlset>"), F.regexp_replace(unprefixed, end_tag, "</urlset>"))
+    parsed = records.select(
+        "file", "split", "row", is_end.alias("is_end"), (inner != "").alias("holds"),
+        F.when(inner != "", F.from_xml(F.when(is_end, rest).otherwise(whole), URLSET_SCHEMA, _XML_OPTS)).alias("x"))
+    bad = parsed.where("x.url is null and (holds or not is_end)").select("file").distinct()
+    admitted = admit_index_docs(docs, require_text=False).select("doc_url", "file")
+    items = (parsed.where("x.url is not null").join(bad, "file", "left_anti").join(admitted, "file")
+             .select("doc_url", "split", "row", F.posexplode("x.url").alias("k", "u")))
+    at = F.struct("split", "row", "k")
+    if mode == "map":
+        return items.where(F.size("u.loc") > 0).select(
+            "doc_url", at.alias("pos"), F.try_element_at("u.loc", F.lit(-1)).alias("loc"),
+            F.coalesce(F.try_element_at("u.lastmod", F.lit(-1)), F.lit("")).alias("lastmod"))
+    return (items.select("doc_url", at.alias("at"), F.posexplode("u.loc").alias("j", "loc"))
+            .select("doc_url", F.struct("at", "j").alias("pos"), "loc", F.lit(None).cast("string").alias("lastmod")))
+
+
 def sitemap_doc_rejects(index_urls: DataFrame, docs: DataFrame) -> DataFrame:
     """O45 for sitemaps: (doc_url, level, status, reason) of each listed
     sitemap-index or child document that yields no entries: not fetched, a

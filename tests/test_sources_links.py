@@ -215,3 +215,42 @@ def test_every_listed_url_is_read_or_rejected(spark):
                    "i": (1, 200, None), "j": (1, 307, None), "k": (2, None, "not_fetched"), None: (1, None, "not_fetched")}
     read = el.admit_pages(el.one_page_per_url(pages)).join(listing.distinct(), "url", "left_semi")
     assert {r.url for r in read.collect()} == {u for u, (_, _, reason) in got.items() if reason is None}
+
+
+def sitemap_bodies():
+    def items(name, n):
+        return "".join(f"<url>\n <loc> https://x/{name}/{i}?a=1&amp;b </loc>" + (f"<lastmod>d{i}</lastmod>" if i % 2 else "")
+                       + ("<image:image><image:loc>no</image:loc></image:image>" if i % 5 == 0 else "") + "</url>\n" for i in range(n))
+    head = '<?xml version="1.0"?>\n<urlset xmlns="s" xmlns:image="http://image">\n'
+    return {
+        "big": head + items("big", 4_000) + "<!-- done -->\n</urlset>\n",
+        "two": head + "<url><loc>p</loc><loc>q</loc></url><url><lastmod>z</lastmod></url></urlset>",
+        "upper": "<URLSET><URL><LOC>u</LOC></URL><URL><LOC>v</LOC></URL></URLSET>",
+        "none": "<urlset></urlset>",
+        "cut": head + items("cut", 50),
+        "broken": head + "<url><loc>a</loc></url><url><loc>b</url></urlset>",
+        "gone": head + items("gone", 3) + "</urlset>",
+    }
+
+
+def test_sitemap_files_are_split_and_give_the_same_rows(spark, tmp_path):
+    bodies = sitemap_bodies()
+    status = {n: 404 if n == "gone" else 200 for n in bodies}
+    docs = spark.createDataFrame([(f"d/{n}", status[n], b) for n, b in bodies.items()], "doc_url string, status int, body string")
+    files = spark.createDataFrame([(f"d/{n}", status[n], n) for n in bodies], "doc_url string, status int, file string")
+    for n, b in bodies.items():
+        (tmp_path / f"file={n}").mkdir()
+        (tmp_path / f"file={n}" / "doc.xml").write_text(b)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for mode in ("map", "list"):
+            def rows(df):
+                return [(r.doc_url, r.loc, r.lastmod) for r in df.orderBy("doc_url", "pos").collect()]
+            split = src.read_sitemap_files(spark, str(tmp_path), files, mode)
+            assert rows(split) == rows(src.read_sitemap_urls(docs, mode)) and split.count() > 4_000
+        text = spark.read.option("lineSep", "</url>").text(str(tmp_path / "file=big"))
+        assert text.rdd.getNumPartitions() > 5  # one document, many tasks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
