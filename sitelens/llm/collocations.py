@@ -39,8 +39,9 @@ from sitelens.llm.common import forget, groups, python_ready, release, stored, t
 LEAST, LONGEST, TOP = 30, 4, 2_000
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(SEPARATORS))
-HELD = 200_000  # distinct words that a task counts before it hands them on
-PLACES = 700_000  # occurrences counted together in a task
+HELD = 100_000  # distinct words that a task counts before it hands them on
+PLACES = 300_000  # occurrences counted together in a task
+RUN_BYTES = 1 << 20  # bytes of text in a run of pieces, or one longer text
 MOST_BITS = 1 << 27
 RELATION = "words array<bigint>, pos array<int>"
 
@@ -108,7 +109,7 @@ def occurrences(docs: DataFrame, seed: int, hash_bits: int = 64) -> DataFrame:
             langs, texts = batch.column(0).to_pylist(), batch.column(1)
             data, offsets = utf8(texts)
             view = memoryview(data)
-            for a, b in groups(offsets):
+            for a, b in groups(offsets, RUN_BYTES):
                 parts: dict[str, list] = {}
                 for i in range(a, b):
                     if offsets[i + 1] > offsets[i]:
