@@ -38,7 +38,7 @@ from sitelens.llm.common import add_columns, groups, python_ready, release, tabl
 LONG, SPAN = 64, 1 << 20  # SPAN: over any position within a piece
 HOLD = 16 << 20  # bytes of text whose pieces are encoded together
 PIECE_BYTES = 3 << 20  # bytes of pieces encoded by one recursive query
-MEMO = 300_000  # pieces used lately that a worker remembers, and as many before them
+MEMO = 400_000  # pieces used lately that a worker remembers, and as many before them
 TOKENS = 1 << 20  # tokens decoded together
 # The public pattern for texts of Latin-1 characters, where it needs no Unicode
 # classes: these are the letters, numbers and white space below U+0100.
@@ -223,7 +223,7 @@ def mapped(docs: DataFrame, schema: str, row, path: str | None, pattern: str | N
         for ids, texts in held:
             _, offsets = utf8(texts)
             for a, b in groups(offsets):
-                rows = [row([csvs[i] for i in x], [backs[i] for i in x]) for x, _ in zip(lists, range(b - a))]
+                rows = [row([csvs[i] for i in x], [backs[i] for i in x]) for _, x in zip(range(b - a), lists)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), *[pa.array(x, f.type) for x, f in zip(zip(*rows), fields[1:], strict=True)]],
                     [f.name for f in fields])

@@ -105,3 +105,14 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
         lists, csvs, backs = c.coded([text])
         assert ",".join(csvs[i] for i in lists[0]) == ",".join(map(str, lib.encode_ordinary(text)))
         assert b"".join(backs[i] for i in lists[0]) == text.encode()
+
+
+def test_batches_of_several_groups(spark):
+    """Texts of over a megabyte: several groups to a batch, several batches to a stretch."""
+    lib = library()
+    texts = [f"word{i % 3} and more " * (60_000 + i) for i in range(14)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.digests(docs).collect()}
+    for i, t in enumerate(texts):
+        ids = lib.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
