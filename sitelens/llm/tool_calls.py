@@ -19,7 +19,9 @@ is plain content; of calls that share an id the first (turn, row, place) counts
 and the others are ``duplicate``; of results the first counts, others are
 ``extra``, and ``orphan`` without a call; a call without a result is ``missing``;
 a call without a text id or name is ``malformed``; unknown dependencies, unknown
-tools and schema violations are listed as errors of the call. A null conv_id or
+tools, schema violations and what isn't understood of a schema are listed as errors
+of the call, however deep; a text nested too deep for the JSON parser is plain
+content. A null conv_id or
 turn is a value like any other (null turns come first). An empty table gives no
 rows. Other columns are not read.
 """
@@ -76,13 +78,13 @@ def of_type(value, kind: str) -> bool:
     return isinstance(value, TYPES[kind])
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of ``value`` the schema forbids: type, enum, bounds, lengths,
-    required, properties, additionalProperties, items."""
+def own_violations(value, schema: dict, at: str) -> tuple[list[str], list[tuple]]:
+    """(what of ``value`` itself the schema forbids, what is to be looked at next:
+    errors and (value, schema, at) of its parts, in order)."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(of_type(value, k) for k in kinds):
-        return [f"{at}: not {' or '.join(kinds)}"]
+        return [f"{at}: not {' or '.join(kinds)}"], []
     out = [] if "enum" not in schema or value in schema["enum"] else [f"{at}: not in enum"]
     size = value if of_type(value, "number") else len(value) if isinstance(value, (str, list)) else None
     for key, wrong in (("minimum", lambda a, b: a < b), ("minLength", lambda a, b: a < b), ("minItems", lambda a, b: a < b),
@@ -90,27 +92,53 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
         fits = of_type(value, "number") if key in ("minimum", "maximum") else isinstance(value, list if "Items" in key else str)
         if key in schema and fits and wrong(size, schema[key]):
             out.append(f"{at}: {key}")
+    parts: list[tuple] = []
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
+                parts.append((value[k], known[k], f"{at}.{k}"))
             elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: not allowed")
+                parts.append((f"{at}.{k}: not allowed",))
     if isinstance(value, list) and "items" in schema:
-        for i, item in enumerate(value):
-            out += violations(item, schema["items"], f"{at}[{i}]")
+        parts += [(item, schema["items"], f"{at}[{i}]") for i, item in enumerate(value)]
+    return out, parts
+
+
+def violations(value, schema: dict) -> list[str]:
+    """What of ``value`` the schema forbids: type, enum, bounds, lengths, required,
+    properties, additionalProperties, items. A part of the schema that isn't
+    understood (an unknown type, a bound that is no number) is an error of its place.
+    No recursion: values may be nested to any depth."""
+    out, todo = [], [(value, schema, "$")]
+    while todo:
+        part = todo.pop()
+        if len(part) == 1:
+            out.append(part[0])
+            continue
+        try:
+            own, parts = own_violations(*part)
+        except (TypeError, KeyError, AttributeError):
+            own, parts = [f"{part[2]}: schema not understood"], []
+        out += own
+        todo += reversed(parts)
     return out
 
 
 def references(value) -> list[str]:
     """Ids in {"$ref": id} objects, in order."""
-    if isinstance(value, dict):
-        if set(value) == {"$ref"} and isinstance(value["$ref"], str):
-            return [value["$ref"]]
-        return [r for k in sorted(value) for r in references(value[k])]
-    return [r for v in value for r in references(v)] if isinstance(value, list) else []
+    out, todo = [], [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            if set(value) == {"$ref"} and isinstance(value["$ref"], str):
+                out.append(value["$ref"])
+            else:
+                todo += [value[k] for k in sorted(value, reverse=True)]
+        elif isinstance(value, list):
+            todo += reversed(value)
+    return out
 
 
 def read_call(place: int, call, schemas: dict) -> dict:

@@ -102,3 +102,29 @@ def test_query_equals_its_sql(spark):
     got = sorted(map(tuple, T.op2_tool_call_linking(spark, sf).select(
         "conv_id", "turn", "role", "n_calls", "n_linked", "n_errors", "json").collect()))
     assert got == want
+
+
+def test_deep_arguments_and_odd_schemas(spark):
+    deep = {"tool_calls": [{"id": "d", "name": "t", "arguments": {"x": "@"}}, {"id": "e", "name": "odd", "arguments": {"a": 1, "b": "x", "c": [1]}}]}
+    texts = [json.dumps(deep).replace('"@"', "[" * n + '{"$ref": "e"}' + "]" * n) for n in (10, 900, 1_500, 20_000, 300_000)]
+    schema = {"type": "array"}
+    nested = schema
+    for _ in range(5):
+        nested["items"] = {"type": "array"}
+        nested = nested["items"]
+    schemas = {"t": {"type": "object", "properties": {"x": schema}},
+               "odd": {"type": "object", "properties": {"a": {"type": "any"}, "b": {"minLength": "many"}, "c": {"type": ["date", "array"], "items": 7}}}}
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(texts)]
+    got = {r.conv_id: r for r in T.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    assert len(got) == len(texts)
+    for i in (0, 1, 2):
+        calls = json.loads(got[i].json)["tool_calls"] if i < 2 else None
+        assert got[i].n_calls in (0, 2)
+        if calls:
+            assert calls[0]["after"] == ["e"]
+            assert calls[1]["errors"] == ["$.a: schema not understood", "$.b: schema not understood", "$.c: schema not understood"]
+    assert T.references([[{"$ref": "a"}], {"b": {"$ref": "c"}, "a": {"$ref": "b"}}]) == ["a", "b", "c"]
+    value = 0
+    for _ in range(50_000):
+        value = [value]
+    assert T.references(value) == [] and T.violations(value, {"type": "array", "items": {"type": "array"}}) == []
