@@ -7,7 +7,8 @@ its words alone comes back if it outweighs the rest of the page. Every remaining
 passes points for its length and commas to the containers above it (halved from
 the second on, five at most); a container's points are discounted by its link
 density. The best container (its article, if it is in one) is kept with those
-siblings that score a fifth of it or are long paragraphs with few links.
+siblings that score a fifth of it or are long paragraphs with few links, with what
+lies between these, and with headings before them (``kept_siblings``).
 
 A block is the text between block boundaries: character references decoded,
 white space runs turned into one space, trimmed; empty ones are left out. Blocks
@@ -41,11 +42,12 @@ HEAD = frozenset("meta link script style title base noscript template".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary address".split())
 LISTS = frozenset("ul ol dl table tbody thead tfoot tr figure details".split())
 BLOCKS = PARAGRAPH | LISTS | frozenset("""html head body div section article main aside nav header footer form fieldset
-    blockquote center hgroup menu dialog search template noscript button select optgroup option svg math canvas object
+    blockquote center hgroup menu dialog search template noscript button select optgroup option svg canvas object
     video audio""".split())
 #: Elements that never hold text of an article.
-DROPPED = frozenset("""nav aside footer form menu dialog search template noscript button select svg math canvas object
-    video audio head fieldset""".split())
+DROPPED = frozenset("""nav aside footer form menu dialog search template noscript button select svg canvas object
+    video audio head""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("""navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar
     toolbar status""".split())
 #: Words of a class or id that mark something beside the article.
@@ -54,6 +56,12 @@ BESIDE = frozenset("""ad ads adv advert adverts advertisement advertisements adv
     masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription
     signup login share sharing social related recommended comment comments commentlist disqus replies respond form search
     toolbar skip""".split())
+#: Those of an advert: the only ones that set an inline part aside.
+ADVERT = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored".split())
+#: Words that an id may have beside them; with any other it names a topic ("search-algorithms").
+LAYOUT = frozenset("""section block box area container wrapper wrap list bar top bottom left right main site page global
+    content inner outer item items links buttons button post article entry google primary secondary panel col column row
+    region module view holder group mobile desktop""".split())
 #: Words that make a class or id a state of what holds the article ("has-sidebar", "header-fixed").
 STATE = frozenset("""has no with without not hide hides show shows fixed sticky static enabled disabled active inactive
     on off layout visible open closed""".split())
@@ -61,17 +69,24 @@ OUTWEIGH = 4  # a set-aside part comes back if its text outside links is so many
 WEIGHT = {"article": 25.0, "main": 15.0, "blockquote": 3.0, "section": 3.0, "div": 3.0}
 
 
-def marked(attributes: dict[str, str]) -> int:
+def marked(attributes: dict[str, str], tag: str = "div") -> int:
     """2 if a role or a hidden state sets the element aside, 1 if words of its
-    class or id do, else 0."""
+    class or id do, else 0. An id counts if it is made of such words and those of
+    layout alone, and not on a heading or paragraph, where it names the passage; an
+    inline element is only set aside as an advert."""
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return 2
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I):
         return 2
     if attributes.get("role", "").strip().lower() in ROLES:
         return 2
-    names = [{w.lower() for w in WORD.findall(name)} for key in ("class", "id") for name in attributes.get(key, "").split()]
-    return int(any(words & BESIDE and not words & STATE for words in names))
+    listed = BESIDE if tag in BLOCKS else ADVERT
+
+    def told(key):
+        return [{w.lower() for w in WORD.findall(name)} for name in attributes.get(key, "").split()]
+
+    ids = [] if tag in PARAGRAPH else [words for words in told("id") if words <= BESIDE | LAYOUT]
+    return int(any(words & listed and not words & STATE for words in told("class") + ids))
 
 
 def tag_end(page: str, at: int) -> tuple[int, dict[str, str]]:
@@ -106,6 +121,7 @@ class Tree:
     def __init__(self):
         self.tag, self.parent, self.own, self.drop = [""], [-1], [0], [0]
         self.points, self.size, self.links = [0.0], [0], [0]
+        self.scorer = [0]  # the innermost container that takes points, itself or above
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.stack, self.open = [0], {}
         self.text: list[str] = []
@@ -124,6 +140,7 @@ class Tree:
         self.drop.append(max(drop, self.drop[top]))
         self.tag.append(tag)
         self.parent.append(top)
+        self.scorer.append(self.scorer[top] if tag in LISTS or tag in PARAGRAPH else len(self.tag) - 1)
         self.points.append(0.0)
         self.size.append(0)
         self.links.append(0)
@@ -157,7 +174,7 @@ class Tree:
                 self.flush()
             return
         if tag not in BLOCKS:
-            if attributes and marked(attributes):
+            if attributes and marked(attributes, tag):
                 self.push(tag, 3)  # an inline part beside the text; the block goes on
             return
         self.flush()
@@ -169,7 +186,7 @@ class Tree:
         if tag in DROPPED or (tag == "header" and not self.open.get("article")):
             drop = 3
         else:
-            drop = marked(attributes) if attributes and tag not in ("html", "body", "main") else 0
+            drop = marked(attributes, tag) if attributes and tag not in ("html", "body", "main") else 0
         self.push(tag, drop)
 
     def end(self, tag: str) -> None:
@@ -252,6 +269,21 @@ def read_blocks(tree: Tree) -> list[tuple[int, str, int]]:
     return [b for b in tree.blocks if part[b[0]] in back] or tree.blocks
 
 
+def scored(tree: Tree, blocks: list[tuple[int, str, int]]) -> None:
+    """Sizes, links and points from the blocks that are read."""
+    for node, text, linked in blocks:
+        tree.size[node] += len(text)
+        tree.links[node] += linked
+        value = text.count(",") + min(len(text) / 100, 3.0) + (len(text) >= 25)
+        value *= 1 - linked / len(text)
+        above, share = tree.scorer[node], 1.0
+        for _ in range(5):
+            tree.points[above] += value * share
+            if not above:
+                break
+            above, share = tree.scorer[tree.parent[above]], share / 2
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -259,18 +291,7 @@ def main_text(page: str | None) -> str:
     if not tree.blocks:
         return ""
     blocks = read_blocks(tree)
-    for node, text, linked in blocks:
-        tree.size[node] += len(text)
-        tree.links[node] += linked
-        value = text.count(",") + min(len(text) / 100, 3.0) + (len(text) >= 25)
-        value *= 1 - linked / len(text)
-        above = tree.parent[node] if tree.tag[node] in PARAGRAPH and tree.parent[node] >= 0 else node
-        share, level = 1.0, 0
-        while above >= 0 and level < 5:
-            if tree.tag[above] not in LISTS and tree.tag[above] not in PARAGRAPH:
-                tree.points[above] += value * share
-                share, level = share / 2, level + 1
-            above = tree.parent[above]
+    scored(tree, blocks)
     for node in range(len(tree.tag) - 1, 0, -1):  # children come after their parents
         tree.size[tree.parent[node]] += tree.size[node]
         tree.links[tree.parent[node]] += tree.links[node]
@@ -287,14 +308,52 @@ def main_text(page: str | None) -> str:
     while up > 0 and tree.tag[up] != "article":
         up = tree.parent[up]
     best = up if up > 0 else best
+    keep = within(tree, kept_siblings(tree, best, score, least))
+    return "\n".join(text for node, text, _ in blocks if keep[node])
+
+
+def within(tree: Tree, chosen: set[int]) -> list[bool]:
+    """For each node whether it is, or lies in, one of ``chosen``."""
     keep = [False] * len(tree.tag)
     for node in range(len(tree.tag)):
-        parent = tree.parent[node]
-        sibling = node != best and best > 0 and parent == tree.parent[best] and (
-            score(node) >= least or (tree.tag[node] == "p" and tree.size[node] > 80
-                                     and tree.links[node] < tree.size[node] / 4))
-        keep[node] = node == best or sibling or (parent >= 0 and keep[parent])
-    return "\n".join(text for node, text, _ in blocks if keep[node])
+        keep[node] = node in chosen or (tree.parent[node] >= 0 and keep[tree.parent[node]])
+    return keep
+
+
+def kept_siblings(tree: Tree, best: int, score, least: float) -> set[int]:
+    """``best`` and what goes with it: siblings that score ``least`` or are long
+    paragraphs, sections beside a section, what lies between kept ones and isn't half
+    links, headings before the first, and the nearest h1 before the best container or
+    one around it, if the kept has none."""
+    chosen = {best}
+    if best <= 0:
+        return chosen
+    inside: dict[int, list[int]] = {}
+    around = [best]
+    while around[-1] > 0:
+        around.append(tree.parent[around[-1]])
+    wanted = set(around)
+    for node in range(1, len(tree.tag)):
+        if tree.parent[node] in wanted:
+            inside.setdefault(tree.parent[node], []).append(node)
+
+    def few_links(node, part):
+        return tree.links[node] < tree.size[node] / part
+
+    beside = [x for x in inside[tree.parent[best]] if tree.size[x]]
+    good = [x == best or score(x) >= least or (tree.tag[x] == "p" and tree.size[x] > 80 and few_links(x, 4))
+            or (tree.tag[x] == "section" == tree.tag[best] and few_links(x, 4)) for x in beside]
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+    chosen |= {x for i, x in enumerate(beside) if good[i] or first < i < last and few_links(x, 2)}
+    while first and tree.tag[beside[first - 1]] in HEADINGS and few_links(beside[first - 1], 2):
+        first -= 1
+        chosen.add(beside[first])
+    if not any(kept and tree.size[x] for x, kept in enumerate(within(tree, chosen)) if tree.tag[x] == "h1"):
+        for child, parent in zip(around, around[1:]):
+            heads = [x for x in inside[parent] if x < child and tree.tag[x] == "h1" and few_links(x, 2)]
+            if heads:
+                return chosen | {heads[-1]}
+    return chosen
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 import time
 
@@ -39,6 +40,68 @@ def test_linear_on_broken_markup(page):
     assert time.time() - began < 5
 
 
+LONG1, LONG2 = " ".join([P1] * 4), " ".join([P2] * 4)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>{LONG1} See <a class=related href=/x>Key link</a> now</p><pre>x = 1 <span class=comment># code comment</span></pre></article>",
+     f"{LONG1} See Key link now\nx = 1 # code comment"),
+    (f"<article><h2 id=search-algorithms>Search</h2><p>{LONG1}</p><h2 id=related-work>Related work</h2><p>{LONG2}</p>"
+     f"<section id=data-sharing><p>Short part.</p></section></article>", f"Search\n{LONG1}\nRelated work\n{LONG2}\nShort part."),
+    (f"<body><h1>Title</h1><div class=body><p>{LONG1}</p><p>{LONG2}</p></div></body>", f"Title\n{LONG1}\n{LONG2}"),
+    (f"<body><h1>Title</h1><div class=wrap><div class=by>By X</div><div class=body><p>{LONG1}</p><p>{LONG2}</p></div></div></body>",
+     f"Title\n{LONG1}\n{LONG2}"),
+    (f"<div><section><p>{LONG1}</p><p>{LONG2}</p></section><section><h2>Two</h2><p>Short.</p></section></div>",
+     f"{LONG1}\n{LONG2}\nTwo\nShort."),
+    (f"<article><p>{LONG1} where <math><mi>x</mi>=1</math> holds</p><fieldset><p>{LONG2}</p></fieldset></article>",
+     f"{LONG1} where x=1 holds\n{LONG2}"),
+    (f"<article><p>{LONG1}</p><section id=comments><p>{LONG2}</p></section><div id=site-footer><p>{LONG2}</p></div></article>", LONG1),
+    (f"<body><div id=sidebar-left><p>{P2}</p></div><div><p>{LONG1}</p><p>{LONG2}</p></div></body>", f"{LONG1}\n{LONG2}"),
+])
+def test_no_part_of_an_article_is_lost(page, want):
+    assert H.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ["<ul><li>some words, here", "<ol><li><p>some words, here", "<table><tr><td>some words, here",
+                                  "<dl><dd>some words, here", "<section><h1>some words, here</h1>", "<h1><div>a, b"])
+def test_linear_in_nesting(part):
+    def seconds(n):
+        began = time.time()
+        H.main_text(part * n)
+        return time.time() - began
+
+    small = min(seconds(4_000) for _ in range(2))
+    assert seconds(32_000) < 24 * small + 0.5
+
+
+def brute_points(tree, blocks):
+    """Points of every container by climbing from each block."""
+    points = [0.0] * len(tree.tag)
+    for node, text, linked in blocks:
+        value = (text.count(",") + min(len(text) / 100, 3.0) + (len(text) >= 25)) * (1 - linked / len(text))
+        chain = []
+        while node >= 0:
+            if tree.tag[node] not in H.LISTS and tree.tag[node] not in H.PARAGRAPH:
+                chain.append(node)
+            node = tree.parent[node]
+        for k, up in enumerate(chain[:5]):
+            points[up] += value / 2**k
+    return points
+
+
+def test_points_of_random_trees_against_climbing():
+    pick = random.Random(8)
+    tags = ["div", "section", "p", "ul", "li", "table", "tr", "td", "article", "blockquote", "h2", "span"]
+    for _ in range(300):
+        page = "".join(pick.choice([f"<{pick.choice(tags)}>", f"</{pick.choice(tags)}>", "a, b and some more words, ", "x", "<a>y, z</a>"])
+                       for _ in range(pick.randrange(60)))
+        tree = H.parsed(page)
+        if not tree.blocks:
+            continue
+        H.scored(tree, H.read_blocks(tree))
+        assert tree.points == pytest.approx(brute_points(tree, H.read_blocks(tree)))
+
+
 def plain(page):
     """Blocks of the generated pages' article, by their known layout."""
     inside = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
