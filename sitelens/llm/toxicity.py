@@ -17,7 +17,7 @@ law, P(S <= x) = exp(-K n exp(-lambda x)), whose K and lambda are fitted by
 maximum likelihood to the clean texts of the sample, each scored without its own
 counts. A text's segments add up by the sum statistic: the best segment's
 lambda S - ln(K n), and for the i-th best what lambda S - ln(K n) + ln i has over
-zero (all of a text's segments; fitting looks at the ``BEST`` best). A logistic curve, fitted to the same rows, turns that into the score. A
+zero, over all of the text's segments. A logistic curve, fitted to the same rows, turns that into the score. A
 passage is significant if its own expected number in clean texts is at most
 ``EXPECTED``.
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import add_columns, packed, python_ready, stored, table, unpacked
 
 SAMPLE = 20_000  # labelled rows learnt from
-PRIOR, LEAST, BEST = 2.0, 2, 32
+PRIOR, LEAST = 2.0, 2
 DRIFTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 THRESHOLD, EXPECTED = 0.3, 0.05
 SHORTEST, LONGEST = 3, 9
@@ -171,32 +171,31 @@ class Model:
         return np.array([out[w] for w in words])
 
     def evidence(self, n: int, sums: list[float]) -> float:
-        """The sum statistic of a text of n tokens and its segments' scores."""
-        room = math.log(self.k * max(n, 1))
-        best = sorted(sums, reverse=True) or [0.0]
-        return self.rate * best[0] - room + sum(
-            max(0.0, self.rate * s - room + math.log(i)) for i, s in enumerate(best[1:], 2))
+        return evidence(self.rate, self.k, n, sums)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-min(max(self.slope * clipped(evidence) + self.level, -500), 500)))
 
-    def calibrate(self, rows: list[tuple[int, int, list[list[float]]]]) -> None:
-        """rows: (toxic, n, segment sums for each drift) of each sampled text."""
-        share = sum(toxic for toxic, _, _ in rows) / len(rows) if rows else 0.0
-        if not 0 < share < 1:
-            self.level = 500.0 if share else -500.0
-            return
-        y = np.array([toxic for toxic, _, _ in rows], float)
+    def calibrate(self, law: list[tuple[float, float]], rows: list[tuple[int, list[float]]]) -> None:
+        """``law``: (lambda, K) for each drift. ``rows``: (toxic, evidence for each
+        drift) of each sampled text."""
+        y = np.array([toxic for toxic, _ in rows], float)
         found = []
-        for i, self.drift in enumerate(DRIFTS):
-            self.rate, self.k = extreme_value([(n, max(s[i], default=0.0)) for toxic, n, s in rows if not toxic])
-            x = np.array([clipped(self.evidence(n, s[i])) for _, n, s in rows])
-            found.append((*logistic(x, y), self.drift, self.rate, self.k))
+        for i, ((rate, k), drift) in enumerate(zip(law, DRIFTS, strict=True)):
+            x = np.array([clipped(e[i]) for _, e in rows])
+            found.append((*logistic(x, y), drift, rate, k))
         best = min(found, key=lambda f: f[0].mean())[0]
         _, self.slope, self.level, self.drift, self.rate, self.k = next(
             f for f in found if (f[0] - best).mean() <= (f[0] - best).std() / math.sqrt(len(y)))
 
 
+def evidence(rate: float, k: float, n: int, sums: list[float]) -> float:
+    """The sum statistic of a text of n tokens and its segments' scores."""
+    room = math.log(k * max(n, 1))
+    best = sorted(sums, reverse=True) or [0.0]
+    return rate * best[0] - room + sum(max(0.0, rate * s - room + math.log(i)) for i, s in enumerate(best[1:], 2))
+
+
 def extreme_value(clean: list[tuple[int, float]]) -> tuple[float, float]:
     """(lambda, K) by maximum likelihood of (tokens, best segment's sum) of clean
     texts. K has a closed form for each lambda; texts without a segment are
@@ -314,14 +313,30 @@ def learnt(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = tokens(text)
                 scores = model.scores_without(words, y)
-                out.append((y, len(words), [sorted((s for _, _, s in segments(scores - drift)), reverse=True)[:BEST]
-                                            for drift in DRIFTS]))
+                out.append((y, len(words), [[s for _, _, s in segments(scores - drift)] for drift in DRIFTS]))
             y, n, s = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()),
                                               pa.array(s, pa.list_(pa.list_(pa.float64())))], ["toxic", "n", "sums"])
 
-    seen = rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, sums array<array<double>>")
-    model.calibrate([(r.toxic, r.n, r.sums) for r in seen.collect()])
+    # every segment of the sample's texts stays in a table; one best for each drift and
+    # then one sum for each come to the driver
+    seen = stored(rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, sums array<array<double>>"), "segments")
+    best = F.transform("sums", lambda s: F.coalesce(F.array_max(s), F.lit(0.0)))
+    clean = [(r.n, r.best) for r in seen.where("toxic = 0").select("n", best.alias("best")).collect()]
+    toxic = seen.where("toxic <> 0").count()
+    if not clean or not toxic:
+        model.level = 500.0 if toxic else -500.0
+        return model
+    law = [extreme_value([(n, b[i]) for n, b in clean]) for i in range(len(DRIFTS))]
+
+    def add(batches):
+        for batch in batches:
+            found = [[evidence(*at, n, s) for at, s in zip(law, sums, strict=True)]
+                     for n, sums in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    added = seen.mapInArrow(add, "toxic int, x array<double>")
+    model.calibrate(law, [(r.toxic, r.x) for r in added.collect()])
     return model
 
 
