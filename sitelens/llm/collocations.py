@@ -41,6 +41,7 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(SEPARATORS))
 HELD = 100_000  # distinct words that a task counts before it hands them on
 PLACES = 300_000  # occurrences counted together in a task
+TASK_PLACES = 4_000_000  # occurrences of frequent phrases counted by one task, about
 RUN_BYTES = 1 << 20  # bytes of text in a run of pieces, or one longer text
 MOST_BITS = 1 << 27
 RELATION = "words array<bigint>, pos array<int>"
@@ -188,16 +189,17 @@ def places(batch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return words, pos.astype(np.int64) + np.repeat(ends[:-1].astype(np.int64), np.diff(lists))
 
 
-def grouped_keys(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns, with counts."""
-    columns = [np.concatenate(c) for c in zip(*parts)]
+def grouped_keys(parts: list[tuple[list[np.ndarray], np.ndarray | None]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns with their counts: (columns, counts; None: one each)."""
+    columns = [np.concatenate(c) for c in zip(*[c for c, _ in parts])]
+    counts = np.concatenate([np.ones(len(c[0]), np.int64) if n is None else n for c, n in parts])
     order = np.argsort(mixed(columns))
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def counted(relation: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
@@ -208,26 +210,37 @@ def counted(relation: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
     names = [f"w{i + 1}" for i in range(k)]
 
     def run(batches):
-        held, size = [], 0
+        # places are grouped a stretch at a time, and the groups of the stretches
+        # together until they are many
+        held, size, groups, many = [], 0, [], 0
         for batch in batches:
             words, pos = places(batch, k - 2)
             if k == 2:
                 pos = pos[member(shared.value, [words[pos]])]
-            held.append(columns_at(words, longer(pos), k))
-            size += len(held[-1][0])
+            held.append((columns_at(words, longer(pos), k), None))
+            size += len(held[-1][0][0])
             if size > PLACES:
-                yield out(held)
+                groups.append(grouped_keys(held))
+                many += len(groups[-1][1])
                 held, size = [], 0
-        if held:
-            yield out(held)
-        held = words = pos = None
+                if many > PLACES:
+                    groups = [grouped_keys(groups)]
+                    many = len(groups[0][1])
+                    if many > PLACES // 2:
+                        yield out(*groups[0])
+                        groups, many = [], 0
+        if held or groups:
+            yield out(*grouped_keys([*groups, *([grouped_keys(held)] if held else [])]))
+        held = groups = words = pos = None
         release()
 
-    def out(held):
-        keys, n = grouped_keys(held)
+    def out(keys, n):
         return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], [*names, "n"])
 
     schema = ", ".join(f"{w} bigint" for w in names) + ", n bigint"
+    if k > 2:  # what is left of a large corpus may be little: few tasks count more of it together
+        total = relation.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
+        relation = relation.coalesce(int(total // TASK_PLACES) + 1)
     return relation.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 

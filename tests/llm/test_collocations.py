@@ -83,8 +83,10 @@ def test_scores_beyond_64_bits(spark):
 def test_grouping_keeps_keys_apart_that_mix_alike(monkeypatch):
     monkeypatch.setattr(C, "mixed", lambda columns: np.zeros(len(columns[0]), np.uint64))
     a, b = np.array([1, 2, 1, 1]), np.array([5, 5, 5, 6])
-    keys, n = C.grouped_keys([[a, b]])
-    total = Counter()
-    for x, y, c in zip(*keys, n):
-        total[x, y] += c
-    assert total == {(1, 5): 2, (2, 5): 1, (1, 6): 1}
+    once = C.grouped_keys([([a, b], None)])
+    for keys, n, times in ((*once, 1), (*C.grouped_keys([once, ([a, b], None)]), 2)):
+        total = Counter()
+        for x, y, c in zip(*keys, n):
+            total[x, y] += c
+        assert total == {(1, 5): 2 * times, (2, 5): times, (1, 6): times}
+    assert C.grouped_keys([([a[:0], b[:0]], None)])[1].tolist() == []
