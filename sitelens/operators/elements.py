@@ -68,7 +68,9 @@ def _reason_of(pages: DataFrame) -> F.Column:
 def admit_pages(pages: DataFrame) -> DataFrame:
     """Pages whose body is read: a status that is no 301/302/303 redirect and no
     error (>= 400), and markup. 307/308 are read."""
-    return pages.where(_reason_of(pages).isNull())
+    # plain conditions, which reach the scan: the pages without a ``reject_reason``
+    read = ~is_redirect("status") & (F.col("status") < 400)
+    return pages.where(read & F.col("html").isNotNull() if "html" in pages.columns else read)
 
 
 def rejects(pages: DataFrame) -> DataFrame:

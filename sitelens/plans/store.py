@@ -11,36 +11,38 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, AuditConfig
 from ..operators.elements import extract_elements, one_page_per_url, page_bodies
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_folder
 
-
-_WRITTEN: list[str] = []
+# the folder that a report's intermediate tables go to, inside ``temporary_tables``
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under the shared checkpoint folder; return the path."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parts = [checkpoint_dir(df.sparkSession).rstrip("/"), _FOLDER.get(), f"{name}-{uuid.uuid4().hex}"]
+    path = "/".join(p for p in parts if p)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
     return path
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession):
-    """Deletes the tables that ``write_table`` makes inside the block when it
-    ends: for callers that have written their result by then."""
-    before = len(_WRITTEN)
+    """Tables that ``write_table`` makes inside the block go to a folder of its own,
+    which is deleted when the block ends: for callers that have written their result
+    by then. Blocks in other threads have other folders."""
+    folder = f"report-{uuid.uuid4().hex}"
+    token = _FOLDER.set(folder)
     try:
         yield
     finally:
-        while len(_WRITTEN) > before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _FOLDER.reset(token)
+        delete_folder(spark, f"{checkpoint_dir(spark).rstrip('/')}/{folder}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -125,6 +127,6 @@ class FactStore:
                 "block_counts": (lazy.block_counts, "block-counts"),
                 "links": (lazy.links, "page-links")}
         with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-            done = {k: pool.submit(materialize, df, name) for k, (df, name) in jobs.items()}
+            done = {k: pool.submit(copy_context().run, materialize, df, name) for k, (df, name) in jobs.items()}
             tables = {k: f.result() for k, f in done.items()}
         return cls(lazy.elements, cfg, **tables)

@@ -90,6 +90,15 @@ def app_id(spark: SparkSession) -> str:
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, in whatever store it is. A Connect
+    session has no such access; there the owner of the checkpoint folder clears it."""
+    if _context(spark) is None:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set[str] = set()
 
 
