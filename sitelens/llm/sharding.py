@@ -8,14 +8,15 @@ it. Buckets in order give every record a global place; shards are equal runs of
 places, so their row counts differ by at most one (law ``rows``) and a bucket
 falls into one shard or a few.
 
-Identical records beyond ``REPEATS`` are spread by an additional salt, so a
+Identical records that make up over 1 / ``LARGE`` of a bucket together, be they many
+or long, are spread by an additional salt, so a
 record that fills a third of the table doesn't fill one bucket.
 
 Defined cases: a null text counts as empty (size 1, crc32 0); a null doc_id is a
 value like any other; ties and repeated rows each get a place of their own; with
 fewer rows than shards some shards are empty; an empty table gives no rows. Other
 columns are carried as they are. The same records give the same shards however
-the input is partitioned, but for records repeated over ``REPEATS`` times.
+the input is partitioned, but for such repeated records.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import packed, stored, table
 
-SHARDS, SEED, BUCKET_BYTES, REPEATS = 8, 7, 16 << 20, 1_000
+SHARDS, SEED, BUCKET_BYTES, LARGE = 8, 7, 16 << 20, 16
 SMALL = 1_000_000  # buckets whose offsets (24 bytes each) may be broadcast
 
 
@@ -40,7 +41,7 @@ def scattered(rows: DataFrame, bucket_bytes: int, seed: int) -> tuple[DataFrame,
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64)).alias("bytes")), "idents")
     total = by.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = int(total // bucket_bytes) + 1
-    repeated = by.where(F.col("n") > REPEATS).select("ident", F.lit(1).alias("often"))
+    repeated = by.where((F.col("n") > 1) & (F.col("bytes") * LARGE > bucket_bytes)).select("ident", F.lit(1).alias("often"))
     if not repeated.isEmpty():
         rows = rows.join(repeated, "ident", "left")
         salt = F.when(F.col("often").isNotNull(), F.col("place"))

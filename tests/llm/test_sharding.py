@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sitelens.llm import sharding as S
 
 
@@ -46,6 +48,14 @@ def test_repeated_records_spread_over_the_buckets(spark):
     lawful(S.external_shuffle(docs, bucket_bytes=10_000).collect())
 
 
+def test_few_but_long_copies_spread_over_the_buckets(spark):
+    docs = spark.createDataFrame([(1, "long text " * 2_000)] * 40 + [(i, "x") for i in range(500)], "doc_id long, text string")
+    one, buckets = S.scattered(S.packed(docs).drop("row_id"), 60_000, 7)
+    sizes = [r.bytes for r in one.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()]
+    assert buckets > 10 and max(sizes) <= 10 * 20_000
+    lawful(S.external_shuffle(docs, bucket_bytes=60_000).collect())
+
+
 def test_nulls_ties_few_rows_empty_table_and_files(spark, tmp_path):
     rows = [(None, None, "a"), (None, "", "a"), (1, "é", None), (1, "é", None), (2, "z" * 100_000, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot string")
