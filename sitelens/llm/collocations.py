@@ -39,8 +39,8 @@ from sitelens.llm.common import forget, groups, python_ready, release, stored, t
 LEAST, LONGEST, TOP = 30, 4, 2_000
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(SEPARATORS))
-HELD = 100_000  # distinct words that a task counts before it hands them on
-PLACES = 300_000  # occurrences counted together in a task
+HELD = 60_000  # distinct words that a task counts before it hands them on
+PLACES = 200_000  # occurrences counted together in a task
 TASK_PLACES = 4_000_000  # occurrences of frequent phrases counted by one task, about
 RUN_BYTES = 1 << 20  # bytes of text in a run of pieces, or one longer text
 MOST_BITS = 1 << 27
@@ -121,6 +121,7 @@ def occurrences(docs: DataFrame, seed: int, hash_bits: int = 64) -> DataFrame:
                         yield rows((coded, None, None, None, None))
                 if words.size > HELD:
                     yield from (rows((None, *x)) for x in words.flushed())
+                    release()
         yield from (rows((None, *x)) for x in words.flushed())
         release()
 
@@ -223,6 +224,7 @@ def counted(relation: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
                 groups.append(grouped_keys(held))
                 many += len(groups[-1][1])
                 held, size = [], 0
+                release()
                 if many > PLACES:
                     groups = [grouped_keys(groups)]
                     many = len(groups[0][1])
