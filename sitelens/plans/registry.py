@@ -27,6 +27,7 @@ cfg = DEFAULT
 
 
 _INPUTS: dict[tuple[str, str, str], str] = {}
+TASK_ELEMENTS = 250_000  # elements numbered by one task, about
 
 
 class Fixture:
@@ -88,9 +89,10 @@ class Fixture:
     def qi_listing(self) -> DataFrame:
         return src.query_index_listing(self.spark, self.index_docs, cfg)
 
-    def elements(self) -> DataFrame:
-        """The fact rows (O16) of every admitted page, parsed where they are read."""
-        return parsed_elements(self.fetched, None, cfg, persist=False)
+    def elements(self, persist: bool = False) -> DataFrame:
+        """The fact rows (O16) of every admitted page, parsed where they are read, or
+        parsed once and stored, for what reads them several times."""
+        return parsed_elements(self.fetched, None, cfg, persist=persist)
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
@@ -249,12 +251,12 @@ def q_chain_label(spark, sf):
 
 
 def q_section_scope(spark, sf):
-    return blocks.block_facts(Fixture(spark, sf).elements(), cfg).select(
+    return blocks.block_facts(Fixture(spark, sf).elements(persist=True), cfg).select(
         "url", "block", "variant", _long("n_sections"))
 
 
 def q_section_terms(spark, sf):
-    els = Fixture(spark, sf).elements()
+    els = Fixture(spark, sf).elements(persist=True)
     st = blocks.section_terms(els, cfg).join(els.where("pre = 0").select("page_key", "url"), "page_key")
     w = Window.partitionBy("page_key").orderBy("pre")
     return st.select("url", F.row_number().over(w).cast("long").alias("section_no"),
@@ -262,7 +264,7 @@ def q_section_terms(spark, sf):
 
 
 def q_layout_label(spark, sf):
-    return blocks.block_facts(Fixture(spark, sf).elements(), cfg).select("url", "block", "variant", "layout")
+    return blocks.block_facts(Fixture(spark, sf).elements(persist=True), cfg).select("url", "block", "variant", "layout")
 
 
 # -- links --------------------------------------------------------------------
@@ -342,9 +344,18 @@ def q_extract_elements(spark, sf):
     was put into a b would have no parent here."""
     els = write_and_read(parsed_elements(Fixture(spark, sf).fetched, None, cfg, persist=False, keep="all")
                          .where(~F.col("tag").isin("b", "br")).select("page_key", "url", "pre", "parent_pre", "tag"), "all-elements")
-    placed = els.withColumn("n", F.row_number().over(Window.partitionBy("page_key").orderBy("pre")).cast("long"))
-    parents = placed.select("page_key", F.col("pre").alias("parent_pre"), F.col("n").alias("parent_n"))
-    return placed.join(parents, ["page_key", "parent_pre"], "left").select("url", "n", "parent_n", "tag")
+    # as many tasks as the rows need, not as AQE makes of their well packed bytes
+    by_page = Window.partitionBy("page_key")
+    placed = els.repartition(els.count() // TASK_ELEMENTS + 1, "page_key").withColumn(
+        "n", F.row_number().over(by_page.orderBy("pre")).cast("long"))
+    # each element stands at its own place and, without a number, at its parent's, right after that
+    own = F.struct(F.col("pre").alias("at"), F.col("n").alias("own"))
+    parent = F.struct(F.col("parent_pre").alias("at"), F.lit(None).cast("long").alias("own"))
+    both = placed.select("page_key", "url", "n", "tag", F.inline(F.array(own, parent)))
+    before = by_page.orderBy("at", F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("own").isNotNull(), F.col("at")), ignorenulls=True).over(before)
+    found = both.select("url", "n", "tag", "at", "own", last.alias("last"), F.last("own", ignorenulls=True).over(before).alias("last_n"))
+    return found.where("own IS NULL").select("url", "n", F.when(F.col("last") == F.col("at"), F.col("last_n")).alias("parent_n"), "tag")
 
 
 def q_variant_name(spark, sf):
@@ -368,7 +379,7 @@ def q_block_matrix(spark, sf):
 
 def q_block_variant_layout_report(spark, sf):
     f = Fixture(spark, sf)
-    return blocks.block_variant_layout_report(f.pages.select("url"), f.elements(), None, cfg)
+    return blocks.block_variant_layout_report(f.pages.select("url"), f.elements(persist=True), None, cfg)
 
 
 def q_brand_links_report(spark, sf):

@@ -194,3 +194,33 @@ def test_reports_at_once_delete_their_own_tables_only(spark):
     for name in "ab":
         assert not os.path.exists(paths[name].replace("file:", ""))
     assert os.path.exists(store.write_table(spark.range(1), "kept").replace("file:", ""))
+
+
+def test_layout_queries_parse_once(spark):
+    """Each of them reads the elements several times: stored ones, not the markup."""
+    from sitelens.plans.registry import QUERIES
+    for name in ("layout_label", "section_scope", "section_terms", "block_variant_layout_report"):
+        assert "MapInArrow" not in _plan(QUERIES[name](spark, SF)), name
+
+
+def test_elements_are_numbered_in_tasks_of_bounded_size(spark, monkeypatch):
+    from sitelens.plans import registry as Q
+    whole = Q.QUERIES["extract_elements"](spark, SF)
+    monkeypatch.setattr(Q, "TASK_ELEMENTS", 100)
+    many = Q.QUERIES["extract_elements"](spark, SF)
+    assert rows(many) == rows(whole)
+    plan = _plan(many).split("Initial Plan")[0]
+    n = whole.count()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and f", {n // 100 + 1})" in plan
+
+
+def test_element_places_and_parents(spark, monkeypatch):
+    from sitelens.plans import registry as Q
+    markup = "<html><body><div><b><i>x</i></b><p>y</p></div><br><p>z</p></body></html>"
+    els = spark.createDataFrame([("https://a/1", markup), (None, markup)], "url string, html string")
+    monkeypatch.setattr(Q.Fixture, "fetched", els)
+    monkeypatch.setattr(Q, "parsed_elements", lambda pages, *a, **k: extract_elements(pages, cfg, keep="all"))
+    got = Q.QUERIES["extract_elements"](spark, SF).collect()
+    for url in ("https://a/1", None):
+        page = sorted((r.n, r.tag, r.parent_n) for r in got if r.url == url)
+        assert [(t, p) for _, t, p in page] == [("html", None), ("head", 1), ("body", 1), ("div", 3), ("i", None), ("p", 4), ("p", 3)]
