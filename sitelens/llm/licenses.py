@@ -3,12 +3,14 @@ and Spark ML only.
 
 Every line of every text is a paragraph of its own, and so is every run of lines
 with words (a notice that is wrapped; the words rem and dnl at a line's head are
-comment marks), see ``wrapped``. A paragraph's words (A-Z lowered, runs of ASCII
-letters, digits and everything beyond ASCII) and word pairs are hashed to a
-sparse vector, and a multinomial logistic regression gives the probability of
-each licence family and of ``unknown``. A family is predicted where the
-probability of ``unknown`` leaves at least the calibrated room: more than all but
-one in ``FALSE`` of the held-back unknown paragraphs have, and at least 0.3. A
+comment marks), see ``wrapped``. Of a paragraph's words (A-Z lowered, runs of ASCII
+letters, digits and everything beyond ASCII) and word pairs, those that any licence
+sentence below has (``vocabulary``) make a sparse vector, and a multinomial logistic
+regression gives the probability of each licence family and of ``unknown``. A family
+is predicted where the probability of ``unknown`` leaves at least the calibrated
+room: more than all but one in ``FALSE`` of the held-back unknown lines have, at
+least 0.3, and no more than even odds (licences that are no template are held back as
+unknown, too). A
 prediction is confirmed if a template of that family has 0.8 of its five-word
 shingles in the paragraph (a shorter template: its whole word sequence), among them
 for each similar family one that its templates lack, and no similar template of
@@ -24,9 +26,10 @@ for each family confirmed in its windows but in no line of it; without any
 confirmed family, one for its likeliest prediction, if no line has one.
 
 Learning uses the templates, the licences' names in usual sentences (``FRAMES``),
-and the templates put before and after lines of a
-sample of at most ``DOCUMENTS`` documents (by hash) and ``LINES`` lines, and
-these lines themselves: as unknown, or as the family whose template they hold.
+and every line of the corpus that isn't held back (a third is, by hash): as unknown,
+or as the family whose template it holds; and the templates put before and after the
+beginnings of the unknown ones. Lines with the same vector are one learning row with
+their count; all counts together weigh as much as ``LINES`` lines at most.
 
 Defined cases: null and empty texts have one empty paragraph, which is unknown
 like any without words; repeated rows are each scanned; ties between families
@@ -39,7 +42,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,8 +50,9 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import packed, stored, table
 from sitelens.llm.decontaminate import words
 
-DOCUMENTS, LINES, FALSE, SHINGLE, CONTAINED = 1_000, 4_000, 1_000, 5, 0.8
-FEATURES = 1 << 13
+LINES, FALSE, SHINGLE, CONTAINED = 4_000, 1_000, 5, 0.8
+BESIDE = 12  # words of a line put beside a template
+TASK_ROWS = 50_000  # learning rows of a task, about
 #: (words, step) of the windows: a template of up to words - step + 1 words lies whole in one of them.
 WINDOWS, LONG = ((12, 6), (24, 12), (80, 40)), 24
 
@@ -263,59 +267,83 @@ def contained(paragraphs: DataFrame, known: DataFrame) -> DataFrame:
     return part.unionByName(whole).groupBy("id", "family").agg(F.max("part").alias("part"), F.max("sure").alias("sure"))
 
 
+def vocabulary() -> list[str]:
+    """The words and word pairs of the templates and of the names in their frames."""
+    said = [t for ts in TEMPLATES.values() for t in ts] + [frame.format(name) for names in NAMES.values() for name in names for frame in FRAMES]
+    found: dict[str, None] = {}
+    for ws in (re.findall("[a-z0-9]+", t.lower()) for t in said):
+        found.update(dict.fromkeys([*ws, *map(" ".join, zip(ws, ws[1:]))]))
+    return list(found)
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """Adds ``features``, hashed words and word pairs of ``ws``."""
+    """Adds ``features``, the words and word pairs of ``ws`` that the vocabulary has."""
     pairs = F.expr("zip_with(slice(ws, 1, greatest(size(ws) - 1, 0)), slice(ws, 2, greatest(size(ws) - 1, 0)), "
                    "(a, b) -> concat(a, ' ', b))")
     grams = rows.withColumn("grams", F.concat("ws", pairs))
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(grams).drop("grams")
-
-
-def sample(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, ws, family, held): the learning rows from the corpus, at most LINES;
-    family by template, else unknown; a third is held back."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCUMENTS)
-    picked = docs.select("doc_id", "text").join(F.broadcast(stored(ids, "ids")), "doc_id")
-    picked = lines(picked.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("row_id", F.lit(0)))
-    picked = picked.where(F.size("ws") > 0).select(F.xxhash64("ws").alias("id"), "ws").groupBy("id").agg(F.min("ws").alias("ws"))
-    picked = stored(picked.orderBy("id").limit(LINES), "lines")
-    best = contained(picked, known).where(F.col("sure") >= CONTAINED)
+    model = CountVectorizerModel.from_vocabulary(vocabulary(), inputCol="grams", outputCol="features", binary=True)
+    return model.transform(grams).drop("grams")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """(row_id, doc_id, place, id, features, keyed, beside) of every line: id is its
+    words' hash, null without words; keyed are its words if one of them is a
+    ``needed`` one, beside those of its first ones that the vocabulary has."""
+    single = [w for w in vocabulary() if " " not in w]
+    head = F.array_intersect(F.slice("ws", 1, BESIDE), F.array(*map(F.lit, single)))
+    keyed = F.arrays_overlap("ws", F.array(*map(F.lit, needed())))
+    return features(lines(rows)).select(
+        "row_id", "doc_id", "place", F.when(F.size("ws") > 0, F.xxhash64("ws")).alias("id"), "features",
+        F.when(keyed, F.col("ws")).alias("keyed"), F.when(~keyed, head).alias("beside"))
+
+
+def evidence(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(features, family, held, n): all lines of ``marked`` with words, those with the
+    same vector counted; family by template, else unknown; a third is held back."""
+    counts = stored(found.where("id IS NOT NULL").groupBy("features", "keyed", (F.pmod("id", F.lit(3)) == 0).alias("held"))
+                    .agg(F.count("*").alias("n")), "vectors").withColumn("id", F.xxhash64("keyed"))
+    likely = counts.where("keyed IS NOT NULL").select("id", F.col("keyed").alias("ws")).dropDuplicates(["id"])
+    best = contained(likely, known).where(F.col("sure") >= CONTAINED)
     best = best.groupBy("id").agg(F.max_by("family", F.struct("sure", "family")).alias("family"))
-    return picked.join(best, "id", "left").select(
-        "id", "ws", F.coalesce("family", F.lit("unknown")).alias("family"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held"))
+    family = F.when(F.col("keyed").isNotNull(), F.col("family"))  # the hash of no words is a number, too
+    return counts.join(F.broadcast(best), "id", "left").select("features", F.coalesce(family, F.lit("unknown")).alias("family"), "held", "n")
 
 
-def learnt(docs: DataFrame):
-    """(model, least room that a family needs)."""
-    spark = docs.sparkSession
+def learnt(found: DataFrame):
+    """(model, least room that a family needs) from all lines of ``marked``."""
+    spark = found.sparkSession
     known = templates(spark)
-    corpus = stored(sample(docs, known), "corpus")
-    n = sum(map(len, TEMPLATES.values()))
-    beside = corpus.where("family = 'unknown' and not held").select(
-        F.pmod("id", F.lit(n)).cast("int").alias("template"), F.slice("ws", 1, 12).alias("beside"))
+    corpus = stored(evidence(found, known), "corpus")
+    total = corpus.agg(F.sum("n")).first()[0] or 0
+    share = (F.col("n") * F.lit(min(LINES, total) / max(total, 1))).alias("weight")
+    template = F.pmod(F.xxhash64("id"), F.lit(sum(map(len, TEMPLATES.values())))).cast("int").alias("template")
+    beside = found.where("id IS NOT NULL AND beside IS NOT NULL").where(F.pmod("id", F.lit(3)) != 0)
+    beside = stored(beside.groupBy(template, "beside").agg(F.count("*").alias("n")), "beside")
+    tasks = int((corpus.count() + 2 * beside.count()) // TASK_ROWS) + 1
     beside = beside.join(F.broadcast(known.select("template", "family", "ws")), "template")
     said = [F.struct(F.lit(f).alias("family"), F.lit(frame.format(name)).alias("line")) for f, names in NAMES.items()
             for name in names for frame in FRAMES]
     said = spark.range(1).select(F.explode(F.array(*said)).alias("s")).select("s.family", words(F.col("s.line")).alias("ws"))
     rows = (known.select("family", "ws", F.lit(20.0).alias("weight"))
             .unionByName(said.withColumn("weight", F.lit(5.0)))
-            .unionByName(beside.select("family", F.concat("ws", "beside").alias("ws"), F.lit(1.0).alias("weight")))
-            .unionByName(beside.select("family", F.concat("beside", "ws").alias("ws"), F.lit(1.0).alias("weight")))
-            .unionByName(corpus.where("not held").select("family", "ws", F.lit(1.0).alias("weight")))
+            .unionByName(beside.select("family", F.concat("ws", "beside").alias("ws"), share))
+            .unionByName(beside.select("family", F.concat("beside", "ws").alias("ws"), share))
             .unionByName(spark.range(1).select(F.lit("unknown").alias("family"), F.array().cast("array<string>").alias("ws"),
                                                F.lit(20.0).alias("weight"))))
+    rows = features(rows).drop("ws").unionByName(corpus.where("not held").select("features", "family", share))
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
-    rows = features(rows.withColumn("label", label.cast("double"))).select("features", "label", "weight").coalesce(1)
+    rows = stored(rows.select("features", label.cast("double").alias("label"), "weight"), "learning").coalesce(tasks)
     model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, weightCol="weight").fit(rows)
-    held = corpus.where("held and family = 'unknown'")
-    at = scored(held, model).agg(F.percentile("room", 1 - 1 / FALSE)).first()[0]
-    return model, max(0.3, at or 0.0)
+    held = scored(corpus.where("held and family = 'unknown'"), model)
+    held = held.groupBy(F.ceil(F.col("room") * 10_000).alias("room")).agg(F.sum("n").alias("n"))
+    at = held.agg(F.percentile("room", 1 - 1 / FALSE, F.col("n"))).first()[0]
+    return model, min(0.5, max(0.3, (at or 0.0) / 10_000))
 
 
 def scored(rows: DataFrame, model) -> DataFrame:
     """Adds guess, the likeliest family, and room, 1 - P(unknown). The generator
     keeps Spark from classifying a line anew for each use of its result."""
-    out = model.transform(features(rows))
+    out = model.transform(rows if "features" in rows.columns else features(rows))
     out = out.select(*rows.columns, F.explode(F.array(vector_to_array("probability"))).alias("p"))
     families = F.slice("p", 1, len(FAMILIES) - 1)
     guess = F.element_at(F.array(*map(F.lit, FAMILIES[:-1])), F.array_position(families, F.array_max(families)).cast("int"))
@@ -352,11 +380,15 @@ def scan(docs: DataFrame) -> DataFrame:
     line for which a family is predicted, those of wrapped lines at their first
     line, and one with a null place for each document that has none."""
     rows = packed(docs.select("doc_id", "text")).drop("doc")
-    model, least = learnt(docs)
-    whole = lines(rows)
+    whole = stored(marked(rows), "lines")
+    model, least = learnt(whole)
     found = stored(scored(whole, model).where((F.col("room") > least) | (F.col("place") == 0)).select(
-        "row_id", "doc_id", "place", "ws", "guess", "room", (F.col("room") > least).alias("told")), "predicted")
-    told = compared(found.where("told").withColumn("id", F.struct("row_id", "place")), every=True)
+        "row_id", "doc_id", "place", "guess", "room", (F.col("room") > least).alias("told")), "predicted")
+    # the words of the few lines that are told, from their texts
+    told = found.where("told").select("row_id", "doc_id", "place", "guess", "room")
+    texts = lines(rows.join(told.select("row_id").distinct(), "row_id", "left_semi")).select("row_id", "place", "ws")
+    told = stored(told.join(texts, ["row_id", "place"]), "predicted-words")
+    told = compared(told.withColumn("id", F.struct("row_id", "place")), every=True)
     best = F.row_number().over(Window.partitionBy("row_id", "place").orderBy(F.desc("confirmed"), F.desc("part"), "guess"))
     told = told.withColumn("best", best).where("confirmed or best = 1")
     columns = ["row_id", "doc_id", "place", F.col("guess").alias("family"), "room", "part", "confirmed"]

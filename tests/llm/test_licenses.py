@@ -3,6 +3,7 @@ import re
 import textwrap
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens.llm import licenses as L
 from tests.llm.test_pipeline import words
@@ -150,3 +151,13 @@ def test_template_parts_against_plain_comparison(spark):
     frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, ws array<string>")
     got = {(r.id, r.family): [r.part, r.sure or 0.0] for r in L.contained(frame, L.templates(spark)).collect()}
     assert {k: [pytest.approx(x) for x in v] for k, v in want.items() if v[0]} == got
+
+
+def test_learning_counts_every_line_of_the_corpus(spark):
+    docs = [(i, f"line {i} of a document\n\nan equal line of the software\nLicensed under CC BY 4.0.") for i in range(1_500)]
+    rows = spark.createDataFrame(docs, "row_id long, text string").withColumn("doc_id", F.col("row_id"))
+    found = L.evidence(L.marked(rows), L.templates(spark)).groupBy("family").agg(F.sum("n").alias("n")).collect()
+    assert {r.family: r.n for r in found} == {"unknown": 3_000, "CC-BY": 1_500}
+    one = L.marked(rows.limit(1)).orderBy("place").collect()
+    assert [r.id is None for r in one] == [False, True, False, False]
+    assert [r.beside for r in one[:2]] == [["0", "of", "a"], []] and one[0].keyed is None and "licensed" in one[3].keyed
