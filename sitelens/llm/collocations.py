@@ -8,7 +8,8 @@ in ``words`` where the phrases begin). From one length to the next:
 * merge-join by piece and adjacent position: a phrase of k + 1 words begins where
   a frequent phrase of k words begins and another begins at the next place of the
   same piece (one merge of two sorted lists, in the tasks);
-* group-count: phrases are counted in the tasks, then summed by Spark;
+* group-count: phrases are counted in the tasks, then summed by Spark; of ``HASHED``
+  words and more, only those whose hash is frequent: all are counted by hash first;
 * semi-join: the occurrences of frequent phrases are stored, sorted as before, as
   the relation that the next length starts from, without words that none covers.
   The tasks know the frequent phrases from a table of at most ``MOST_BITS`` bits;
@@ -44,6 +45,8 @@ PLACES = 200_000  # occurrences counted together in a task
 TASK_PLACES = 4_000_000  # occurrences of frequent phrases counted by one task, about
 RUN_BYTES = 1 << 20  # bytes of text in a run of pieces, or one longer text
 MOST_BITS = 1 << 27
+HASHED = 4  # words; shorter phrases fill most tasks' counts, and another reading of all places costs more than it saves
+MOST_HASHES, BLOCK = 1 << 23, 1 << 14  # counts by hash in a task, and those of a row
 RELATION = "words array<bigint>, pos array<int>"
 
 
@@ -203,10 +206,47 @@ def grouped_keys(parts: list[tuple[list[np.ndarray], np.ndarray | None]]) -> tup
     return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
+def frequent_hashes(relation: DataFrame, k: int, least: int) -> np.ndarray:
+    """A bit table with every phrase of ``k`` words that ``relation`` has ``least``
+    times, and few others: of the hashes that all their phrases have so often together.
+    A task's counts go up to ``least``, which tells as much of their sum."""
+    total = relation.agg(F.coalesce(F.sum(F.size("pos")), F.lit(0))).first()[0]
+    bits = 1 << 16
+    while bits < min(total, MOST_HASHES):
+        bits *= 2
+    block, most = min(BLOCK, bits), min(least, 255)
+
+    def run(batches):
+        counts = np.zeros(bits, np.int32)
+        for batch in batches:
+            words, pos = places(batch, k - 2)
+            np.add.at(counts, (mixed(columns_at(words, longer(pos), k)) & np.uint64(bits - 1)).astype(np.int64), 1)
+        counts = np.minimum(counts, most).astype(np.uint8)
+        rows = [(i // block, counts[i:i + block].tobytes()) for i in range(0, bits, block) if counts[i:i + block].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.binary())],
+                                         ["place", "counts"])
+        release()
+
+    def summed(batches):
+        for batch in batches:
+            out = [sum(np.frombuffer(c, np.uint8).astype(np.int64) for c in parts) >= most for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([np.packbits(x, bitorder="little").tobytes() for x in out], pa.binary())], ["place", "bits"])
+
+    tasks = relation.coalesce(int(total // TASK_PLACES) + 1).mapInArrow(run, "place bigint, counts binary")
+    found = (tasks.groupBy("place").agg(F.collect_list("counts").alias("counts"))
+             .mapInArrow(summed, "place bigint, bits binary").toArrow())
+    out = np.zeros((bits // block, block // 8), np.uint8)
+    for place, row in zip(found["place"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[place] = np.frombuffer(row, np.uint8)
+    return out.reshape(-1).view(np.uint64)
+
+
 def counted(relation: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
     """(w1, ..., wk, n): the phrases of ``k`` words that the frequent ones of
     ``k - 1`` words in ``relation`` make, with their counts in all. For pairs the
-    relation is that of the words, of which ``bits`` tells the frequent."""
+    relation is that of the words, of which ``bits`` tells the frequent; from
+    ``HASHED`` words on it tells the phrases to count."""
     shared = relation.sparkSession.sparkContext.broadcast(bits)
     names = [f"w{i + 1}" for i in range(k)]
 
@@ -218,7 +258,10 @@ def counted(relation: DataFrame, k: int, bits: np.ndarray | None) -> DataFrame:
             words, pos = places(batch, k - 2)
             if k == 2:
                 pos = pos[member(shared.value, [words[pos]])]
-            held.append((columns_at(words, longer(pos), k), None))
+            pos = longer(pos)
+            if k >= HASHED:
+                pos = pos[member(shared.value, columns_at(words, pos, k))]
+            held.append((columns_at(words, pos, k), None))
             size += len(held[-1][0][0])
             if size > PLACES:
                 groups.append(grouped_keys(held))
@@ -305,7 +348,8 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hash_bits
     frequent = [words.where(F.col("n") >= least).select(F.col("key").alias("w1"), "n")]
     bits, before, previous = frequent_bits(frequent[0], 1), None, found
     for k in range(2, longest + 1):
-        frequent.append(stored(counted(relation, k, bits if k == 2 else None).where(F.col("n") >= least), f"phrases-{k}"))
+        told = bits if k == 2 else frequent_hashes(relation, k, least) if k >= HASHED else None
+        frequent.append(stored(counted(relation, k, told).where(F.col("n") >= least), f"phrases-{k}"))
         if k < longest:
             before, bits = bits, frequent_bits(frequent[-1], k)
             relation = stored(semi_joined(relation, k, before if k == 2 else None, bits), f"occurrences-{k}")

@@ -90,3 +90,14 @@ def test_grouping_keeps_keys_apart_that_mix_alike(monkeypatch):
             total[x, y] += c
         assert total == {(1, 5): 2 * times, (2, 5): times, (1, 6): times}
     assert C.grouped_keys([([a[:0], b[:0]], None)])[1].tolist() == []
+
+
+def test_only_phrases_of_frequent_hashes_are_counted(spark):
+    often, rows = [1, 2, 3, 4], [list(range(100 + 5 * i, 105 + 5 * i)) for i in range(2_000)]
+    words = [[*often, 0, *row, 0] for row in rows[:7]] + [[*row, 0] for row in rows[7:]]
+    pos = [[i for i, _ in enumerate(w) if 0 not in w[i:i + 3] and i + 3 <= len(w)] for w in words]
+    relation = spark.createDataFrame(list(zip(words, pos)), C.RELATION).repartition(3)
+    for least, want in ((7, {(1, 2, 3, 4): 7}), (1, Counter(t for w in words for t in zip(w, w[1:], w[2:], w[3:]) if 0 not in t))):
+        told = C.frequent_hashes(relation, 4, least)
+        got = {tuple(r)[:4]: r.n for r in C.counted(relation, 4, told).collect()}
+        assert want.items() <= got.items() and len(got) - len(want) <= 2 * len(rows) // 20 * (least > 1)
