@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sitelens.llm.common import add_columns, groups, python_ready, release, table, utf8
 
 LONG, SPAN = 64, 1 << 20  # SPAN: over any position within a piece
-HOLD = 16 << 20  # bytes of text whose pieces are encoded together
-PIECE_BYTES = 3 << 20  # bytes of pieces encoded by one recursive query
-MEMO = 400_000  # pieces used lately that a worker remembers, and as many before them
+HOLD = 8 << 20  # bytes of text whose pieces are encoded together
+PIECE_BYTES = 1 << 20  # bytes of pieces encoded by one recursive query
+MEMO = 100_000  # pieces used lately that a worker remembers, and as many before them
 TOKENS = 1 << 20  # tokens decoded together
 # The public pattern for texts of Latin-1 characters, where it needs no Unicode
 # classes: these are the letters, numbers and white space below U+0100.
@@ -142,7 +142,7 @@ class Coder:
                     self.memo[p] = self.older[p]
                     continue
                 new.append(p)
-                size += len(p)
+                size += len(p) if p.isascii() else len(p.encode())
                 if size > PIECE_BYTES:
                     self.learn(new)
                     new, size = [], 0
@@ -239,6 +239,7 @@ def mapped(docs: DataFrame, schema: str, row, path: str | None, pattern: str | N
                 held, size = [], 0
         if held:
             yield from finished(held)
+        coder(ranks, pattern).older = {}  # the worker stays for other stages
         release()
 
     return docs.mapInArrow(run, out)
