@@ -116,3 +116,12 @@ def test_batches_of_several_groups(spark):
     for i, t in enumerate(texts):
         ids = lib.encode_ordinary(t)
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_pieces_of_one_query_are_bounded_in_bytes(monkeypatch):
+    from sitelens.llm import bpe
+    sizes, coder = [], bpe.Coder(*bpe.vocabulary())
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 100)
+    monkeypatch.setattr(coder, "learn", lambda ps: (sizes.append(sum(len(p.encode()) for p in ps)), coder.memo.update((p, ("", b"")) for p in ps)))
+    coder.coded([" ".join(chr(0x4e00 + i) * 10 for i in range(50))])
+    assert sum(sizes) > 1_500 and max(sizes) <= 100 + 31
