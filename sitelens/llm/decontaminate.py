@@ -22,6 +22,7 @@ columns are carried as they are.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +34,14 @@ WINDOW, SHINGLE = 10, 3
 BLOCK = 100_000  # windows broadcast together, about 30 MB
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = "".join(c for c in map(chr, range(128)) if not re.match(WORD, c) and c not in UPPER)
 END = ""  # follows the words of a text; no word is empty
 
 
 def words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """The runs of ``WORD``, without a regular expression, which takes several times as long."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, UPPER.lower() + " " * len(BETWEEN))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def windows(benchmark: DataFrame, length: int = WINDOW) -> DataFrame:

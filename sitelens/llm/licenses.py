@@ -278,9 +278,11 @@ def vocabulary() -> list[str]:
 
 def features(rows: DataFrame) -> DataFrame:
     """Adds ``features``, the words and word pairs of ``ws`` that the vocabulary has."""
-    pairs = F.expr("zip_with(slice(ws, 1, greatest(size(ws) - 1, 0)), slice(ws, 2, greatest(size(ws) - 1, 0)), "
+    single = [w for w in vocabulary() if " " not in w]
+    known = rows.withColumn("known", F.transform("ws", lambda w: F.when(w.isin(single), w)))  # its pairs are of its words
+    pairs = F.expr("zip_with(slice(known, 1, greatest(size(known) - 1, 0)), slice(known, 2, greatest(size(known) - 1, 0)), "
                    "(a, b) -> concat(a, ' ', b))")
-    grams = rows.withColumn("grams", F.concat("ws", pairs))
+    grams = known.withColumn("grams", F.array_compact(F.concat("known", pairs))).drop("known")
     model = CountVectorizerModel.from_vocabulary(vocabulary(), inputCol="grams", outputCol="features", binary=True)
     return model.transform(grams).drop("grams")
 
@@ -290,7 +292,7 @@ def marked(rows: DataFrame) -> DataFrame:
     words' hash, null without words; keyed are its words if one of them is a
     ``needed`` one, beside those of its first ones that the vocabulary has."""
     single = [w for w in vocabulary() if " " not in w]
-    head = F.array_intersect(F.slice("ws", 1, BESIDE), F.array(*map(F.lit, single)))
+    head = F.array_distinct(F.filter(F.slice("ws", 1, BESIDE), lambda w: w.isin(single)))
     keyed = F.arrays_overlap("ws", F.array(*map(F.lit, needed())))
     return features(lines(rows)).select(
         "row_id", "doc_id", "place", F.when(F.size("ws") > 0, F.xxhash64("ws")).alias("id"), "features",
@@ -332,7 +334,8 @@ def learnt(found: DataFrame):
                                                F.lit(20.0).alias("weight"))))
     rows = features(rows).drop("ws").unionByName(corpus.where("not held").select("features", "family", share))
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
-    rows = stored(rows.select("features", label.cast("double").alias("label"), "weight"), "learning").coalesce(tasks)
+    rows = rows.groupBy("features", label.cast("double").alias("label")).agg(F.sum("weight").alias("weight"))
+    rows = stored(rows, "learning").coalesce(tasks)
     model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, weightCol="weight").fit(rows)
     held = scored(corpus.where("held and family = 'unknown'"), model)
     held = held.groupBy(F.ceil(F.col("room") * 10_000).alias("room")).agg(F.sum("n").alias("n"))
@@ -380,14 +383,13 @@ def scan(docs: DataFrame) -> DataFrame:
     line for which a family is predicted, those of wrapped lines at their first
     line, and one with a null place for each document that has none."""
     rows = packed(docs.select("doc_id", "text")).drop("doc")
-    whole = stored(marked(rows), "lines")
-    model, least = learnt(whole)
-    found = stored(scored(whole, model).where((F.col("room") > least) | (F.col("place") == 0)).select(
-        "row_id", "doc_id", "place", "guess", "room", (F.col("room") > least).alias("told")), "predicted")
-    # the words of the few lines that are told, from their texts
-    told = found.where("told").select("row_id", "doc_id", "place", "guess", "room")
-    texts = lines(rows.join(told.select("row_id").distinct(), "row_id", "left_semi")).select("row_id", "place", "ws")
-    told = stored(told.join(texts, ["row_id", "place"]), "predicted-words")
+    model, least = learnt(stored(marked(rows).select("id", "features", "keyed", "beside"), "lines"))
+    # the lines are read again, so that neither texts nor words are shuffled or kept, but for those that are told
+    told = F.col("room") > least
+    found = scored(lines(rows), model).where(told | (F.col("place") == 0)).select(
+        "row_id", "doc_id", "place", F.when(told, F.col("ws")).alias("ws"), "guess", "room", told.alias("told"))
+    found = stored(found, "predicted")
+    told = found.where("told").select("row_id", "doc_id", "place", "ws", "guess", "room")
     told = compared(told.withColumn("id", F.struct("row_id", "place")), every=True)
     best = F.row_number().over(Window.partitionBy("row_id", "place").orderBy(F.desc("confirmed"), F.desc("part"), "guess"))
     told = told.withColumn("best", best).where("confirmed or best = 1")

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sitelens.llm import decontaminate as C
 from tests.llm.test_pipeline import words
@@ -54,3 +55,10 @@ def test_empty_tables_and_stage(spark):
     assert sorted(r.doc_id for r in left.collect()) == [i for i, (_, hit, _) in brute(enumerate(DOCS), ITEMS).items() if not hit]
     assert C.decontaminate(docs.limit(0), bench).count() == 0
     assert C.decontaminate(docs, bench.limit(0)).count() == len(DOCS)
+
+
+def test_words_of_odd_and_very_long_texts(spark):
+    odd = ["".join(map(chr, range(256))), "\x00a\x00B\x7f", "  lead and trail  ", "\u2028Z\u00a0\U0001F600Ÿ-İß", "x\ny\r\nz\t", " ", "", None, "A" * 9, "$1 \\1 {2}"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, text string").select("i", C.words(F.col("text")).alias("ws"))
+    assert {r.i: r.ws for r in got.collect()} == {i: words(t) for i, t in enumerate(odd)}
+    assert spark.range(1).select(F.size(C.words(F.repeat(F.lit("word, "), 100_000)))).first()[0] == 100_000

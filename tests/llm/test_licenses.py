@@ -161,3 +161,33 @@ def test_learning_counts_every_line_of_the_corpus(spark):
     one = L.marked(rows.limit(1)).orderBy("place").collect()
     assert [r.id is None for r in one] == [False, True, False, False]
     assert [r.beside for r in one[:2]] == [["0", "of", "a"], []] and one[0].keyed is None and "licensed" in one[3].keyed
+
+
+def test_texts_and_their_words_are_not_shuffled(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name, real=L.stored):
+        plans[name] = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return real(df, name)
+
+    monkeypatch.setattr(L, "stored", stored)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more told lines than a broadcast holds
+    try:
+        docs = [(i, f"line {i} of a document\nReleased under the MIT License.") for i in range(300)]
+        found = L.scan(spark.createDataFrame(docs, "doc_id long, text string")).where("confirmed").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id, r.place, r.family) for r in found) == [(i, 1, "MIT") for i in range(300)]
+    moved = [m for plan in plans.values() for m in re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)]
+    assert moved and not any(re.search(r"\btext#", m) for m in moved), moved
+    assert "Exchange" not in plans["predicted"]
+
+
+def test_features_are_those_of_all_words_and_pairs(spark):
+    vocabulary = L.vocabulary()
+    cases = [words(t) for ts in L.TEMPLATES.values() for t in ts] + [[], ["the"], ["of", "odd", "of"], ["the", "the", "the"], ["gnu", "", "general"]]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, ws array<string>")
+    got = {r.id: set(map(int, r.features.indices)) for r in L.features(frame).collect()}
+    grams = [{*c, *map(" ".join, zip(c, c[1:]))} for c in cases]
+    assert got == {i: {k for k, w in enumerate(vocabulary) if w in g} for i, g in enumerate(grams)}
